@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orbitframe.llm.quality import op1_quality
 from orbitframe.llm.toxicity import op10_toxicity
 
 _QUERIES = {
+    "op1_quality": op1_quality,
     "op10_toxicity": op10_toxicity,
 }
 
