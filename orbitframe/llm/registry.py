@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orbitframe.llm.neardup import op9_neardup
 from orbitframe.llm.quality import op1_quality
 from orbitframe.llm.substrings import op7_substrings
 from orbitframe.llm.toxicity import op10_toxicity
@@ -13,6 +14,7 @@ from orbitframe.llm.toxicity import op10_toxicity
 _QUERIES = {
     "op1_quality": op1_quality,
     "op7_substrings": op7_substrings,
+    "op9_neardup": op9_neardup,
     "op10_toxicity": op10_toxicity,
 }
 
