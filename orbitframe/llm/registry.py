@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orbitframe.llm import mixing
+from orbitframe.llm.decontaminate import op3_decontaminate
+from orbitframe.llm.mixing import op6_mixing
 from orbitframe.llm.neardup import op9_neardup
 from orbitframe.llm.quality import op1_quality
 from orbitframe.llm.substrings import op7_substrings
@@ -13,12 +16,16 @@ from orbitframe.llm.toxicity import op10_toxicity
 
 _QUERIES = {
     "op1_quality": op1_quality,
+    "op3_decontaminate": op3_decontaminate,
+    "op6_mixing": op6_mixing,
     "op7_substrings": op7_substrings,
     "op9_neardup": op9_neardup,
     "op10_toxicity": op10_toxicity,
 }
 
-_SQL: dict[str, str] = {}
+_SQL: dict[str, str] = {
+    "op6_mixing": mixing.ORACLE,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
