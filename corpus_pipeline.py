@@ -1,14 +1,57 @@
-"""Corpus pipeline: toxicity filter, near-duplicate and repeated-passage removal, decontamination, mixing to target weights."""
+"""Corpus pipeline: documents to a training mix, each stage on all that the one before kept.
+
+Toxic documents go, one document of each near-duplicate class stays, passages that an earlier document holds are cut, documents with
+benchmark items go, and sources are mixed to target weights (a document may then stand twice). Columns stay those of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+
+from orbitframe.llm.common import stage, table
+from orbitframe.llm.decontaminate import clean
+from orbitframe.llm.mixing import sample
+from orbitframe.llm.neardup import keep_one
+from orbitframe.llm.substrings import remove_repeats
+from orbitframe.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return remove_repeats(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sample(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("substrings", substrings),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
+
+ORACLE_SQL = None  # a trained classifier is not an SQL expression
 
 
-def run(spark, sf_dir):
-    """The stages one after another over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, step in STAGES:
+        docs = step(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stage(docs)
     return docs
