@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orbitframe.llm import mixing
 from orbitframe.llm.decontaminate import op3_decontaminate
+from orbitframe.llm.fingerprints import op8_fingerprints
+from orbitframe.llm.licenses import op4_licenses
 from orbitframe.llm.mixing import op6_mixing
 from orbitframe.llm.neardup import op9_neardup
 from orbitframe.llm.quality import op1_quality
@@ -17,13 +19,16 @@ from orbitframe.llm.toxicity import op10_toxicity
 _QUERIES = {
     "op1_quality": op1_quality,
     "op3_decontaminate": op3_decontaminate,
+    "op4_licenses": op4_licenses,
     "op6_mixing": op6_mixing,
     "op7_substrings": op7_substrings,
+    "op8_fingerprints": op8_fingerprints,
     "op9_neardup": op9_neardup,
     "op10_toxicity": op10_toxicity,
 }
 
 _SQL: dict[str, str] = {
+    "op4_licenses": op4_licenses,
     "op6_mixing": mixing.ORACLE,
 }
 

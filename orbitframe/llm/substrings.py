@@ -164,7 +164,8 @@ def repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     copies, own = copies.where(F.col("doc_id") > F.col("rep")).select(*KEY), copies.where(F.col("doc_id") == F.col("rep")).select(*KEY)
 
     picked = whole.join(own, KEY).dropDuplicates(KEY).select(*KEY, F.explode(F.arrays_zip("hashes", "at")).alias("w")).select(*KEY, F.col("w.hashes").alias("h"), F.col("w.at").alias("at"))
-    twice = picked.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
+    # as a table of its own, so that the join below reads plain shuffles, whose large partitions Spark splits
+    twice = stage(picked.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"))
     alive = picked.join(twice, "h").groupBy(*KEY).agg(F.collect_list("at").alias("at"))
     # only documents with a survivor are read on; their words travel compressed
     texts = stage(keyed.mapInArrow(_pack, "doc_id long, t long, z binary").dropDuplicates(KEY).join(alive, KEY))
@@ -173,7 +174,7 @@ def repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     for k, size in enumerate(sizes[1:] or sizes):
         run, kind = _candidates(size, inner, k == 0)
         found = texts.mapInArrow(run, kind)
-        held = found.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+        held = stage(found.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"))
         found = found.join(held, ["h", "g"])
         if size == length:
             lost = found.where(F.col("doc_id") > F.col("first")).groupBy(*KEY).agg(F.collect_list("at").alias("at"))
