@@ -13,6 +13,7 @@ from orbitframe.llm.licenses import op4_licenses
 from orbitframe.llm.mixing import op6_mixing
 from orbitframe.llm.neardup import op9_neardup
 from orbitframe.llm.quality import op1_quality
+from orbitframe.llm.scoring import op5_scoring
 from orbitframe.llm.substrings import op7_substrings
 from orbitframe.llm.toxicity import op10_toxicity
 
@@ -20,6 +21,7 @@ _QUERIES = {
     "op1_quality": op1_quality,
     "op3_decontaminate": op3_decontaminate,
     "op4_licenses": op4_licenses,
+    "op5_scoring": op5_scoring,
     "op6_mixing": op6_mixing,
     "op7_substrings": op7_substrings,
     "op8_fingerprints": op8_fingerprints,
@@ -29,6 +31,7 @@ _QUERIES = {
 
 _SQL: dict[str, str] = {
     "op4_licenses": op4_licenses,
+    "op5_scoring": op5_scoring,
     "op6_mixing": mixing.ORACLE,
 }
 
