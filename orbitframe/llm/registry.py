@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from orbitframe.llm import mixing
 from orbitframe.llm.decontaminate import op3_decontaminate
 from orbitframe.llm.fingerprints import op8_fingerprints
+from orbitframe.llm.html import op2_html
 from orbitframe.llm.licenses import op4_licenses
 from orbitframe.llm.mixing import op6_mixing
 from orbitframe.llm.neardup import op9_neardup
@@ -19,6 +20,7 @@ from orbitframe.llm.toxicity import op10_toxicity
 
 _QUERIES = {
     "op1_quality": op1_quality,
+    "op2_html": op2_html,
     "op3_decontaminate": op3_decontaminate,
     "op4_licenses": op4_licenses,
     "op5_scoring": op5_scoring,
