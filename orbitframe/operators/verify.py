@@ -18,13 +18,18 @@ def _ref() -> Column:
     return F.col("surface_precip_ref")
 
 
+def correlation() -> Column:
+    """Pearson's correlation; null where either side does not vary."""
+    return F.try_divide(F.covar_pop(_sp(), _ref()), F.stddev_pop(_sp()) * F.stddev_pop(_ref()))
+
+
 def error_metrics(df: DataFrame, by: list[str], rqi: float = 0.2, **options) -> DataFrame:
     """Bias (percent), MAE, MSE, correlation, SMAPE (reference above 0.1) and number by group."""
     df = df.where(valid(rqi=rqi, **options))
     d = _sp() - _ref()
     smape = F.when(_ref() > 0.1, 100 * F.abs(d) / (0.5 * (F.abs(_sp()) + F.abs(_ref()))))
     return df.groupBy(*by).agg(
-        F.try_divide(F.avg(d) * 100, F.avg(_ref())).alias("bias"), F.avg(F.abs(d)).alias("mae"), F.avg(d * d).alias("mse"), F.corr(_sp(), _ref()).alias("correlation"), F.avg(smape).alias("smape"), F.count("*").alias("n")
+        F.try_divide(F.avg(d) * 100, F.avg(_ref())).alias("bias"), F.avg(F.abs(d)).alias("mae"), F.avg(d * d).alias("mse"), correlation().alias("correlation"), F.avg(smape).alias("smape"), F.count("*").alias("n")
     )
 
 
@@ -57,7 +62,7 @@ def explained_error(df: DataFrame, other: Column, by: list[str]) -> DataFrame:
 
 def monthly_statistics(df: DataFrame) -> DataFrame:
     month = F.month("scan_time").alias("month")
-    return df.where(valid(no_sea_ice=False, no_snow=True, no_orographic=True, frozen=(3, 4, 7))).groupBy(month).agg(F.avg(_ref() - _sp()).alias("bias"), F.corr(_sp(), _ref()).alias("correlation"), F.count("*").alias("n"))
+    return df.where(valid(no_sea_ice=False, no_snow=True, no_orographic=True, frozen=(3, 4, 7))).groupBy(month).agg(F.avg(_ref() - _sp()).alias("bias"), correlation().alias("correlation"), F.count("*").alias("n"))
 
 
 def circular_mean(cycle: DataFrame, key: str, value: str, period: int, half: int, first: int = 0) -> DataFrame:
@@ -85,7 +90,7 @@ def gridded(df: DataFrame, step: float = 20.0, least: int = 5, by: tuple[str, ..
     """Bias, MAE, MSE and correlation by cell; null with fewer than `least` rows."""
     d = _sp() - _ref()
     cell = df.where(valid(frozen=(3, 4, 7))).groupBy(*by, uniform_bin(F.col("longitude"), -180.0, 180.0, int(360 / step)).alias("lon_bin"), uniform_bin(F.col("latitude"), -90.0, 90.0, int(180 / step)).alias("lat_bin"))
-    out = cell.agg(F.count("*").alias("n"), F.avg(d).alias("bias"), F.avg(F.abs(d)).alias("mae"), F.avg(d * d).alias("mse"), F.corr(_sp(), _ref()).alias("correlation"))
+    out = cell.agg(F.count("*").alias("n"), F.avg(d).alias("bias"), F.avg(F.abs(d)).alias("mae"), F.avg(d * d).alias("mse"), correlation().alias("correlation"))
     return out.select(*by, "lon_bin", "lat_bin", "n", *(F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("bias", "mae", "mse", "correlation")))
 
 

@@ -27,7 +27,7 @@ def _bin(c: str, lo: float, hi: float, n: int) -> str:
 
 
 @query("a33_error_metrics", f"""WITH {OBS_SQL} SELECT grp, round(avg(surface_precip - surface_precip_ref) * 100 / avg(surface_precip_ref), 6) AS bias, round(avg(abs(surface_precip - surface_precip_ref)), 6) AS mae,
- round(avg((surface_precip - surface_precip_ref) ** 2), 6) AS mse, round(corr(surface_precip, surface_precip_ref), 6) AS correlation,
+ round(avg((surface_precip - surface_precip_ref) ** 2), 6) AS mse, round(covar_pop(surface_precip, surface_precip_ref) / nullif(stddev_pop(surface_precip) * stddev_pop(surface_precip_ref), 0), 6) AS correlation,
  round(avg(100 * abs(surface_precip - surface_precip_ref) / (0.5 * (surface_precip + surface_precip_ref))) FILTER (WHERE surface_precip_ref > 0.1), 6) AS smape, count(*) AS n
  FROM obs WHERE {ICE} AND rqi > 0.2 AND surface_type > 1 GROUP BY grp""")
 def error_metrics(spark, sf):
@@ -58,7 +58,7 @@ def explained(spark, sf):
     return rounded(verify.explained_error(obs(spark, sf), F.col("tcwv") / 10, ["grp"]))
 
 
-@query("a35_monthly_statistics", f"""WITH {OBS_SQL} SELECT month(scan_time)::INT AS month, round(avg(surface_precip_ref - surface_precip), 6) AS bias, round(corr(surface_precip, surface_precip_ref), 6) AS correlation, count(*) AS n
+@query("a35_monthly_statistics", f"""WITH {OBS_SQL} SELECT month(scan_time)::INT AS month, round(avg(surface_precip_ref - surface_precip), 6) AS bias, round(covar_pop(surface_precip, surface_precip_ref) / nullif(stddev_pop(surface_precip) * stddev_pop(surface_precip_ref), 0), 6) AS correlation, count(*) AS n
  FROM obs WHERE {V} AND (surface_type < 8 OR surface_type > 11) AND surface_type < 17{FROZEN} GROUP BY 1""")
 def monthly(spark, sf):
     return rounded(verify.monthly_statistics(obs(spark, sf)))
@@ -82,7 +82,7 @@ def diurnal(spark, sf):
 
 GRID = f"""SELECT {{k}}CASE WHEN longitude >= -180 AND longitude < 180 THEN floor((longitude + 180) / 20)::INT WHEN longitude = 180 THEN 17 END AS lon_bin, CASE WHEN latitude >= -90 AND latitude < 90 THEN floor((latitude + 90) / 20)::INT WHEN latitude = 90 THEN 8 END AS lat_bin, count(*) AS n,
  CASE WHEN count(*) >= 5 THEN round(avg(surface_precip - surface_precip_ref) + 1e-9, 6) END AS bias, CASE WHEN count(*) >= 5 THEN round(avg(abs(surface_precip - surface_precip_ref)) + 1e-9, 6) END AS mae,
- CASE WHEN count(*) >= 5 THEN round(avg((surface_precip - surface_precip_ref) ** 2) + 1e-9, 6) END AS mse, CASE WHEN count(*) >= 5 THEN round(corr(surface_precip, surface_precip_ref) + 1e-9, 6) END AS correlation FROM obs WHERE {ICE}{FROZEN} GROUP BY ALL"""
+ CASE WHEN count(*) >= 5 THEN round(avg((surface_precip - surface_precip_ref) ** 2) + 1e-9, 6) END AS mse, CASE WHEN count(*) >= 5 THEN round(covar_pop(surface_precip, surface_precip_ref) / nullif(stddev_pop(surface_precip) * stddev_pop(surface_precip_ref), 0) + 1e-9, 6) END AS correlation FROM obs WHERE {ICE}{FROZEN} GROUP BY ALL"""
 
 
 @query("a38_gridded", f"WITH {OBS_SQL} " + GRID.format(k=""))
