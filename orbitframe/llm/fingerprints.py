@@ -36,12 +36,12 @@ def lexicon(docs: DataFrame, most: float = 0.05, size: int = 1024) -> list[str]:
 
 
 def fingerprint(own: Column, everything: Column) -> Column:
-    """Of the sorted hashes of a text's lexicon terms: hashes of the subsets joined by '-', empty where a subset has no term; '=' and a hash
+    """Of the sorted hashes of a text's lexicon terms: 32-bit hashes of the subsets joined by '-', empty where a subset has no term; '=' and a hash
     of all the text's terms where all are empty. Both arguments are columns that exist already, so the text is split once."""
 
     def digest(k: Column) -> Column:
         part = F.filter(own, lambda h: F.call_function("shiftrightunsigned", h, (k * 4).cast("int")).bitwiseAND(F.lit(15)) == 0)
-        return F.transform(F.array(part), lambda x: F.when(F.size(x) > 0, F.lower(F.hex(F.xxhash64(x)))).otherwise(""))[0]
+        return F.transform(F.array(part), lambda x: F.when(F.size(x) > 0, F.lower(F.hex(F.xxhash64(x).bitwiseAND(F.lit(0xFFFFFFFF))))).otherwise(""))[0]
 
     joined = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), digest), "-")
     return F.when(joined == "-" * (SUBSETS - 1), F.concat(F.lit("="), F.lower(F.hex(F.xxhash64(F.array_sort(everything)))))).otherwise(joined)
@@ -70,13 +70,21 @@ def successors(keys: DataFrame, order: list[str]) -> DataFrame:
 def edits(docs: DataFrame, band: list[str]) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row."""
     text = F.coalesce("text", F.lit(""))
-    texts = docs.select("doc_id", F.xxhash64(text).alias("t"), text.alias("text"))
+    # nulls made comparable, so that joins, duplicates and their shuffles all go by the same plain columns
+    own_key, next_key = ["k", "none", "t"], ["next_k", "next_none", "next_t"]
+
+    def keyed(prefix: str) -> list[Column]:
+        c = F.col(f"{prefix}doc_id")
+        return [F.coalesce(c, F.lit(0)).alias(f"{prefix}k"), c.isNull().alias(f"{prefix}none")]
+
+    texts = docs.select(*keyed(""), F.xxhash64(text).alias("t"), text.alias("text"))
     keys = docs.select("doc_id", F.xxhash64(text).alias("t"), F.length(text).alias("n_chars")).distinct()
-    line = stage(successors(keys, ["doc_id", "t"]))
+    line = stage(successors(keys, ["doc_id", "t"]).select("*", *keyed(""), *keyed("next_")))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    one = texts.dropDuplicates(["doc_id", "t"])
-    tails = line.join(one, line.next_doc_id.eqNullSafe(one.doc_id) & (line.next_t == one.t)).select(line.doc_id, line.t, "n_chars", "next_doc_id", "next_t", F.substring("text", F.lit(1), half).alias("tail"))
-    both = texts.join(tails, texts.doc_id.eqNullSafe(tails.doc_id) & (texts.t == tails.t)).select(texts.doc_id, texts.t, "n_chars", "next_doc_id", "next_t", "text", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.col("tail")).alias("edited"))
+    # both joins shuffle the same columns of the texts by the same key, so Spark shuffles them once; of equal next rows one serves
+    other = texts.toDF("next_k", "next_none", "next_t", "text")
+    tails = line.join(other, next_key).select(*own_key, "doc_id", "n_chars", "next_doc_id", "next_t", F.substring("text", F.lit(1), half).alias("tail")).dropDuplicates(own_key)
+    both = texts.join(tails, own_key).select("doc_id", "t", "n_chars", "next_doc_id", "next_t", "text", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.col("tail")).alias("edited"))
     fixed = ["doc_id", "t", "n_chars", "next_doc_id", "next_t"]
     split = both.select(*fixed, F.sha2("edited", 256).alias("edited_sha256"), terms(F.col("text")).alias("w0"), terms(F.col("edited")).alias("w1"))
 
