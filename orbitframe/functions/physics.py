@@ -95,3 +95,28 @@ def exceedance(q: Column, levels: list[float], y: float) -> Column:
         a, b = F.get(q, F.lit(i - 1)), F.get(q, F.lit(i))
         p = p.when((a <= y) & (b > y), 1 - (levels[i - 1] + (levels[i] - levels[i - 1]) * (y - a) / (b - a)))
     return p
+
+
+# Orographic enhancement by source of the ancillary data, (surface class, airmass class): factor; 1 elsewhere.
+ENHANCEMENT = {
+    "ERA5": {(17, 0): 1.35683, (17, 1): 2.05213, (17, 2): 1.62242, (17, 3): 1.87049, (18, 0): 3.91369},
+    "GANAL": {(17, 0): 1.58177, (17, 1): 1.81539, (18, 0): 3.91369},
+}
+
+
+def enhancement(surface: Column, airmass: Column, kind: str = "ERA5") -> Column:
+    """Factor on precipitation over mountains."""
+    out = F.when(F.lit(False), 1.0)
+    for (s, a), factor in ENHANCEMENT[kind.upper()].items():
+        out = out.when((surface == s) & (airmass == a), factor)
+    return out.otherwise(1.0)
+
+
+def conical_x(pixel: Column, n: int, scan_range: float, radius_km: float) -> Column:
+    """Across-track place in km of a pixel of a conical scan; the middle pixel is at 0."""
+    return radius_km * F.sin(F.radians((pixel - (n - 1) / 2) * (scan_range / n)))
+
+
+def conical_pixel(x: Column, n: int, scan_range: float, radius_km: float) -> Column:
+    """Inverse of conical_x."""
+    return F.degrees(F.asin(x / radius_km)) / (scan_range / n) + (n - 1) / 2

@@ -163,3 +163,20 @@ def r11(spark, sf):
     df = tb(spark, sf).select("vec_id", F.get("tb", F.lit(0)).alias("t"))
     lo, hi = df.agg(F.min("t"), F.max("t")).first()
     return rounded(df.select("vec_id", (2 * (F.col("t") - lo) / (hi - lo) - 1).alias("x")))
+
+
+@query("f10_enhancement", f"WITH {OBS_SQL} SELECT sample_id, round(surface_precip * CASE " + " ".join(f"WHEN surface_type = {s} AND airmass_type = {a} THEN {f}::DOUBLE" for (s, a), f in physics.ENHANCEMENT["ERA5"].items()) + " ELSE 1 END + 1e-9, 6) AS surface_precip FROM obs")
+def f10(spark, sf):
+    return rounded(obs(spark, sf).select("sample_id", (F.col("surface_precip") * physics.enhancement(F.col("surface_type"), F.col("airmass_type"))).alias("surface_precip")), 1e-9)
+
+
+@query("f22_conical_inverse", f"WITH {OBS_SQL} SELECT sample_id, round(pixel::DOUBLE, 6) AS pixel FROM obs")
+def f22(spark, sf):
+    x = physics.conical_x(F.col("pixel"), 25, 130.0, 900.0)
+    return obs(spark, sf).select("sample_id", F.round(physics.conical_pixel(x, 25, 130.0, 900.0), 6).alias("pixel"))
+
+
+@query("m06_exceedance", f"WITH {TB_SQL}, {SORTED}, k AS (SELECT vec_id, q, len(list_filter(q, lambda v: v <= 220)) AS k FROM sorted) SELECT vec_id, round(CASE WHEN k = 0 THEN 1 - 1 / 16::DOUBLE WHEN k = 15 THEN 1 / 16::DOUBLE ELSE 1 - (k / 16 + (220 - q[k]) / (q[k + 1] - q[k]) / 16) END, 6) AS p FROM k")
+def m06e(spark, sf):
+    df = tb(spark, sf).select("vec_id", F.array_sort("tb").alias("q"))
+    return rounded(df.select("vec_id", physics.exceedance(F.col("q"), LEVELS, 220.0).alias("p")))
