@@ -95,3 +95,10 @@ def assemble(df: DataFrame, by: list[str], order: str, value: str, n: int, tile:
     place = F.col(order) - F.col("start")
     weight = F.least(F.lit(1.0), (place + 1) / (overlap + 1), (tile - place) / (overlap + 1))
     return cut.groupBy(*by, order).agg((F.sum(weight * F.col(value)) / F.sum(weight)).alias(value))
+
+
+def crossing(curve: DataFrame, by: list[str], x: str, y: str, level: float) -> DataFrame:
+    """(by, at): where a curve first rises to a level, linear between its points. A curve has few points."""
+    w = Window.partitionBy(*by).orderBy(x)
+    ahead = curve.select(*by, x, y, F.lead(x).over(w).alias("__x"), F.lead(y).over(w).alias("__y")).where((F.col(y) < level) & (F.col("__y") >= level))
+    return ahead.groupBy(*by).agg(F.min(F.col(x) + (F.col("__x") - F.col(x)) * (level - F.col(y)) / (F.col("__y") - F.col(y))).alias("at"))
