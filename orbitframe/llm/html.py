@@ -9,7 +9,8 @@ A page's text is taken from its article (or main) elements, else from its body,
 or role names boilerplate, and without the wrapper's template text, unless that is most of what is left (then the pages are copies).
 
 Groups have about `pages_per_wrapper` pages: a host with more is dealt over several by a hash of the page id, so no host meets in one task.
-Pages travel compressed, in one shuffle, and are streamed group by group.
+Pages travel compressed, in one shuffle, and are streamed group by group. The page counts of hosts with more than one group are broadcast up
+to MOST_BROADCAST hosts of 16 bytes each; beyond it a shuffle join takes their place, with the same rows.
 
 Defined cases: a null html is empty and gives an empty text; a null url has the host ''; markup that is cut off or not closed is read to the
 end; equal rows give equal rows; other columns are ignored.
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitframe.llm.common import chunks, table
+from orbitframe.llm.common import chunks, stage, table
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|math|select|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
@@ -47,6 +48,8 @@ NAMES = set(
 )
 CONTENT = {"article", "main", "body", "html"}
 
+MOST_BROADCAST = 200_000
+
 
 class Element:
     __slots__ = ("tag", "children", "junk")
@@ -319,9 +322,12 @@ def grouped(pages: DataFrame, pages_per_wrapper: int = 12) -> DataFrame:
     """Pages dealt by host and part, each group in one run of a partition."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1), F.lit("")))
     own = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).cast("binary").alias("html"))
-    counts = own.groupBy("host").agg(F.count("*").alias("n"))
-    packed = own.mapInArrow(_pack, "page_id long, url string, host string, z binary").join(counts, "host")
-    part = F.pmod(F.xxhash64("page_id", "url"), F.ceil(F.col("n") / pages_per_wrapper))
+    counts = own.groupBy(F.xxhash64("host").alias("h")).agg(F.count("*").alias("n")).where(F.col("n") > pages_per_wrapper)
+    crowded = stage(counts)
+    if crowded.count() <= MOST_BROADCAST:
+        crowded = F.broadcast(crowded)
+    packed = own.mapInArrow(_pack, "page_id long, url string, host string, z binary").withColumn("h", F.xxhash64("host")).join(crowded, "h", "left").drop("h")
+    part = F.pmod(F.xxhash64("page_id", "url"), F.coalesce(F.ceil(F.col("n") / pages_per_wrapper), F.lit(1)))
     return packed.withColumn("part", part).drop("n").repartition("host", "part").sortWithinPartitions("host", "part", "page_id")
 
 
