@@ -199,3 +199,15 @@ def test_html_odd(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (2, "http://a/b", "<p>hi", "y"), (2, "http://a/b", "<p>hi", "y")], "page_id long, url string, html string, host string")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.main_texts(df).collect()) == [(1, "", 0), (2, "hi", 2), (2, "hi", 2)]
     assert html.main_texts(df.limit(0)).count() == 0 and html.wrappers(df).count() == 2
+
+
+def test_html_groups_do_not_depend_on_how_counts_travel(spark, monkeypatch):
+    """Crowded hosts beyond the bound of the broadcast are joined by a shuffle: same groups."""
+    from orbitframe.llm import html
+
+    rows = [(i, f"http://h{i % 3 if i < 30 else i}.org/{i}", f"<p>page {i}</p>") for i in range(40)] + [(None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one = sorted((str(r["page_id"]), r["host"], r["part"]) for r in html.grouped(pages, 4).collect())
+    monkeypatch.setattr(html, "MOST_BROADCAST", 0)
+    assert one == sorted((str(r["page_id"]), r["host"], r["part"]) for r in html.grouped(pages, 4).collect())
+    assert len(one) == 41 and len({p for _, h, p in one if h == "h0.org"}) > 1
