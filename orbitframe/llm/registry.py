@@ -32,8 +32,6 @@ _QUERIES = {
 }
 
 _SQL: dict[str, str] = {
-    "op4_licenses": op4_licenses,
-    "op5_scoring": op5_scoring,
     "op6_mixing": mixing.ORACLE,
 }
 
