@@ -9,9 +9,9 @@ in 3e5. Classes are the connected components of the links.
 
 Texts with equal elements form one node beforehand, so copies never multiply. In a bucket every member is verified against a leader, not
 against each other; members that are still apart are verified against further leaders with many links. Members of buckets that are then
-still in several classes are dealt anew by the codes of three bands together (`TRIPLES` of them), where only pairs that are nearly at the
-threshold meet, and all such pairs in different classes are verified. A class that hangs together by one single link at 0.8 that no leader
-has part in is thus split in one case of a hundred (at 0.85 in one of 1e4). All of it is joins on hashed keys that Spark can split.
+still in several classes are split exactly: they are dealt by their rarest elements, as many as two sets at the threshold must share one
+of (`meeting`), and every pair in different classes that meets there and that bounds on the overlap let through is verified. No link among
+them is lost. All of it is joins on hashed keys that Spark can split.
 
 Defined cases: a null text is empty; a text without words is alone in its class; rows of one id are one document and share its class;
 rows with a null id have no class (null) and join nobody; columns other than doc_id and text are ignored (keep_one carries them).
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from orbitframe.llm.common import WordHash, chunks, mix, offsets, stage, starts, table, windows
 
-WORDS, BANDS, ROWS, THRESHOLD, TRIPLES = 5, 24, 4, 0.8, 64
+WORDS, BANDS, ROWS, THRESHOLD, PARITY = 5, 24, 4, 0.8, 8
 KEY = ["doc_id", "t"]
 
 
@@ -102,11 +102,42 @@ def _pack(batches):
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["t"], pa.array(z, pa.binary())], names=["doc_id", "t", "z"])
 
 
+def parities(e: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each text PARITY words of 64 bits: each element turns one bit over, so two texts' bits differ in no more places than their sets do."""
+    n = len(at) - 1
+    slot = np.repeat(np.arange(n), np.diff(at)) * (PARITY * 64) + (mix(e) % np.uint64(PARITY * 64)).astype(np.int64)
+    odd = (np.bincount(slot, minlength=n * PARITY * 64) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(n, PARITY)
+
+
 def _sets(batches):
     cache, unpack = WordHash(), zstandard.ZstdDecompressor()
     for batch in chunks(batches, "z", budget=1 << 20, rows=128):
         e, _, at = elements([unpack.decompress(z) for z in batch["z"].to_pylist()], cache)
-        yield pa.RecordBatch.from_arrays([batch["node"], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(e.view(np.int64)))], names=["node", "items"])
+        bits = pa.ListArray.from_arrays(pa.array(np.arange(len(at)) * PARITY, pa.int32()), pa.array(parities(e, at).ravel()))
+        yield pa.RecordBatch.from_arrays([batch["node"], batch["t"], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(e.view(np.int64))), bits], names=["node", "t", "items", "bits"])
+
+
+def meeting(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of sets (node, t, comp, items, bits) of different classes, among them every pair whose Jaccard similarity is at least the
+    threshold. Of all elements in an order, such a pair shares one of the first n - ceil(threshold * n) + 1 of either set. Elements that only
+    one class has come first in the order and meet nobody, then the rarest; sizes, places and parities bound the overlap before a pair is made."""
+    each = stage(sets.select("node", "t", "comp", F.explode("items").alias("x")))
+    across = each.groupBy("x").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("x", "df")
+    order = each.join(across, "x").groupBy("node", "t").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("order"))
+    order = order.join(sets.select("node", "t", "comp", "bits", F.size("items").alias("n")), ["node", "t"])
+    alone = F.col("n") - F.size("order")
+    first = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - alone
+    keyed = order.where(first > 0).select("node", "comp", "n", "bits", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), first.cast("int"))).alias("k", "e"))
+    keyed = stage(keyed.select("node", "comp", "n", "bits", "alone", "k", F.col("e.x").alias("x")))
+    kept = keyed.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("x")
+    one = keyed.join(kept, "x")
+    two = one.select("x", *(F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n", "bits", "alone", "k")))
+    need = F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("n_b")) - 1e-6
+    after = F.least(F.col("n") - F.col("alone") - F.col("k"), F.col("n_b") - F.col("alone_b") - F.col("k_b"))
+    differ = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(PARITY)), F.lit(0))
+    able = (F.least("n", "n_b") >= need) & (F.least("k", "k_b") + after >= need) & (F.col("n") + F.col("n_b") - differ >= 2 * need)
+    return one.join(two, "x").where((F.col("comp") < F.col("comp_b")) & able).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -134,8 +165,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     shared = placed.groupBy("band", "code").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last")
     members = stage(placed.join(shared, ["band", "code"]))
     live = members.select(F.col("node").alias("doc_id"), "t").distinct()
-    packed = keyed.mapInArrow(_pack, "doc_id long, t long, z binary").join(live, KEY).dropDuplicates(KEY).select(F.col("doc_id").alias("node"), "z")
-    sets = stage(packed.mapInArrow(_sets, "node long, items array<long>"))
+    packed = keyed.mapInArrow(_pack, "doc_id long, t long, z binary").join(live, KEY).dropDuplicates(KEY).select(F.col("doc_id").alias("node"), "t", "z")
+    sets = stage(packed.mapInArrow(_sets, "node long, t long, items array<long>, bits array<long>"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b) those with enough elements in common."""
@@ -164,15 +195,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
         if turn < 2:
             pairs = now.join(split, ["band", "code"]).where((F.col("comp") != F.col("lead_comp")) & alike("n", "lead_n")).select(F.col("node").alias("a"), "b").distinct()
         else:  # whatever is still apart
-            apart = now.join(split.select("band", "code"), ["band", "code"]).select("node", "comp", "n").distinct()
-            r = np.random.default_rng(9)
-            triples = [sorted(r.choice(bands, size=min(3, bands), replace=False).tolist()) for _ in range(TRIPLES)]
-            keys = F.array(*(F.xxhash64(F.lit(k), *(F.get("bands", F.lit(x)) for x in t)) for k, t in enumerate(triples)))
-            rest = stage(apart.join(node.select("node", "bands"), "node").select("node", "comp", "n", F.explode(keys).alias("key")))
-            both = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-            rest = stage(rest.join(both, "key"))
-            other = rest.select("key", F.col("node").alias("b"), F.col("comp").alias("other_comp"), F.col("n").alias("other_n"))
-            pairs = rest.join(other, (rest.key == other.key) & (rest.comp < F.col("other_comp")) & alike("n", "other_n")).select(F.col("node").alias("a"), "b").distinct()
+            apart = now.join(split.select("band", "code"), ["band", "code"]).select("node", "comp").distinct()
+            pairs = meeting(sets.join(apart, "node"), threshold)
         more = stage(linked(pairs))
         if more.head(1):
             links = links.unionByName(more)

@@ -90,6 +90,16 @@ def test_neardup_odd(odd, empty):
     assert neardup.classes(empty).count() == 0
 
 
+def test_neardup_single_links(spark):
+    """Pairs at exactly 0.8, all of whose common elements others have as well, at most at 0.74: one link each, which hardly any leader has part in."""
+    core, rows = [f"c{k}" for k in range(80)], []
+    for i in range(256):
+        both = core + [f"u{i // 16}x{k}" for k in range(4)] + ["s0", "s1", "s2", "s3"] + [f"v{i % 16}x{k}" for k in range(4)]
+        rows += [(2 * i + j, " ".join(both + [f"o{i}x{j}x{k}" for k in range(11)])) for j in range(2)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_probability_jaccard():
     """Registers agree with the probability Jaccard of the weights."""
     r = np.random.default_rng(1)
