@@ -3,8 +3,9 @@
 Texts are cut into blocks of `block` words; a passage is two neighbouring blocks. Terms are the words of the benchmark; document
 frequencies over all documents give TF-IDF weights. A distributed randomised SVD follows: every task adds its passages' share of A'A Omega,
 and the driver turns the sum (terms x sketch) into the leading right singular vectors. Terms in more than `common` of the documents
-weigh nothing here, as they tell languages apart and not passages; they count in the verification. Each passage whose latent vector has a cosine of
-`cosine` or more with an item's is a candidate. Candidates are verified in place: the longest common subsequence of the item and the words
+weigh nothing here, as they tell languages apart and not passages; they count in all that follows. Each passage whose latent vector has a cosine of
+`cosine` or more with an item's is a candidate, and so is every stretch of text, whatever its cosine, that holds `loose` of an item's IDF weight:
+no other can pass the verification, so neither the cut nor the rank loses a leak. Candidates are verified in place: the longest common subsequence of the item and the words
 around the passage must hold `near` of the item's IDF weight, or `loose` of it together with `answer` of its last fifth (the answer), which
 lets paraphrases through and keeps look-alikes out.
 
@@ -135,41 +136,92 @@ def common_weight(item: np.ndarray, words: np.ndarray, idf: np.ndarray) -> float
     return float(row[-1])
 
 
+def rarest(items: list[tuple[int, np.ndarray]], idf: np.ndarray, loose: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Postings of each item's rarest words, ascending by word: where each word's begin, the items, the weights; and the weight of these words
+    that a text must have for `loose` of the item's weight, if it has all other words. The others hold at most half of `loose`."""
+    word, item, weight, least = [], [], [], np.zeros(len(items))
+    for i, (_, x) in enumerate(items):
+        w, n = np.unique(x, return_counts=True)
+        order = np.argsort(-idf[w], kind="stable")
+        w, v = w[order], (n * idf[w])[order].astype(np.float64)
+        left = v.sum() - np.cumsum(v)
+        k = int(np.argmax(left <= loose / 2 * v.sum())) + 1
+        word.append(w[:k]), item.append(np.full(k, i)), weight.append(v[:k])
+        least[i] = (loose * v.sum() - left[k - 1]) * (1 - 1e-5)
+    word, item, weight = np.concatenate(word), np.concatenate(item), np.concatenate(weight)
+    order = np.argsort(word, kind="stable")
+    return np.searchsorted(word[order], np.arange(len(idf) + 1)), item[order], weight[order], least
+
+
+def stretches(ids: np.ndarray, place: np.ndarray, doc: np.ndarray, index, size: int, length: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches (document and number in one code) of `length` words and `reach` beyond, and the items whose rarest words they hold enough of."""
+    at, item, weight, least = index
+    own = np.flatnonzero(at[ids + 1] > at[ids])
+    ids, place, doc = ids[own], place[own], doc[own]
+    number = place // length
+    early = np.flatnonzero((number > 0) & (place - number * length < reach))
+    code = np.concatenate((doc * (1 << 40) + number, doc[early] * (1 << 40) + number[early] - 1))
+    names, code = np.unique(code, return_inverse=True)
+    both = np.unique(code * size + np.concatenate((ids, ids[early])))  # each word of a stretch once
+    code, ids = both // size, both % size
+    n = at[ids + 1] - at[ids]
+    spot = np.repeat(at[ids] - offsets(n)[:-1], n) + np.arange(n.sum())
+    key = np.repeat(code, n) * len(least) + item[spot]
+    held = np.bincount(key, weight[spot], minlength=len(names) * len(least)).reshape(len(names), len(least))
+    found, which = np.nonzero((held >= least) & (held > 0))
+    return names[found], which
+
+
 def _search(shared, kind: str, p: Params):
     def run(batches):
         idf, latent, items, vectors = shared.value
+        index = rarest(items, idf, p.loose)
+        reach = 2 * p.block + 2 * max(len(x) for _, x in items)
+        length = max(256, reach)
         names, mass = np.array([i for i, _ in items]), np.array([idf[x].sum() for _, x in items])
         bags = [dict(enumerate(np.bincount(x) * idf[: x.max() + 1])) for _, x in items]
         bags = [{t: float(v) for t, v in bag.items() if v} for bag in bags]
         for batch in chunks(batches, "ids", budget=128 << 10, rows=500):
             out = {"doc_id": [], "item_id": [], "cosine": [], "overlap": [], "answer": []}
             ids, place, doc, at = _tokens(batch, kind)
+            hits: dict[tuple[int, int], set[int]] = {}
             own = np.flatnonzero(latent[ids, 0] != 0)
+            z, of = np.zeros((0, latent.shape[1])), np.zeros(0, np.int64)
             if len(own):
                 first, code = _blocks(place[own], doc[own], p.block)
-                z = np.add.reduceat(latent[ids[own]], first, axis=0)
+                z, of = np.add.reduceat(latent[ids[own]], first, axis=0), code >> 40
                 z[:-1] += z[1:] * (code[1:] == code[:-1] + 1)[:, None]
                 z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-                hits: dict[tuple[int, int], list[tuple[int, float]]] = {}
                 for s in range(0, len(z), 4096):
                     cos = z[s : s + 4096] @ vectors.T
                     for k, i in zip(*(x.tolist() for x in np.nonzero(cos >= p.cosine)), strict=True):
-                        hits.setdefault((int(code[s + k] >> 40), i), []).append((int(code[s + k] & ((1 << 40) - 1)), float(cos[k, i])))
-                for (d, i), found in hits.items():
-                    item, spot = items[i][1], place[at[d] : at[d + 1]]
-                    words, best, end = ids[at[d] : at[d + 1]], (0.0, 0.0), None
-                    for k, _ in sorted(found):
-                        lo, hi = np.searchsorted(spot, (k * p.block - len(item), (k + 2) * p.block + len(item)))
-                        if (lo, hi) == end:
-                            continue
-                        end, near = (lo, hi), words[lo:hi]
-                        if sum(map(bags[i].__getitem__, bags[i].keys() & set(near.tolist()))) < p.loose * mass[i]:
-                            continue  # the shared terms bound what any subsequence shares
-                        tail = item[-max(3, len(item) // 5) :]
-                        best = max(best, (common_weight(item, near, idf) / mass[i], common_weight(tail, near, idf) / max(idf[tail].sum(), 1e-9)))
-                    if best[0] >= p.near or best[0] >= p.loose and best[1] >= p.answer:
-                        for name, v in zip(out, (batch["doc_id"][d].as_py(), int(names[i]), max(c for _, c in found), *best), strict=True):
-                            out[name].append(v)
+                        hits.setdefault((int(of[s + k]), i), set()).add(int(code[s + k] & ((1 << 40) - 1)))
+            _, code = _blocks(place, doc, p.block)
+            edge = np.searchsorted(code >> 40, np.arange(batch.num_rows + 1))
+            for name, i in zip(*(x.tolist() for x in stretches(ids, place, doc, index, len(idf), length, reach)), strict=True):
+                d, n = name >> 40, name & ((1 << 40) - 1)
+                lo, hi = np.searchsorted(place[at[d] : at[d + 1]], (n * length, n * length + length + reach))
+                if sum(map(bags[i].__getitem__, bags[i].keys() & set(ids[at[d] + lo : at[d] + hi].tolist()))) < p.loose * mass[i] * (1 - 1e-5):
+                    continue
+                k = code[edge[d] : edge[d + 1]] & ((1 << 40) - 1)
+                hits.setdefault((d, i), set()).update(k[np.maximum(k * p.block - len(items[i][1]), 0) // length == n].tolist())
+            for (d, i), found in hits.items():
+                item, spot = items[i][1], place[at[d] : at[d + 1]]
+                words, best, end = ids[at[d] : at[d + 1]], (False, 0.0, 0.0), None
+                for k in sorted(found):
+                    lo, hi = np.searchsorted(spot, (k * p.block - len(item), (k + 2) * p.block + len(item)))
+                    if (lo, hi) == end:
+                        continue
+                    end, near = (lo, hi), words[lo:hi]
+                    if sum(map(bags[i].__getitem__, bags[i].keys() & set(near.tolist()))) < p.loose * mass[i]:
+                        continue  # the shared terms bound what any subsequence shares
+                    tail = item[-max(3, len(item) // 5) :]
+                    overlap, answer = common_weight(item, near, idf) / mass[i], common_weight(tail, near, idf) / max(idf[tail].sum(), 1e-9)
+                    best = max(best, (overlap >= p.near or overlap >= p.loose and answer >= p.answer, overlap, answer))
+                if best[0]:
+                    cosine = float((z[of == d] @ vectors[i]).max(initial=0))
+                    for name, v in zip(out, (batch["doc_id"][d].as_py(), int(names[i]), cosine, *best[1:]), strict=True):
+                        out[name].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["item_id"], pa.int64()), *(pa.array(out[k], pa.float64()) for k in ("cosine", "overlap", "answer"))], names=list(out))
 
     return run

@@ -181,6 +181,17 @@ def test_decontaminate(spark, odd, empty):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_hot_item(spark, texts):
+    """An item in a third of the rows, some of them with every seventh word of its beginning replaced: found in each, however common its words."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    item, text = bench.orderBy("item_id").select("item_id", "text").first()
+    words = text.split()
+    other = " ".join(w if k % 7 or k > 0.7 * len(words) else f"instead{k}" for k, w in enumerate(words))
+    rows = [(i, t + " " + (other if k % 12 == 0 else text) if k % 3 == 0 else t) for k, (i, t) in enumerate(texts)]
+    got = {r["doc_id"] for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect() if r["item_id"] == item}
+    assert {i for k, (i, _) in enumerate(texts) if k % 3 == 0} <= got and len(got) < 0.4 * len(texts)
+
+
 @pytest.mark.parametrize("name, label, module", [("op1_quality", "quality", quality), ("op10_toxicity", "toxic", toxicity)])
 def test_classifiers(spark, odd, empty, name, label, module):
     sf = SF.replace("0.001", "0.01")
