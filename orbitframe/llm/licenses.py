@@ -1,11 +1,9 @@
 """License scan with a positional rare-token index, in DataFrame functions alone.
 
 Texts (A-Z lower-cased) are split into words; only places of words that some licence template has are kept, as two short arrays a document.
-Document frequencies of these words over the whole table give their IDF. Of each document the `look` highest-IDF licence words, as far as
-they stand in at most `common` of the documents, are looked up in the postings (word -> template, place); postings that agree in the
-relative place (place in the document minus place in the template) are votes for one occurrence. Where two rare words agree (one, if the
-template has no more), the template is compared in place: it is found if its mandatory phrase stands there word for word and at least half
-of all its words do. The postings have a few hundred rows by construction and are broadcast.
+Document frequencies of these words over the whole table tell the rarest word of each template's mandatory phrase. That word is looked up in
+the places of every document, however common it is; where the phrase stands around it word for word, the template is compared in place: it is
+found if at least half of all its words stand there. No other place can hold the template, so nothing is lost.
 
 Base labels come from phrases that stand consecutively, wherever they stand.
 
@@ -49,11 +47,6 @@ TEMPLATES = [
 VOCABULARY = sorted({w for _, text, _ in TEMPLATES for w in text.split()} | {w for p in BASE.values() for w in p.split()})
 
 
-def postings() -> list[tuple[int, int, int]]:
-    """(word, template, place) of every word of every template; words by their number in VOCABULARY."""
-    return [(VOCABULARY.index(w), k, i) for k, (_, text, _) in enumerate(TEMPLATES) for i, w in enumerate(text.split())]
-
-
 def places(docs: DataFrame) -> DataFrame:
     """(row, doc_id, n_words, at, word): places of licence words in each text, ascending, and the words' numbers."""
     words = F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), BREAK), lambda w: w != "")
@@ -63,47 +56,43 @@ def places(docs: DataFrame) -> DataFrame:
     return out.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), "at", F.transform("at", lambda i: (F.array_position(number, F.get("words", i)) - 1).cast("int")).alias("word"))
 
 
-def phrase_starts(phrase: str) -> Column:
-    """Where the phrase's words stand consecutively."""
+def phrase_starts(phrase: str, anchor: int = 0) -> Column:
+    """Where the phrase's words stand consecutively, found by the word `anchor` of it."""
     numbers = [VOCABULARY.index(w) for w in phrase.split()]
 
     def stands(j: Column) -> Column:
-        found = F.get("word", j) == numbers[0]
-        for k, n in enumerate(numbers[1:], 1):
-            found = found & (F.get("word", j + k) == n) & (F.get("at", j + k) == F.get("at", j) + k)
+        found = F.lit(True)
+        for k, n in enumerate(numbers):
+            if k != anchor:
+                found = found & (F.get("word", j + (k - anchor)) == n) & (F.get("at", j + (k - anchor)) == F.get("at", j) + (k - anchor))
         return found
 
-    inside = F.filter(F.transform("word", lambda w, j: F.when((w == numbers[0]) & stands(j), F.get("at", j))), lambda p: p.isNotNull())
-    return F.when(F.array_contains("word", numbers[-1]), inside).otherwise(F.array().cast("array<int>"))
+    inside = F.filter(F.transform("word", lambda w, j: F.when((w == numbers[anchor]) & stands(j), F.get("at", j) - anchor)), lambda p: p.isNotNull())
+    return F.when(F.array_contains("word", numbers[anchor]) & F.array_contains("word", numbers[-1]), inside).otherwise(F.array().cast("array<int>"))
+
+
+def occurrences(template: int, starts: Column, must: int) -> Column:
+    """Where the template begins if its phrase, `must` words after, stands at the starts."""
+    return F.transform(starts, lambda p: F.struct(F.lit(template).alias("template"), (p - must).alias("offset")))
 
 
-def scan(docs: DataFrame, look: int = 12, common: float = 0.05, share: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, share: float = 0.5) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row."""
     spark = docs.sparkSession
     seen = stage(places(docs))
-    n = seen.count()
     counts = {r["word"]: r["n"] for r in seen.select(F.explode(F.array_distinct("word")).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
-    order = sorted(range(len(VOCABULARY)), key=lambda w: (counts.get(w, 0), w))  # the highest IDF first
-    rare = [w for w in order if counts.get(w, 0) <= max(common * n, 1)] or order[:look]
-    rank = F.array(*(F.lit(order.index(w)) for w in range(len(VOCABULARY))))
-    numbers = F.array(*(F.lit(w) for w in rare))
-    chosen = F.slice(F.array_sort(F.transform(F.array_intersect("word", numbers), lambda w: F.get(rank, w))), 1, look)
-    looked = seen.where(F.arrays_overlap("word", numbers)).select("row", chosen.alias("chosen"), F.explode(F.arrays_zip("at", "word")).alias("h"))
-    hits = looked.where(F.array_contains("chosen", F.get(rank, F.col("h.word")))).select("row", F.col("h.at").alias("at"), F.col("h.word").alias("word"))
-
-    index = spark.createDataFrame(postings(), "word int, template int, place int")
-    votes = hits.join(F.broadcast(index), "word").groupBy("row", "template", (F.col("at") - F.col("place")).alias("offset")).agg(F.count("*").alias("votes"))
-    rules = []
+    rules, starts = [], []
     for k, (label, text, phrase) in enumerate(TEMPLATES):
         words, must = [VOCABULARY.index(w) for w in text.split()], [VOCABULARY.index(w) for w in phrase.split()]
         at = next(i for i in range(len(words)) if words[i : i + len(must)] == must)
-        rules.append((k, label, words, at, at + len(must) - 1, min(2, sum(w in rare for w in words))))
-    rules = spark.createDataFrame(rules, "template int, label string, words array<int>, must int, end int, least int")
-    near = votes.join(F.broadcast(rules), "template").where(F.col("votes") >= F.col("least")).join(seen.select("row", "at", "word"), "row")
+        rules.append((k, label, words))
+        anchor = min(range(len(must)), key=lambda i: counts.get(must[i], 0))  # the highest IDF
+        starts.append(occurrences(k, phrase_starts(phrase, anchor), at))
+    rules = spark.createDataFrame(rules, "template int, label string, words array<int>")
+    near = seen.select("row", "at", "word", F.explode(F.concat(*starts)).alias("c")).select("row", "at", "word", "c.template", "c.offset").join(F.broadcast(rules), "template")
     same = F.transform("words", lambda w, i: F.coalesce(F.get("word", F.array_position("at", (F.col("offset") + i).cast("int")) - 1) == w, F.lit(False)))
     near = near.withColumn("same", same)
-    near = near.where(F.forall(F.slice("same", F.col("must") + 1, F.col("end") - F.col("must") + 1), lambda x: x))
-    near = near.withColumn("best", F.size(F.filter("same", lambda x: x)) / F.size("same")).where(F.col("best") >= share)
+    near = near.select("row", "label", (F.size(F.filter("same", lambda x: x)) / F.size("same")).alias("best")).where(F.col("best") >= share)
     found = near.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("best").alias("best"))
 
     base = seen.select("row", "doc_id", "n_words", *(phrase_starts(p).alias(k) for k, p in BASE.items()))

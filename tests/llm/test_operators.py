@@ -134,6 +134,17 @@ def test_licenses(spark, texts, odd, empty):
     assert licenses.scan(odd).count() == 8 and licenses.scan(empty).count() == 0
 
 
+def test_licenses_common_notice_and_all_templates(spark):
+    """A notice in a third of the rows keeps its label, and so does each of many licence texts in one file."""
+    rows = [(i, f"some words number {i} " + ("licensed under cc by nc 4 0" if i % 3 == 0 else "and no notice")) for i in range(90)]
+    rows += [(100 + k, f"file {k} {text} end") for k, (_, text, _) in enumerate(licenses.TEMPLATES)]
+    rows.append((200, " ".join(f"part {k} {text} end" for k, (_, text, _) in enumerate(licenses.TEMPLATES))))
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == (["cc-by-nc"] if i % 3 == 0 else [""]) for i in range(90))
+    assert all(label in got[100 + k] for k, (label, _, _) in enumerate(licenses.TEMPLATES))
+    assert set(got[200]) == {label for label, _, _ in licenses.TEMPLATES}
+
+
 def test_scoring(spark, texts, odd, empty):
     c, ends = Counter(), 0
     for i, t in texts:
