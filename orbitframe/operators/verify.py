@@ -95,11 +95,18 @@ def gridded(df: DataFrame, step: float = 20.0, least: int = 5, by: tuple[str, ..
 
 
 def pr_curve(df: DataFrame, score: Column, cut: float = 1e-4) -> DataFrame:
-    """Precision and recall at every threshold. Scores are counted before anything is put in order."""
+    """Precision and recall at every threshold. Scores are counted and dealt by range; sums run inside a range, those before it are added."""
     counts = df.where(valid(frozen=(3, 4, 7))).groupBy(score.alias("threshold")).agg(F.count_if(_ref() > cut).alias("hits"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("threshold"))
-    run = counts.select("threshold", F.sum("hits").over(down).alias("tp"), F.sum("n").over(down).alias("flagged"), F.sum("hits").over(Window.partitionBy()).alias("all_hits"))
-    return run.select("threshold", F.try_divide("tp", "flagged").alias("precision"), F.try_divide("tp", "all_hits").alias("recall"))
+    ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    edges = counts.select(F.col("threshold").cast("double").alias("x")).approxQuantile("x", [k / ranges for k in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
+    above = F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)).cast("array<double>"), lambda e: e > F.col("threshold")))
+    counts = counts.withColumn("p", F.when(F.col("threshold").isNull(), len(edges)).otherwise(above))
+    line, down = Window.orderBy("p"), Window.partitionBy("p").orderBy(F.desc("threshold"))  # line: one row a range
+    before = counts.groupBy("p").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
+    before = before.select("p", (F.sum("hits").over(line) - F.col("hits")).alias("hits_before"), (F.sum("n").over(line) - F.col("n")).alias("n_before"), F.sum("hits").over(Window.partitionBy()).alias("all_hits"))
+    run = counts.select("p", "threshold", F.sum("hits").over(down).alias("tp"), F.sum("n").over(down).alias("flagged")).join(F.broadcast(before), "p")
+    tp, flagged = F.col("tp") + F.col("hits_before"), F.col("flagged") + F.col("n_before")
+    return run.select("threshold", F.try_divide(tp, flagged).alias("precision"), F.try_divide(tp, F.col("all_hits")).alias("recall"))
 
 
 def detection(df: DataFrame, by: list[str], cut: float = 1.0) -> DataFrame:

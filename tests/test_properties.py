@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from orbitframe.functions import bins, geo, physics
 from orbitframe.operators import grid, sequence, stats
+from orbitframe.plans import registry
 
 
 def test_ecef_round_trip(spark):
@@ -55,3 +56,9 @@ def test_cosine_has_its_energy_at_its_scale():
     assert np.allclose(c @ c.T, np.eye(64))
     x = np.cos(np.pi * 4 * (np.arange(64) + 0.5) / 64)
     assert np.argmax(np.abs(c @ x)) == 4
+
+
+def test_pr_curve_orders_thresholds_inside_ranges(spark):
+    """No window takes all thresholds into one task."""
+    plan = registry.queries()["a39_pr_curve"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(p#" in plan and "windowspecdefinition(threshold#" not in plan
