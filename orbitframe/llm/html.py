@@ -1,25 +1,33 @@
 """Main text of HTML pages, by union-free wrappers inferred from the pages of a host.
 
-A page's token stream (tags and texts) is folded into balanced units; neighbouring units with the same tag fold into one repeated group. The
-wrapper of a group of pages of one host starts as the first page and is aligned with one page after another: texts that differ become slots,
-units that only one side has become optional, neighbours with the same tag become repeated. No alternatives (unions) arise. What is still
-constant in the wrapper after three pages or more is template text.
+A page's tokens are folded into balanced units. Texts with their inline markup are leaves; neighbours of one kind fold into one repeated unit, and
+runs such as (h2 p)(h2 p) into one repeated group. The wrapper of a group of pages of one host starts as the first page and is aligned with
+one page after another: texts that differ become slots, units that only one side has become optional, neighbours of one kind become
+repeated. No alternatives (unions) arise. Every text of every page belongs to one leaf of the wrapper, and the wrapper decides about it:
 
-A page's text is taken from its article (or main) elements, else from its body, without boilerplate elements and elements whose class, id
-or role names boilerplate, and without the wrapper's template text, unless that is most of what is left (then the pages are copies).
+* a leaf that is neither optional nor repeated and has one text on all of three pages or more is template text, which is dropped unless it
+  is most of a page's text (then the pages are copies);
+* the content is the wrapper's article units, else its main units, if they hold at least `least_share` of the slot text, else the whole page
+  without lists of links;
+* units whose tag, class, id or role names boilerplate are not content, unless the wrapper shows that there is next to nothing else.
 
 Groups have about `pages_per_wrapper` pages: a host with more is dealt over several by a hash of the page id, so no host meets in one task.
 Pages travel compressed, in one shuffle, and are streamed group by group. The page counts of hosts with more than one group are broadcast up
 to MOST_BROADCAST hosts of 16 bytes each; beyond it a shuffle join takes their place, with the same rows.
 
+Any markup takes time in proportion to its length and any depth: tags are found by one scan, trees are walked with stacks, and lists of units that
+are too long for a table of common subsequences are aligned at the kinds that occur once on either side.
+
 Defined cases: a null html is empty and gives an empty text; a null url has the host ''; markup that is cut off or not closed is read to the
-end; equal rows give equal rows; other columns are ignored.
+end, an unfinished tag at the end is dropped; equal rows give equal rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
@@ -28,16 +36,10 @@ from pyspark.sql import functions as F
 
 from orbitframe.llm.common import chunks, stage, table
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|math|select|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-
 # HTML vocabulary.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = set("script style noscript template textarea title iframe svg math select object canvas".split())
 BOILERPLATE = set("nav header footer aside menu form fieldset button label dialog head".split())
 CLOSED_BY = {"p": set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()), "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
@@ -46,65 +48,129 @@ NAMES = set(
     "sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer comment comments discussion disqus replies reply respond share sharing social related recommended recommendations "
     "widget toolbar login signin signup search pagination pager copyright legal disclaimer complementary contentinfo skip".split()
 )
-CONTENT = {"article", "main", "body", "html"}
+SECTIONS = ("article", "main", "body")
+REGIONS = ("article", "main")
+LISTS = {"ul", "ol", "dl", "table", "div", "section"}
+NAMED = set("div section ul ol table td p form main article".split())
 
 MOST_BROADCAST = 200_000
+MOST_CELLS = 40_000
+
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile("[>\"']")
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """('', text, ''), ('/', tag, '') and ('<', tag, attributes) in page order; comments, declarations and raw elements are skipped."""
+    at, n, ended = 0, len(page), set()  # ended: quotes that do not occur any more
+    while at < n:
+        i = page.find("<", at)
+        if i < 0:
+            yield "", page[at:], ""
+            return
+        sign = page[i + 1 : i + 2]
+        name = NAME.match(page, i + 2 if sign == "/" else i + 1)
+        if not name and sign not in ("!", "?", "/"):
+            yield "", page[at : i + 1], ""  # a lone sign is text
+            at = i + 1
+            continue
+        if i > at:
+            yield "", page[at:i], ""
+        if not name:
+            end = page.find("-->", i + 4) + 2 if page.startswith("<!--", i) else page.find(">", i + 1)
+            if end < i:
+                return
+            at = end + 1
+            continue
+        k = name.end()
+        while stop := STOP.search(page, k):
+            k = stop.end()
+            if stop[0] == ">":
+                break
+            if stop[0] not in ended and page[max(i, stop.start() - 40) : stop.start()].rstrip().endswith("="):
+                close = page.find(stop[0], k)
+                if close < 0:
+                    ended.add(stop[0])
+                else:
+                    k = close + 1
+        if not stop:
+            return
+        at, tag, attributes = k, name[0].lower(), page[name.end() : k - 1]
+        if sign == "/":
+            yield "/", tag, ""
+            continue
+        yield "<", tag, attributes
+        if tag in RAW and not attributes.endswith("/"):
+            end = re.compile(f"</{tag}(?=[\\s/>]|$)", re.I).search(page, at)
+            at = page.find(">", end.end()) + 1 if end else 0
+            at = at or n
+            yield "/", tag, ""
 
 
 class Element:
-    __slots__ = ("tag", "children", "junk")
+    """A balanced unit; kind is its tag with the names in its class, junk whether tag or attributes name boilerplate."""
 
-    def __init__(self, tag: str, junk: bool = False):
-        self.tag, self.children, self.junk = tag, [], junk
+    __slots__ = ("tag", "kind", "children", "junk")
 
+    def __init__(self, tag: str, attributes: str = ""):
+        self.tag, self.children = tag, []
+        self.junk, names = described(tag, attributes)
+        self.kind = ".".join([tag, *names]) + "!" * self.junk
 
-def _is_junk(tag: str, attributes: str) -> bool:
-    if tag in BOILERPLATE:
-        return True
-    if tag in ("html", "body") or not attributes.strip():
-        return False
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
+
+def described(tag: str, attributes: str) -> tuple[bool, list[str]]:
+    """Whether a unit is boilerplate by its tag and attributes, and the words of its class."""
+    junk, names = tag in BOILERPLATE or tag in RAW, []
+    if tag in ("html", "body") or not attributes.strip(" /\n\t"):
+        return junk, names
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id", "role"):
+            junk = True
+        elif name in ("class", "id", "role"):
             words = re.findall(r"[a-z]+", value)
-            if NAMES.intersection(words) or "header" in words and not {"article", "entry", "post"}.intersection(words):
-                return True
-    return False
+            junk = junk or bool(NAMES.intersection(words)) or "header" in words and not {"article", "entry", "post"}.intersection(words)
+            if name == "class" and tag in NAMED:
+                names = sorted(set(words))[:4]
+    return junk, names
 
 
 def parse(page: str) -> Element:
     """The page as a tree of balanced units; texts are str children. Unclosed units end where their parent ends."""
     root = Element("#root")
-    stack, at = [root], 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            stack[-1].children.append(entities.unescape(page[at : m.start()]))
-        at = m.end()
-        if not m[3]:
-            continue
-        tag = m[3].lower()
-        if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
+    stack, places, blocks = [root], defaultdict(list), []  # where each tag and where blocks stand in the stack
+
+    def close(k: int) -> None:
+        for j in range(len(stack) - 1, k - 1, -1):
+            places[stack[j].tag].pop()
+            if blocks and blocks[-1] == j:
+                blocks.pop()
+        del stack[k:]
+
+    for sign, value, attributes in tokens(page):
+        if not sign:
+            stack[-1].children.append(entities.unescape(value))
+        elif sign == "/":
+            if places[value]:
+                k = places[value][-1]
+                if value not in INLINE or k > max((places[s][-1] for s in SECTIONS if places[s]), default=0):  # a stray end tag closes no section
+                    close(k)
+        else:
+            for k in reversed(blocks):
+                above = stack[k].tag
+                if value in CLOSED_BY.get(above, ()):
+                    close(k)
                     break
-                if stack[k].tag in ("article", "main", "body") and tag in INLINE:
-                    break  # a stray end tag closes no section
-            continue
-        for k in range(len(stack) - 1, 0, -1):
-            if tag in CLOSED_BY.get(stack[k].tag, ()):
-                del stack[k:]
-                break
-            if stack[k].tag not in INLINE and tag not in SCOPES.get(stack[k].tag, ()) and stack[k].tag != "p" or stack[k].tag in ("ul", "ol", "table", "dl"):
-                break
-        unit = Element(tag, _is_junk(tag, m[4] or ""))
-        stack[-1].children.append(unit)
-        if tag not in VOID and not (m[4] or "").rstrip().endswith("/"):
-            stack.append(unit)
-    if at < len(page) and not page[at:].lstrip().startswith("<"):
-        stack[-1].children.append(entities.unescape(page[at:]))
+                if above in ("ul", "ol", "table", "dl") or above != "p" and value not in SCOPES.get(above, ()):
+                    break
+            unit = Element(value, attributes)
+            stack[-1].children.append(unit)
+            if value not in VOID and not attributes.rstrip().endswith("/"):
+                places[value].append(len(stack))
+                if value not in INLINE:
+                    blocks.append(len(stack))
+                stack.append(unit)
     return root
 
 
@@ -112,177 +178,252 @@ def clean(text: str) -> str:
     return " ".join(text.split())
 
 
-# A wrapper is a list of items [key, value, optional, repeated]: key '#' with value a constant or None (a slot), or key a tag with value the
-# items inside.
+class Node:
+    """A unit of a wrapper: kind '#' is a leaf whose text is a constant or None (a slot), kind '(' a group, others are elements. `slot` counts the
+    characters that its texts have outside links, `all` all of them. Nodes that were found to be one unit refer to the one that stands for them."""
 
+    __slots__ = ("kind", "tag", "junk", "items", "text", "optional", "repeated", "is_", "own", "linked")
 
-def fold(unit: Element) -> list[list]:
-    """A unit's content as wrapper items."""
-    items = []
-    for child in unit.children:
-        if isinstance(child, str):
-            if text := clean(child):
-                items.append(["#", text, False, False])
-        elif child.tag in INLINE:
-            items += fold(child)
-        else:
-            items.append([child.tag, fold(child), False, False])
-    return repeat(items)
+    def __init__(self, kind: str, tag: str, junk: bool = False, text: str | None = None, linked: int = 0):
+        self.kind, self.tag, self.junk, self.text = kind, tag, junk, text
+        self.items: list[Node] = []
+        self.optional = self.repeated = False
+        self.is_: Node | None = None
+        self.own, self.linked = len(text or ""), linked
+
+    def root(self) -> Node:
+        node = self
+        while node.is_ is not None:
+            node = node.is_
+        while self.is_ is not None and self.is_ is not node:
+            self.is_, self = node, self.is_
+        return node
 
 
-def repeat(items: list[list]) -> list[list]:
-    """Neighbours with one key become a repeated group whose body stands for all of them."""
-    out: list[list] = []
+def merge(pairs: list[tuple[Node, Node]]) -> None:
+    """Make one of each pair of nodes, and of what is aligned inside them."""
+    while pairs:
+        a, b = (x.root() for x in pairs.pop())
+        if a is b:
+            continue
+        b.is_ = a
+        a.own, a.linked = a.own + b.own, a.linked + b.linked
+        a.optional, a.repeated, a.junk = a.optional or b.optional, a.repeated or b.repeated, a.junk and b.junk
+        if a.kind == "#":
+            a.text = a.text if a.text == b.text else None
+        elif a.items or b.items:
+            a.items = align(a.items, b.items, pairs)
+        b.items = []
+
+
+def fold(items: list[Node], pairs: list[tuple[Node, Node]]) -> list[Node]:
+    """Neighbours of one kind become one repeated unit, equal neighbouring runs of two to four units a repeated group."""
+    out: list[Node] = []
     for item in items:
-        if out and out[-1][0] == item[0]:
-            last = out[-1]
-            if item[0] == "#":
-                last[1] = last[1] if last[1] == item[1] else None
-            else:
-                last[1] = align(last[1], item[1])
-            last[2], last[3] = last[2] and item[2], True
+        if out and out[-1].kind == item.kind:
+            out[-1].repeated = True
+            pairs.append((out[-1], item))
         else:
             out.append(item)
+    for period in (2, 3, 4):
+        kinds, rest, k = [x.kind for x in out], [], 0
+        while k < len(out):
+            end = k + period
+            while end + period <= len(out) and kinds[end : end + period] == kinds[k : k + period]:
+                end += period
+            if end - k < 2 * period or not any(x.kind != "#" for x in out[k : k + period]):
+                rest.append(out[k])
+                k += 1
+                continue
+            group = Node("(" + " ".join(kinds[k : k + period]), "(")
+            group.items, group.repeated = out[k : k + period], True
+            pairs += [(out[j - period], out[j]) for j in range(end - 1, k + period - 1, -1)]
+            rest.append(group)
+            k = end
+        out = rest
     return out
 
 
-def align(a: list[list], b: list[list]) -> list[list]:
-    """The least wrapper without alternatives that covers both: along their longest common subsequence of keys."""
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
+def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A common subsequence: the longest one where a table of MOST_CELLS holds it, else along the kinds that occur once on either side."""
+    n, head, tail = min(len(a), len(b)), 0, 0
+    while head < n and a[head] == b[head]:
+        head += 1
+    while tail < n - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    middle: list[tuple[int, int]] = []
+    if len(x) * len(y) <= MOST_CELLS:
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            for j in range(len(y) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        while i < len(x) and j < len(y):
+            if x[i] == y[j]:
+                middle.append((i, j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    else:
+        once_x, once_y = Counter(x), Counter(y)
+        there = {k: j for j, k in enumerate(y) if once_y[k] == 1}
+        last = -1
+        for i, k in enumerate(x):
+            if once_x[k] == 1 and there.get(k, -1) > last:
+                last = there[k]
+                middle.append((i, last))
+    return [(i, i) for i in range(head)] + [(head + i, head + j) for i, j in middle] + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+
+
+def align(a: list[Node], b: list[Node], pairs: list[tuple[Node, Node]]) -> list[Node]:
+    """The items of a wrapper without alternatives that covers both; what they have in common is left in pairs."""
+    a, b = [x.root() for x in a], [x.root() for x in b]
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            key, x, y = a[i][0], a[i][1], b[j][1]
-            out.append([key, (x if x == y else None) if key == "#" else align(x, y), a[i][2] or b[j][2], a[i][3] or b[j][3]])
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], a[i][1], True, a[i][3]])
-            i += 1
-        else:
-            out.append([b[j][0], b[j][1], True, b[j][3]])
-            j += 1
-    return repeat(out)
-
-
-def constants(items: list[list], path: tuple[str, ...] = ()) -> set[tuple]:
-    """(path, text) of the texts that every page has."""
-    out: set[tuple] = set()
-    for key, value, optional, repeated in items:
-        if optional or repeated:
+    for p, q in [*matches([x.kind for x in a], [x.kind for x in b]), (len(a), len(b))]:
+        for extra in (*a[i:p], *b[j:q]):
+            extra.optional = True
+            out.append(extra)
+        if p < len(a):
+            pairs.append((a[p], b[q]))
+            out.append(a[p])
+        i, j = p + 1, q + 1
+    return fold(out, pairs)
+
+
+def wrap(page: Element) -> tuple[Node, list[tuple[Node, str]]]:
+    """The wrapper of one page, and its leaves with their texts in page order."""
+    top, leaves, run, linked = Node("#root", "#root"), [], [], 0
+
+    def flush(node: Node) -> None:
+        nonlocal linked
+        if text := clean("".join(run)):
+            leaf = Node("#", "#", text=text, linked=min(linked, len(text)))
+            node.items.append(leaf)
+            leaves.append((leaf, text))
+        run.clear()
+        linked = 0
+
+    # (element, its node, its next child, whether in a link); inline elements go with the node they stand in
+    stack, order = [(page, top, 0, False)], [top]
+    while stack:
+        unit, node, k, link = stack.pop()
+        if k == len(unit.children):
+            if unit.tag not in INLINE:
+                flush(node)
             continue
-        if key == "#":
-            out |= {(path, value)} if value is not None else set()
+        stack.append((unit, node, k + 1, link))
+        child = unit.children[k]
+        if isinstance(child, str):
+            run.append(child)
+            linked += len(clean(child)) * link
+        elif child.tag in RAW or child.tag in ("br", "img", "wbr") or child.junk and child.tag in INLINE:
+            run.append(" " if child.tag == "br" else "")
+            if child.tag in RAW:
+                flush(node)
+        elif child.tag in INLINE:
+            stack.append((child, node, 0, link or child.tag == "a"))
         else:
-            out |= constants(value, (*path, key))
-    return out
-
-
-def expression(items: list[list]) -> str:
+            flush(node)
+            own = Node(child.kind, child.tag, child.junk)
+            node.items.append(own)
+            order.append(own)
+            stack.append((child, own, 0, link))
+    pairs: list[tuple[Node, Node]] = []
+    for node in reversed(order):
+        node.items = fold([x.root() for x in node.items], pairs)
+        merge(pairs)
+    return top, leaves
+
+
+def infer(pages: list[str]) -> tuple[Node, list[list[tuple[Node, str]]]]:
+    """The wrapper of the pages, and of each page its leaves and texts."""
+    top, leaves = wrap(parse(pages[0]))
+    every, known = [leaves], {pages[0]: leaves}
+    for page in pages[1:]:
+        if page not in known:
+            other, known[page] = wrap(parse(page))
+            merge([(top, other)])
+        every.append(known[page])
+    return top, every
+
+
+def expression(top: Node) -> str:
     """The wrapper as a regular expression over tokens: slots are #PCDATA, groups end in ? or +."""
-    out = []
-    for key, value, optional, repeated in items:
-        body = (re.escape(value) if value is not None else "#PCDATA") if key == "#" else f"<{key}>{expression(value)}</{key}>"
-        sign = "+" * repeated + "?" * optional
-        out.append(f"({body}){sign}" if sign else body)
+    out, stack = [], [x.root() for x in reversed(top.items)]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            out.append(item)
+            continue
+        sign = "+" * item.repeated + "?" * item.optional
+        first, last = ("(", ")" + sign) if sign else ("", "")
+        if item.kind == "#":
+            out.append(first + (re.escape(item.text) if item.text is not None else "#PCDATA") + last)
+        else:
+            tag = "" if item.tag == "(" else item.tag
+            out.append(first + (f"<{tag}>" if tag else ""))
+            stack += [(f"</{tag}>" if tag else "") + last, *(x.root() for x in reversed(item.items))]
     return "".join(out)
 
 
-def regions(unit: Element) -> list[tuple[Element, tuple[str, ...]]]:
-    """The article elements outside boilerplate, else the main elements, else the whole page; with their paths."""
-    found: dict[str, list] = {"article": [], "main": []}
-
-    def walk(u: Element, path: tuple[str, ...]) -> None:
-        for child in u.children:
-            if isinstance(child, Element) and not child.junk:
-                own = path if child.tag in INLINE else (*path, child.tag)
-                if child.tag in found:
-                    found[child.tag].append((child, own))
-                if child.tag != "article":
-                    walk(child, own)
-
-    walk(unit, ())
-    return found["article"] or found["main"] or [(unit, ())]
-
-
-def blocks(unit: Element, path: tuple[str, ...]) -> list[tuple[tuple[str, ...], str]]:
-    """(path, text) of each block in page order."""
-    out: list[tuple[tuple[str, ...], str]] = []
-    run: list[str] = []
-
-    def flush(at: tuple[str, ...]) -> None:
-        if text := clean("".join(run)):
-            out.append((at, text))
-        run.clear()
-
-    def walk(u: Element, at: tuple[str, ...]) -> None:
-        for child in u.children:
-            if isinstance(child, str):
-                run.append(child)
-            elif child.junk or child.tag in ("img", "input", "hr"):
-                if child.tag not in INLINE:
-                    flush(at)
-            elif child.tag == "br":
-                run.append(" ")
-            elif child.tag in INLINE:
-                walk(child, at)
-            else:
-                flush(at)
-                walk(child, (*at, child.tag))
-                flush((*at, child.tag))
-
-    walk(unit, path)
-    flush(path)
-    return out
-
-
-def link_list(unit: Element) -> bool:
-    """Whether nearly all text is in links."""
-
-    def letters(u: Element, linked: bool) -> tuple[int, int]:
-        a = b = 0
-        for c in u.children:
-            if isinstance(c, str):
-                n = len(clean(c))
-                a, b = a + n, b + n * linked
-            else:
-                x, y = letters(c, linked or c.tag == "a")
-                a, b = a + x, b + y
-        return a, b
-
-    total, linked = letters(unit, False)
-    return total > 0 and linked > 0.8 * total
-
-
-def prune_links(unit: Element) -> None:
-    """Mark lists of links as boilerplate; only where a page has no article."""
-    for child in unit.children:
-        if isinstance(child, Element):
-            child.junk = child.junk or child.tag in ("ul", "ol", "dl", "table", "div", "section") and link_list(child)
-            prune_links(child)
-
-
-def extract(pages: list[str], least: int = 3, most: float = 0.3) -> tuple[list[str], list[list]]:
-    """The main text of each page of one host, and their wrapper."""
-    trees = [parse(p) for p in pages]
-    wrapper: list[list] = []
-    for k, tree in enumerate(trees):
-        wrapper = align(wrapper, fold(tree)) if k else fold(tree)
-    fixed = constants(wrapper) if len(set(pages)) >= least else set()
-    out = []
-    for tree in trees:
-        found = regions(tree)
-        if found[0][0] is tree:
-            prune_links(tree)
-        parts = [b for unit, path in found for b in blocks(unit, path)]
-        own = [b for b in parts if b not in fixed]
-        if sum(len(t) for _, t in parts) - sum(len(t) for _, t in own) > most * sum(len(t) for _, t in parts):
-            own = parts
-        out.append("\n".join(t for _, t in own))
-    return out, wrapper
+def decide(top: Node, pages: int, least: int, least_share: float, most_junk: float) -> tuple[dict[int, str], set[int]]:
+    """Of each leaf, by id, whether it is 'text', 'junk' or, in a page without a region, in a 'list' of links; and which leaves are template text."""
+    order, stack = [], [(top, False, False, frozenset())]  # parents before what they hold
+    while stack:
+        node, marked, loose, inside = stack.pop()
+        inside = inside | {node.tag} if node.tag in REGIONS else inside
+        order.append((node, marked, loose, inside))
+        stack += [(x, marked or x.junk, loose or x.optional or x.repeated, inside) for x in map(Node.root, node.items)]
+    fixed = {id(x) for x, _, loose, _ in order if x.kind == "#" and x.text is not None and not loose} if pages >= least else set()
+    slots = [(x.own - x.linked, marked, inside) for x, marked, _, inside in order if x.kind == "#" and id(x) not in fixed]
+    bare = sum(n for n, marked, _ in slots if not marked)
+    trusted = bare >= most_junk * sum(n for n, _, _ in slots)  # else marked units are all there is
+    if not trusted:
+        slots = [(n, False, inside) for n, _, inside in slots]
+    parts = {tag: sum(n for n, marked, inside in slots if tag in inside and not marked) for tag in REGIONS}
+    region = next((tag for tag in REGIONS if parts[tag] and parts[tag] >= least_share * sum(n for n, marked, _ in slots if not marked)), None)
+    sizes: dict[int, tuple[int, int]] = {}
+    for node, _, _, _ in reversed(order):
+        inner = [sizes[id(x)] for x in map(Node.root, node.items)]
+        sizes[id(node)] = (node.own, node.linked) if node.kind == "#" else (sum(x for x, _ in inner), sum(x for _, x in inner))
+    lists = {id(x) for x, _, _, _ in order if x.tag in LISTS and sizes[id(x)][1] > 0.8 * sizes[id(x)][0]} if region is None else set()
+    verdict, stack = {}, [(top, False)]
+    listed = set()
+    while stack:
+        node, links = stack.pop()
+        links = links or id(node) in lists
+        if links:
+            listed.add(id(node))
+        stack += [(x, links) for x in map(Node.root, node.items)]
+    for node, marked, _, inside in order:
+        if node.kind == "#":
+            away = region is not None and region not in inside
+            verdict[id(node)] = "junk" if away or marked and trusted else "list" if id(node) in listed else "text"
+    return verdict, fixed
+
+
+def extract(pages: list[str], least: int = 3, most: float = 0.3, least_share: float = 0.3, most_junk: float = 0.02) -> tuple[list[str], Node]:
+    """The main text of each page of one host, and their wrapper. Where the wrapper finds no content in a page that has texts (a page unlike the
+    others), the page is its own wrapper."""
+    top, every = infer(pages)
+    said, fixed = decide(top, len(set(pages)), least, least_share, most_junk)
+    out, known = [], {}
+    for page, leaves in zip(pages, every, strict=True):
+        if page not in known:
+            own = [(id(leaf.root()), text) for leaf, text in leaves]
+            parts = [(k, text) for k, text in own if said[k] == "text"]
+            if own and not parts:
+                alone, other = wrap(parse(page))
+                verdict, _ = decide(alone, 1, least, least_share, most_junk)
+                parts = [(0, text) for leaf, text in other if verdict[id(leaf.root())] == "text"]
+            kept = [(k, text) for k, text in parts if k not in fixed]
+            size = sum(len(t) for _, t in parts)
+            known[page] = "\n".join(t for _, t in (parts if size - sum(len(t) for _, t in kept) > most * size else kept))
+        out.append(known[page])
+    return out, top
 
 
 def _groups(batches):
