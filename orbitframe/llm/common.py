@@ -134,21 +134,25 @@ def spread(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def total(parts: DataFrame, kind: str = "f4") -> dict[int, np.ndarray]:
-    """Sums of the vectors v (bytes of `kind`) by part, of rows (part int, lane int, v binary): first by lane, so no task holds the vectors of
-    all others. The parts and their lengths must be bounded: the sums come to the driver."""
+def total(parts: DataFrame, kind: str = "f4", result: str | None = None) -> dict[int, np.ndarray]:
+    """Sums (of type `result`) of the vectors v (bytes of `kind`) by part, of rows (part int, lane int, v binary): first by lane, so no task holds
+    the vectors of all others. The parts and their lengths must be bounded: the sums come to the driver."""
+    result = result or kind
 
-    def add(pdf):
-        import pandas as pd
+    def add(own: str):
+        def run(pdf):
+            import pandas as pd
 
-        out = np.zeros(len(pdf.v.iloc[0]) // np.dtype(kind).itemsize, "f8")
-        for v in pdf.v:
-            out += np.frombuffer(v, kind)
-        return pd.DataFrame({"part": [pdf.part.iloc[0]], "lane": [pdf.lane.iloc[0]], "v": [out.astype(kind).tobytes()]})
+            out = np.zeros(len(pdf.v.iloc[0]) // np.dtype(own).itemsize, "f8")
+            for v in pdf.v:
+                out += np.frombuffer(v, own)
+            return pd.DataFrame({"part": [pdf.part.iloc[0]], "lane": [pdf.lane.iloc[0]], "v": [out.astype(result).tobytes()]})
+
+        return run
 
     schema = "part int, lane int, v binary"
-    lanes = parts.groupBy("part", "lane").applyInPandas(add, schema)
-    return {r["part"]: np.frombuffer(r["v"], kind) for r in lanes.groupBy("part").applyInPandas(add, schema).collect()}
+    lanes = parts.groupBy("part", "lane").applyInPandas(add(kind), schema)
+    return {r["part"]: np.frombuffer(r["v"], result) for r in lanes.groupBy("part").applyInPandas(add(result), schema).collect()}
 
 
 def lane() -> int:

@@ -1,15 +1,22 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-The vocabulary is the end of a text and the most frequent training words, `classes` times `per_class` targets in classes by frequency; all
-other words are one more class. A target has probability P(class | context) P(word | class, context); both softmaxes add up weights of hashed
-features of the context: the word before, the word before that alone (skip), and both together. Weights are trained by full gradients:
-tasks compute the gradient of their contexts from the corpus's counts of (context, target), sums come to the driver, Adam updates them. A
-word outside the vocabulary gets the class's probability times its add-one share among such words.
-
-The base score is the add-one unigram log10 probability under the counts of all training tokens. The `known` most frequent words, a fixed
-bound, and their counts are broadcast; other words of a text are joined to the table of all counts, partitioned by word, so no task or
-broadcast grows with the vocabulary. Words are runs of characters other than space and U+0009 to U+000D with A-Z lower-cased; each
-text ends with one end, counted as a token.
+The vocabulary is the end of a text and the most frequent words that training texts have twice or more, `branch` to the third targets at most
+(21952, a fixed bound of the model's size), in classes and classes of these by frequency; all other words are one more class, which so has the
+share that new words have. A target has probability P(class | context) P(inner class | class, context) P(word | inner class, context); the
+softmaxes add up weights of hashed features of the context: the word before, the word before that alone (skip) and, for classes, both
+together. In contexts a word outside the vocabulary is known by a hash of its first three and last two bytes. A word outside the vocabulary
+gets its class's probability times its add-one share among such words.
+
+Biases start at the add-one shares of the training counts; the other weights start at 0 and are trained by distributed gradient updates
+over all training documents: in each of `rounds` rounds the tasks take their share of the documents, follow the gradient in small batches
+from the common weights on (Adagrad by row, with weight decay) and return what has changed; of each row of the tables the mean change of the tasks
+that touched it is added. A task has about `task_tokens` tokens, so what travels is in proportion to the corpus. Scoring gathers the rows of
+each batch's features alone.
+
+The base score is the add-one unigram log10 probability under the counts of all training tokens. The vocabulary and its counts are
+broadcast; other words of a text are joined to the table of all counts, partitioned by word, so no task or broadcast grows with the number
+of distinct words. Words are runs of characters other than space and U+0009 to U+000D with A-Z lower-cased; each text ends with one end,
+counted as a token.
 
 Defined cases: a null text is empty and has the end alone; rows with a null id are scored, not learnt from, with held_out null;
 repeated rows count each; without training documents every count is 0; other columns are ignored.
@@ -17,6 +24,8 @@ repeated rows count each; without training documents every count is 0; other col
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -30,22 +39,23 @@ from orbitframe.llm.common import chunks, fold, lane, mix, offsets, stage, table
 
 @dataclass(frozen=True)
 class Params:
-    classes: int = 8
-    per_class: int = 16
-    buckets: int = 1 << 12
-    known: int = 20_000
-    rounds: int = 12
-    rate: float = 0.25
+    branch: int = 28
+    table_rows: tuple[int, int, int] = (1 << 13, 1 << 15, 1 << 16)  # powers of two
+    affixes: int = 1 << 12
+    rounds: int = 3
+    task_tokens: int = 4_000_000
+    batch: int = 4096
+    rate: float = 1.2
+    decay: float = 0.002
+    seed: int = 3
 
     @property
     def size(self) -> int:
         """Targets with a place of their own; the first is the end."""
-        return self.classes * self.per_class
+        return self.branch ** len(self.table_rows)
 
-    @property
-    def base(self) -> int:
-        """Numbers of context words: start, any other word, then the targets."""
-        return self.size + 2
+
+# Code of a token: 0 before the beginning, place + 1 of a target, beyond these a hash of the affixes of any other word.
 
 
 def _counts(batches):
@@ -65,157 +75,186 @@ def _counts(batches):
 
 
 def _encode(shared, p: Params):
-    """Of each document: tokens as context numbers, number of its known words, sums of log10(count + 1) of them and of those that are targets,
-    and its other words with counts."""
+    """Of each document: its tokens' codes, number of its words in the vocabulary, sum of log10(count + 1) of them, and its other words with counts."""
 
     def run(batches):
         number, logs = shared.value
         for batch in chunks(batches):
-            out = {k: [] for k in ("n_tokens", "n_sure", "sure", "own", "codes", "words", "times")}
+            out = {k: [] for k in ("n_tokens", "n_sure", "sure", "codes", "words", "times")}
             for text in batch["text"].to_pylist():
                 words = text.lower().split()
-                ids = np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
-                sure = ids[ids >= 0]
-                rest = Counter([w for w, i in zip(words, ids.tolist(), strict=True) if i < 0]) if len(sure) < len(ids) else {}
+                ids = np.fromiter((number.get(w, 0) for w in words), np.int64, len(words))
+                lost = np.flatnonzero(ids == 0)
+                rest = Counter([words[i] for i in lost.tolist()])
+                affix = {w: p.size + 1 + zlib.crc32(w[:3] + b"-" + w[-2:]) % p.affixes for w in rest}
                 out["n_tokens"].append(len(words) + 1)
-                out["n_sure"].append(len(sure))
-                out["sure"].append(float(logs[sure].sum()))
-                out["own"].append(float(logs[sure[sure < p.size - 1]].sum()))
-                # known words are 0, 1, ... by frequency; targets 1, 2, ... are the first of them
-                out["codes"].append(np.where((ids >= 0) & (ids < p.size - 1), ids + 3, 1).astype("u1" if p.base <= 256 else "u2").tobytes())
+                out["n_sure"].append(len(words) - len(lost))
+                out["sure"].append(float(logs[ids].sum()))
+                ids += 1
+                ids[lost] = [affix[words[i]] for i in lost.tolist()]
+                out["codes"].append(ids.astype("u2").tobytes())
                 out["words"].append(list(rest))
                 out["times"].append(list(rest.values()))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], *(pa.array(v, kind) for v, kind in zip(out.values(), kinds, strict=True))], names=["doc_id", "held_out", *out])
 
-    return run, "doc_id long, held_out boolean, n_tokens long, n_sure long, sure double, own double, codes binary, words array<binary>, times array<long>"
+    return run, "doc_id long, held_out boolean, n_tokens long, n_sure long, sure double, codes binary, words array<binary>, times array<long>"
 
 
-def _sequences(batch: pa.RecordBatch, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token, ends included: its context and itself; where each document's begin."""
+def _sequences(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of each token, ends included, of the one before and of the one before that; where each document's begin."""
     rows = batch["codes"].to_pylist()
-    kind, end = np.dtype("u1" if p.base <= 256 else "u2"), 2
-    at = offsets([len(r) // kind.itemsize + 1 for r in rows])
-    t = np.frombuffer(b"".join(r + np.array([end], kind).tobytes() for r in rows), kind).astype(np.int64)
+    at = offsets([len(r) // 2 + 1 for r in rows])
+    end = np.array([1], "u2").tobytes()
+    t = np.frombuffer(b"".join(r + end for r in rows), "u2").astype(np.int64)
     one, two = np.concatenate(([0], t[:-1])), np.concatenate(([0, 0], t[:-2]))[: len(t)]
     one[at[:-1]] = two[at[:-1]] = 0
     two[np.minimum(at[:-1] + 1, len(t) - 1)] *= 0
-    return two * p.base + one, t, at
+    return t, one, two, at
 
 
-def _contexts(p: Params):
-    def run(batches):
-        have = np.zeros(p.base**3, np.int64)
-        for batch in chunks(batches, "codes", budget=1 << 20, rows=2000):
-            context, t, _ = _sequences(batch, p)
-            u, n = np.unique(context * p.base + t, return_counts=True)
-            have[u] += n
-        code = np.flatnonzero(have)
-        yield pa.RecordBatch.from_arrays([pa.array(code // p.base), pa.array(code % p.base), pa.array(have[code])], names=["context", "target", "n"])
-
-    return run, "context long, target long, n long"
+class Model:
+    """Of each level: `w` of hashed features (rows x branches) and biases `b` of the branches (nodes x branches). The root has one branch more, the
+    words outside the vocabulary. The branch of a place at each level is a digit of it, to the base `branch`."""
+
+    def __init__(self, p: Params, counts: np.ndarray, other: float):
+        """counts: of each target by place; other: of all other words together, each distinct one counted once more."""
+        self.p, levels = p, len(p.table_rows)
+        share = np.zeros(p.size)
+        share[: len(counts)] = counts + 1.0
+        self.w = [np.zeros((n, p.branch + (k == 0)), np.float32) for k, n in enumerate(p.table_rows)]
+        self.b = []
+        for k in range(levels):
+            mass = share.reshape(p.branch**k, p.branch, -1).sum(axis=2)
+            if k == 0:
+                mass = np.append(mass, [[other + 1.0]], axis=1)
+            self.b.append(np.log(np.maximum(mass / np.maximum(mass.sum(axis=1, keepdims=True), 1e-9), 1e-26)).astype(np.float32))
+
+    def nodes(self, t: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens that go on at a level, the node in which each is, and its branch."""
+        p, own = self.p, np.flatnonzero((t >= 1) & (t <= self.p.size))
+        place = (t[own] - 1) // p.branch ** (len(p.table_rows) - 1 - level)
+        if level:
+            return own, place // p.branch, place % p.branch
+        branch = np.full(len(t), p.branch)
+        branch[own] = place
+        return np.arange(len(t)), np.zeros(len(t), np.int64), branch
+
+    @staticmethod
+    def features(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Hashes of each context's features: the word before, the one before that, both."""
+        a, b = one.astype(np.uint64), two.astype(np.uint64)
+        return mix(np.stack((a + np.uint64(1 << 20), b + np.uint64(2 << 20), (a << np.uint64(20)) + b + np.uint64(3 << 44))))
+
+    def rows(self, features: np.ndarray, node: np.ndarray, level: int) -> np.ndarray:
+        """Of each feature of each context: its row in the level's table; both words together serve the root alone."""
+        if level == 0:
+            h = features
+        else:
+            h = features[:2] + node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+        return (h & np.uint64(self.p.table_rows[level] - 1)).astype(np.uint16 if self.p.table_rows[level] <= 1 << 16 else np.int64)
+
+    def chances(self, level: int, node: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp of the logits of the branches, and its sums; weights stay small, so nothing overflows."""
+        z = self.b[level][node] + self.w[level][rows[0]]
+        for r in rows[1:]:
+            z += self.w[level][r]
+        np.exp(z, out=z)
+        return z, z.sum(axis=1)
+
+    def log_probs(self, t: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """log P of each token; of a word outside the vocabulary that of its class."""
+        out, features = np.zeros(len(t), np.float32), self.features(one, two)
+        for level in range(len(self.w)):
+            own, node, branch = self.nodes(t, level)
+            e, sums = self.chances(level, node, self.rows(features[:, own], node, level))
+            out[own] += np.log(np.maximum(e[np.arange(len(own)), branch], 1e-30) / sums)
+        return out
 
+    def learn(self, t: np.ndarray, one: np.ndarray, two: np.ndarray, squares: list[np.ndarray]) -> None:
+        """One step on the tokens' log likelihood; squares: of each row the sum of its squared gradients."""
+        p, features = self.p, self.features(one, two)
+        for level, w in enumerate(self.w):
+            own, node, branch = self.nodes(t, level)
+            if not len(own):
+                continue
+            rows = self.rows(features[:, own], node, level)
+            g, sums = self.chances(level, node, rows)
+            g *= -1 / sums[:, None]
+            g[np.arange(len(own)), branch] += 1
+            flat = rows.ravel()
+            order = np.argsort(flat, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], flat[order[1:]] != flat[order[:-1]])))
+            g = np.add.reduceat(g[order % len(g)], first, axis=0)
+            r = flat[order[first]]
+            have = squares[level][r] + np.einsum("ij,ij->i", g, g)
+            squares[level][r] = have
+            pace = (p.rate / np.sqrt(have))[:, None]
+            g *= pace
+            g += w[r] * (1 - p.decay * pace)
+            w[r] = g
+
+
+ROWS = 256  # rows of a table that travel together
+
+
+def _changes(shared, p: Params):
+    """What a task's documents change in the tables: parts of ROWS rows with their changes and whether they were touched."""
 
-class Model:
-    """Weights by hashed feature: of classes, and of a class's words."""
-
-    def __init__(self, p: Params, used: int):
-        self.p = p
-        self.w = {"c": np.zeros((p.buckets, p.classes + 1)), "w": np.zeros((p.buckets, p.per_class)), "bc": np.zeros(p.classes + 1), "bw": np.zeros((p.classes, p.per_class))}
-        self.w["bw"].ravel()[used:] = -60  # places without a word
-        self.w["bc"][-(-used // p.per_class) : p.classes] = -60
-
-    def rows(self, context: np.ndarray) -> list[np.ndarray]:
-        one, two = (context % self.p.base).astype(np.uint64), (context // self.p.base).astype(np.uint64)
-        keys = (one + np.uint64(1 << 20), two + np.uint64(2 << 20), one * np.uint64(1 << 10) + two + np.uint64(3 << 20))
-        return [mix(k * np.uint64(0x9E3779B97F4A7C15)) for k in keys]
-
-    def log_probs(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """Of each context: log P of classes, of words by class, and the features' rows for both."""
-        p, keys = self.p, self.rows(context)
-        rc = [(k % np.uint64(p.buckets)).astype(np.int64) for k in keys]
-        rw = [(mix(k[:, None] + np.arange(1, p.classes + 1, dtype=np.uint64)) % np.uint64(p.buckets)).astype(np.int64) for k in keys]
-        c, w = self.w["bc"] + sum(self.w["c"][r] for r in rc), self.w["bw"] + sum(self.w["w"][r] for r in rw)
-        out = []
-        for z in (c, w):
-            z = z - z.max(axis=-1, keepdims=True)
-            out.append(z - np.log(np.exp(z).sum(axis=-1, keepdims=True)))
-        return out[0], out[1], rc, rw
-
-    def gradient(self, context: np.ndarray, target: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the log likelihood of the counts: observed minus expected."""
-        p, g = self.p, {k: np.zeros_like(v) for k, v in self.w.items()}
-        u, back = np.unique(context, return_inverse=True)
-        for s in range(0, len(u), 4096):
-            own = (back >= s) & (back < s + 4096)
-            k, v, m = back[own] - s, target[own] - 2, n[own]
-            lc, lw, rc, rw = self.log_probs(u[s : s + 4096])
-            dc, dw = np.zeros(lc.shape), np.zeros(lw.shape)
-            np.add.at(dc, (k, np.where(v >= 0, v // p.per_class, p.classes)), m)
-            inside = v >= 0
-            np.add.at(dw, (k[inside], v[inside] // p.per_class, v[inside] % p.per_class), m[inside])
-            dw -= np.exp(lw) * dw.sum(axis=2, keepdims=True)
-            dc -= np.exp(lc) * dc.sum(axis=1, keepdims=True)
-            g["bc"] += dc.sum(axis=0)
-            g["bw"] += dw.sum(axis=0)
-            for r in rc:
-                np.add.at(g["c"], r, dc)
-            for r in rw:
-                np.add.at(g["w"], r, dw)
-        return g
-
-    def table(self) -> np.ndarray:
-        """log10 P(target | context) of every pair."""
-        p = self.p
-        out = np.zeros((p.base**2, p.base), np.float32)
-        for s in range(0, p.base**2, 4096):
-            lc, lw, _, _ = self.log_probs(np.arange(s, min(s + 4096, p.base**2)))
-            out[s : s + 4096, 1] = lc[:, -1]
-            out[s : s + 4096, 2:] = (lc[:, :-1, None] + lw).reshape(len(lc), -1)
-        return out / np.log(10)
-
-
-def train(counts: DataFrame, used: int, p: Params) -> Model:
-    """Gradient rounds over the table (context, target, n)."""
-    spark, model = counts.sparkSession, Model(p, used)
-    names = list(model.w)
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.w.items()}
-    # the number of tasks is that of the table's files; a gradient has the model's size
-    for step in range(1, p.rounds + 1):
-        shared = spark.sparkContext.broadcast(model)
-
-        def run(batches, shared=shared):
-            parts = [b for b in batches if b.num_rows]
-            if parts:
-                rows = [np.concatenate([b[k].to_numpy() for b in parts]) for k in ("context", "target", "n")]
-                g = shared.value.gradient(*rows)
-                v = np.concatenate([g[k].ravel() for k in names])
-                cut = [v[s : s + 16384] for s in range(0, len(v), 16384)]
-                yield pa.RecordBatch.from_pydict({"part": pa.array(range(len(cut)), pa.int32()), "lane": pa.array([lane()] * len(cut), pa.int32()), "v": pa.array([x.astype("f8").tobytes() for x in cut], pa.binary())})
-
-        sums = total(counts.mapInArrow(run, "part int, lane int, v binary"), "f8")
-        if not sums:
-            return model
-        v = np.concatenate([sums[k] for k in sorted(sums)])
-        tokens = max(1.0, float(counts.agg(F.sum("n")).first()[0])) if step == 1 else tokens  # noqa: F821
-        at, fix = 0, np.sqrt(1 - 0.99**step) / (1 - 0.8**step)
-        for k in names:
-            g = v[at : at + model.w[k].size].reshape(model.w[k].shape) / tokens
-            at += model.w[k].size
-            m1, m2 = moments[k]
-            m1 += 0.2 * (g - m1)
-            m2 += 0.01 * (g * g - m2)
-            model.w[k] = np.where(model.w[k] < -50, model.w[k], model.w[k] + p.rate * fix * m1 / (np.sqrt(m2) + 1e-9))
+    def run(batches):
+        model = pickle.loads(pickle.dumps(shared.value))
+        start, squares = [w.copy() for w in model.w], [np.ones(len(w), np.float32) for w in model.w]
+        random, seen = np.random.default_rng(p.seed), 0
+        for batch in chunks(batches, "codes", budget=1 << 18, rows=2000):
+            t, one, two, _ = _sequences(batch)
+            order = random.permutation(len(t))
+            for s in range(0, len(t), p.batch):
+                k = order[s : s + p.batch]
+                model.learn(t[k], one[k], two[k], squares)
+            seen += len(t)
+        part, out = 0, []
+        for k, old in enumerate(start):
+            touched = squares[k] != 1
+            change = np.where(touched[:, None], model.w[k] - old, 0)
+            for s in range(0, len(old), ROWS):
+                if touched[s : s + ROWS].any():
+                    out.append((part, np.concatenate((change[s : s + ROWS].ravel(), touched[s : s + ROWS])).astype("f2").tobytes()))
+                part += 1
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([lane()] * len(out), pa.int32()), pa.array([v for _, v in out], pa.binary())], names=["part", "lane", "v"])
+
+    return run, "part int, lane int, v binary"
+
+
+def train(codes: DataFrame, model: Model, tokens: int) -> Model:
+    """Rounds of gradient updates over the documents' codes (row, codes); tokens: how many they have."""
+    p, spark = model.p, codes.sparkSession
+    tasks = max(1, -(-tokens // (p.task_tokens * p.rounds)))
+    for k in range(p.rounds):
+        shared = spark.sparkContext.broadcast(model)  # its size is set by Params alone
+        own = codes.where(F.pmod(F.xxhash64("row"), F.lit(p.rounds)) == k).select("codes").coalesce(tasks)
+        sums = total(own.mapInArrow(*_changes(shared, p)), "f2", "f4")
+        part = 0
+        for w in model.w:
+            for s in range(0, len(w), ROWS):
+                if part in sums:
+                    change, touched = np.split(sums[part], [w[s : s + ROWS].size])
+                    w[s : s + ROWS] = np.clip(w[s : s + ROWS] + change.reshape(-1, w.shape[1]) / np.maximum(touched, 1)[:, None], -8, 8)
+                part += 1
     return model
 
 
-def _score(shared, p: Params):
+def _score(shared):
     def run(batches):
-        logp = shared.value
-        for batch in chunks(batches, "codes", budget=1 << 20, rows=2000):
-            context, t, at = _sequences(batch, p)
-            s = np.add.reduceat(logp[context, t].astype(np.float64), at[:-1])
-            other = np.add.reduceat((t == 1).astype(np.int64), at[:-1])
+        model = shared.value
+        for batch in chunks(batches, "codes", budget=1 << 18, rows=2000):
+            t, one, two, at = _sequences(batch)
+            logp = np.concatenate([model.log_probs(t[s : s + 2048], one[s : s + 2048], two[s : s + 2048]) for s in range(0, len(t), 2048)]).astype(np.float64)
+            s = np.add.reduceat(logp, at[:-1]) / np.log(10)
+            other = np.add.reduceat((t > model.p.size).astype(np.int64), at[:-1])
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(s), pa.array(other)], names=["row", "model", "n_other"])
 
     return run, "row long, model double, n_other long"
@@ -231,21 +270,18 @@ def score(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame:
     ends = learn.count()
     words_total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, kinds = words_total + ends, distinct + (ends > 0)
-    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(p.known).collect()]
-    own = top[: p.size - 1]  # words with a target of their own; the end is target 0
-    logs = np.log10(np.array([n for _, n in top], np.float64) + 1)
-    encode, kind = _encode(spark.sparkContext.broadcast(({w: i for i, (w, _) in enumerate(top)}, logs)), p)
+    top = [(bytes(r["word"]), r["n"]) for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(p.size - 1).collect()]  # places 1, 2, ...
+    logs = np.log10(np.array([0] + [n for _, n in top], np.float64) + 1)
+    encode, kind = _encode(spark.sparkContext.broadcast(({w: i + 1 for i, (w, _) in enumerate(top)}, logs)), p)
     coded = stage(rows.mapInArrow(encode, kind).withColumn("row", F.monotonically_increasing_id()))
 
-    seen = stage(coded.where(~F.col("held_out")).select("codes").mapInArrow(*_contexts(p)).groupBy("context", "target").agg(F.sum("n").alias("n")).repartition("context"))
-    model = train(seen, len(own) + 1, p)
-    scored = coded.select("row", "codes").mapInArrow(*_score(spark.sparkContext.broadcast(model.table()), p))
+    left, kinds_left = words_total - sum(n for _, n in top), distinct - len(top)  # of the words without a place
+    model = train(coded.where(~F.col("held_out")).select("row", "codes"), Model(p, np.array([ends] + [n for _, n in top], np.float64), left + kinds_left), tokens)
+    scored = coded.select("row", "codes").mapInArrow(*_score(spark.sparkContext.broadcast(model)))
 
     rare = coded.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     tail = rare.join(counts, "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("tail"), F.sum("times").alias("n_tail"))
-    # words without a target: their share among all such words; log10(count + 1) of the known ones is in `sure`, less that of the targets
-    left = words_total - sum(n for _, n in own)
-    log_base, log_left = float(np.log10(tokens + kinds + 1)), float(np.log10(left + (distinct - len(own)) + 1))
+    log_base, log_left = float(np.log10(tokens + kinds + 1)), float(np.log10(left + kinds_left + 1))
     out = coded.drop("codes", "words", "times").join(scored, "row").join(tail, "row", "left")
     end = float(np.log10(ends + 1))
     tail_log, n_tail = F.coalesce("tail", F.lit(0.0)), F.coalesce("n_tail", F.lit(0))
@@ -256,7 +292,7 @@ def score(docs: DataFrame, held_out: Column, p: Params = Params()) -> DataFrame:
         (F.col("n_sure") + n_tail + F.lit(1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("sure") + tail_log + F.lit(end) - F.col("n_tokens") * F.lit(log_base)).alias("base_score"),
-        (F.col("model") + F.col("sure") - F.col("own") + tail_log - F.col("n_other") * F.lit(log_left)).alias("score"),
+        (F.col("model") + tail_log - F.col("n_other") * F.lit(log_left)).alias("score"),
     )
 
 
