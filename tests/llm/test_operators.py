@@ -165,10 +165,38 @@ def test_scoring(spark, texts, odd, empty):
 
 
 def test_scoring_sums_to_one():
-    model = scoring.Model(scoring.Params(), 100)
-    model.w["c"] += np.random.default_rng(0).normal(size=model.w["c"].shape)
-    model.w["w"] += np.random.default_rng(1).normal(size=model.w["w"].shape)
-    assert np.allclose((10.0 ** model.table()[:, 1:]).sum(axis=1), 1, atol=1e-4)
+    """Of all targets and the class of other words, in any context."""
+    p = scoring.Params(branch=3, table_rows=(64, 64, 64))
+    model = scoring.Model(p, np.arange(20.0), 7.0)
+    model.w = [np.random.default_rng(k).normal(size=w.shape).astype(np.float32) for k, w in enumerate(model.w)]
+    t = np.arange(1, p.size + 2)
+    for one, two in ((0, 0), (5, 2), (p.size + 9, 1)):
+        assert abs(np.exp(model.log_probs(t, np.full(len(t), one), np.full(len(t), two)).astype(float)).sum() - 1) < 1e-4
+
+
+def test_scoring_starts_at_the_unigram_and_follows_the_gradient():
+    """Without features a target has its add-one share; one step changes weights as the numeric gradient of the log likelihood says."""
+    p = scoring.Params(branch=3, table_rows=(64, 64, 64), rate=1e-3, decay=0.0)
+    model = scoring.Model(p, np.arange(27.0), 7.0)
+    t, one, two = np.array([4, 4, 28, 9]), np.array([0, 3, 3, 4]), np.array([0, 0, 3, 4])
+    share = np.append(np.arange(27.0) + 1, 8.0)
+    assert np.allclose(model.log_probs(t, one, two), np.log(share[np.minimum(t, 28) - 1] / share.sum()), atol=1e-5)
+    before, squares = model.log_probs(t, one, two).astype(float).sum(), [np.full(len(w), 1e6, np.float32) for w in model.w]
+    old = [w.copy() for w in model.w]
+    model.learn(t, one, two, squares)
+    slope = sum(((w - o).astype(float) ** 2).sum() for w, o in zip(model.w, old, strict=True)) / (p.rate / 1e3)
+    for w, o in zip(model.w, old, strict=True):
+        w[:] = o + (w - o) * 1e5
+    gained = model.log_probs(t, one, two).astype(float).sum() - before
+    assert 0 < gained and abs(gained / (slope * 1e5) - 1) < 0.2
+
+
+def test_scoring_odd_values(spark, odd, empty):
+    """Repeated rows score alike, a null text as an empty one; without training rows every count is 0."""
+    got = {(r["doc_id"], r["n_tokens"]): r for r in scoring.score(odd, F.lit(False), scoring.Params(rounds=1)).collect()}
+    assert got[1, 1]["score"] == got[2, 1]["score"] and got[3, 3]["n_known"] == 3 and got[None, 6]["held_out"] is False
+    none = scoring.score(odd, F.lit(True)).collect()
+    assert {r["train_tokens"] for r in none} == {0} and {r["n_known"] for r in none} == {0} and all(r["base_score"] == 0 for r in none)
 
 
 def test_fingerprints(spark, texts, odd, empty):
@@ -179,7 +207,64 @@ def test_fingerprints(spark, texts, odd, empty):
         assert got[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - half] + down[(k + 1) % len(down)][1][:half]).encode()).hexdigest()
         assert prints.setdefault(t, got[i]["fingerprint"]) == got[i]["fingerprint"]
     assert sum(r["near_edited"] for r in got.values()) > sum(r["near_next"] for r in got.values())
-    assert fingerprints.edits(odd, ["one", "two"]).count() == 8 and fingerprints.edits(empty, []).count() == 0
+    band = spark.createDataFrame([("one",), ("two",)], "w string").select(F.xxhash64("w").alias("h"))
+    assert fingerprints.edits(odd, band).count() == 8 and fingerprints.edits(empty, band.limit(0)).count() == 0
+
+
+def test_fingerprints_brute_force(spark, texts, monkeypatch):
+    """The band, each subset's hash and the likeness, by the definition; the same where the band is joined."""
+    import xxhash
+
+    def signed(h):
+        return h - (1 << 64) if h >> 63 else h
+
+    def term(w):
+        return signed(xxhash.xxh64_intdigest(w.encode(), 42))
+
+    def all_of(hashes):  # Spark hashes an array by using each element's hash as the next one's seed
+        seed = 42
+        for h in hashes:
+            seed = xxhash.xxh64_intdigest((h & (1 << 64) - 1).to_bytes(8, "little"), seed)
+        return seed
+
+    def words(t):
+        return set(re.split(fingerprints.BREAK, t.lower())) - {""}
+
+    def fingerprint(t):
+        every = {term(w) for w in words(t)}
+        own = sorted(every & band) or sorted(every)
+        parts = []
+        for shift, mask, value in fingerprints.subsets():
+            part = [h for h in own if ((h & (1 << 64) - 1) >> shift) & mask == value]
+            parts.append(f"{all_of(part) & 0xFFFFFF:x}" if part else "")
+        return ("" if every & band else "=") + "-".join(parts)
+
+    def likeness(a, b):
+        if a == b:
+            return 1.0
+        if a.startswith("=") != b.startswith("="):
+            return 0.0
+        x, y, n, out = a.lstrip("=").split("-"), b.lstrip("=").split("-"), fingerprints.PER_DENSITY, 0.0
+        for k in range(4):
+            p, q = x[k * n : k * n + n], y[k * n : k * n + n]
+            either = sum(i != "" or j != "" for i, j in zip(p, q, strict=True))
+            if k == 0 and either or min(sum(i != "" for i in p), sum(j != "" for j in q)) * 2 >= n:
+                out = sum(i == j != "" for i, j in zip(p, q, strict=True)) / either
+        return out
+
+    df = Counter(w for _, t in texts for w in words(t))
+    band = {term(w) for w, n in df.items() if max(2, 0.0025 * len(texts)) <= n <= 0.05 * len(texts)}
+    down = texts[::-1]
+    want = {}
+    for k, (i, t) in enumerate(down):
+        half, after = len(t) // 2, down[(k + 1) % len(down)][1]
+        a, b, c = fingerprint(t), fingerprint(t[: len(t) - half] + after[:half]), fingerprint(after)
+        want[i] = (a, b, likeness(a, b), likeness(a, c))
+    columns = ["fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    got = {r["doc_id"]: tuple(r[c] for c in columns) for r in registry.queries()["op8_fingerprints"](spark, SF).collect()}
+    assert got == want
+    monkeypatch.setattr(fingerprints, "MOST_TERMS", 0)
+    assert got == {r["doc_id"]: tuple(r[c] for c in columns) for r in registry.queries()["op8_fingerprints"](spark, SF).collect()}
 
 
 def test_decontaminate(spark, odd, empty):
