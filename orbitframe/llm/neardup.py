@@ -7,8 +7,8 @@ the probability Jaccard of their weighted elements. Texts that agree in all regi
 link if the exact Jaccard similarity of the two sets of elements is at least `threshold`. With 24 bands of 4 a pair at 0.8 is missed once
 in 3e5. Classes are the connected components of the links.
 
-Texts with equal elements form one node beforehand, so copies never multiply. In a bucket every member is verified against a leader, not
-against each other; members that are still apart are verified against further leaders with many links. Members of buckets that are then
+Texts with equal elements form one node beforehand, so copies never multiply. Every member is verified against the least leader of its
+buckets, not against each other; members of buckets that are still apart are verified against further leaders with many links. Members of buckets that are then
 still in several classes are split exactly: they are dealt by their rarest elements, as many as two sets at the threshold must share one
 of (`meeting`), and every pair in different classes that meets there and that bounds on the overlap let through is verified. No link among
 them is lost. All of it is joins on hashed keys that Spark can split.
@@ -182,7 +182,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, r
     # rows of one id are one document, whatever their texts
     ids = full.select("same", "doc_id").distinct()
     least = full.groupBy("same").agg(F.min("doc_id").alias("node"))
-    links = stage(linked(members.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()))
+    # one leader for each member, as most members of a group share a band with its least node; other leaders only where that does not do
+    links = stage(linked(members.where("node != leader").groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("b"))))
     comp = components(nodes, links)
     size = members.select("node", "n").distinct().groupBy("node").agg(F.max("n").alias("n"))
     for turn in range(3):
