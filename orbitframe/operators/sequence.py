@@ -66,7 +66,7 @@ def unroll(df: DataFrame, by: list[str], order: str, lon: str) -> DataFrame:
 
 def shuffled(df: DataFrame, key: str, seed: int) -> Column:
     """Place of a row in a fixed shuffle: an integer hash of its key."""
-    return (F.col(key) * 1103515245 + F.lit(seed) * 12345) % 2147483647
+    return (F.col(key).cast("long") * 1103515245 + F.lit(seed) * 12345) % 2147483647
 
 
 def fraction(df: DataFrame, by: list[str], key: str, start: float, end: float, seed: int = 1) -> DataFrame:

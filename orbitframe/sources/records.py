@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KINDS = {"i1": "tinyint", "i2": "smallint", "i4": "int", "i8": "bigint", "f4": "float", "f8": "double"}
+KINDS = {"S": "binary", "i1": "tinyint", "i2": "smallint", "i4": "int", "i8": "bigint", "f4": "float", "f8": "double"}
 
 
 def schema_of(layout: np.dtype) -> str:
@@ -17,13 +17,18 @@ def schema_of(layout: np.dtype) -> str:
     out = []
     for name in layout.names:
         base, shape = layout[name].base, layout[name].shape
-        kind = KINDS[base.str[1:]]
+        kind = KINDS["S" if base.kind == "S" else base.str[1:]]
         out.append(f"{name} {'array<' * len(shape)}{kind}{'>' * len(shape)}")
     return ", ".join(out)
 
 
 def read(spark: SparkSession, path: str, layout: np.dtype, header: int = 0) -> DataFrame:
     """(file, record, columns of the layout) of every record below path; what is cut off at a file's end is left out."""
+    return decode(spark.read.format("binaryFile").load(path).select("path", "content"), layout, header)
+
+
+def decode(files: DataFrame, layout: np.dtype, header: int = 0) -> DataFrame:
+    """The same of the files (path, content)."""
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -35,7 +40,6 @@ def read(spark: SparkSession, path: str, layout: np.dtype, header: int = 0) -> D
                     columns = {k: list(piece[k].tolist()) if layout[k].shape else piece[k].astype(layout[k].newbyteorder("=")) for k in layout.names}
                     yield pd.DataFrame({"file": name, "record": np.arange(s, s + len(piece)), **columns})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(parse, f"file string, record bigint, {schema_of(layout)}")
 
 
@@ -46,7 +50,7 @@ def encode(df: DataFrame, key: str, order: str, layout: np.dtype, header: bytes
         pdf = pdf.sort_values(order)
         rows = np.zeros(len(pdf), layout)
         for k in layout.names:
-            rows[k] = np.array(pdf[k].tolist())
+            rows[k] = np.array([np.stack(v) for v in pdf[k]] if len(layout[k].shape) > 1 else pdf[k].tolist())
         return pd.DataFrame({key: [pdf[key].iloc[0]], "content": [header + rows.tobytes()]})
 
     kind = dict(df.dtypes)[key]
