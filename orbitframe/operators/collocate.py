@@ -44,7 +44,19 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: Column, right_
     return asks.join(offers, "__day", "left").groupBy(key).agg(F.max_by("__v", F.struct("__t", "__v")).alias("value"))
 
 
-def lookup(df: DataFrame, raster: DataFrame, lat: str, lon: str, step: float) -> DataFrame:
-    """Raster value of the cell of each row; longitudes wrap."""
-    cell = {"lat_idx": F.floor((F.col(lat) + 90) / step).cast("int"), "lon_idx": F.pmod(F.floor((F.col(lon) + 180) / step), F.lit(int(360 / step))).cast("int")}
+def lookup(df: DataFrame, raster: DataFrame, lat: str, lon: str, step: float, shift: float = 0.0) -> DataFrame:
+    """Raster value of the cell of each row; longitudes wrap. `shift` is by how many cells the raster begins further south and west."""
+    cell = {"lat_idx": F.floor((F.col(lat) + 90) / step + shift).cast("int"), "lon_idx": F.pmod(F.floor((F.col(lon) + 180) / step + shift), F.lit(int(360 / step))).cast("int")}
     return df.withColumns(cell).join(raster, ["lat_idx", "lon_idx"], "left")
+
+
+def bilinear(df: DataFrame, raster: DataFrame, key: str, lat: str, lon: str, value: str, step: float) -> DataFrame:
+    """(key, value): raster values (lat_idx, lon_idx, value) of the grid points around each row, by their distance; longitudes wrap, missing points
+    take no part."""
+    y, x, steps = (F.col(lat) + 90) / step, (F.col(lon) + 180) / step, F.array(F.lit(0), F.lit(1))
+    near = df.select(key, y.alias("__y"), x.alias("__x")).select("*", F.explode(steps).alias("__a")).select("*", F.explode(steps).alias("__b"))
+    i, j = F.floor("__y") + F.col("__a"), F.floor("__x") + F.col("__b")
+    w = (1 - F.abs(F.col("__y") - i)) * (1 - F.abs(F.col("__x") - j))
+    near = near.select(key, i.cast("int").alias("lat_idx"), F.pmod(j, F.lit(int(360 / step))).cast("int").alias("lon_idx"), w.alias("__w"))
+    both = near.join(raster, ["lat_idx", "lon_idx"]).where(F.col(value).isNotNull())
+    return both.groupBy(key).agg(F.try_divide(F.sum(F.col("__w") * F.col(value)), F.sum("__w")).alias(value))
