@@ -378,13 +378,17 @@ def decide(top: Node, pages: int, least: int, least_share: float, most_junk: flo
         order.append((node, marked, loose, inside))
         stack += [(x, marked or x.junk, loose or x.optional or x.repeated, inside) for x in map(Node.root, node.items)]
     fixed = {id(x) for x, _, loose, _ in order if x.kind == "#" and x.text is not None and not loose} if pages >= least else set()
-    slots = [(x.own - x.linked, marked, inside) for x, marked, _, inside in order if x.kind == "#" and id(x) not in fixed]
+    leaves = [(x, marked, inside) for x, marked, _, inside in order if x.kind == "#"]
+    slots = [(x.own - x.linked, marked, inside) for x, marked, inside in leaves if id(x) not in fixed]
     bare = sum(n for n, marked, _ in slots if not marked)
     trusted = bare >= most_junk * sum(n for n, _, _ in slots)  # else marked units are all there is
-    if not trusted:
-        slots = [(n, False, inside) for n, _, inside in slots]
-    parts = {tag: sum(n for n, marked, inside in slots if tag in inside and not marked) for tag in REGIONS}
-    region = next((tag for tag in REGIONS if parts[tag] and parts[tag] >= least_share * sum(n for n, marked, _ in slots if not marked)), None)
+    region = None
+    for held in (slots, [(x.own - x.linked, marked, inside) for x, marked, inside in leaves]):  # all texts where no slot is in a region
+        parts = {tag: sum(n for n, marked, inside in held if tag in inside and not (marked and trusted)) for tag in REGIONS}
+        whole = sum(n for n, marked, _ in held if not (marked and trusted))
+        region = next((tag for tag in REGIONS if parts[tag] and parts[tag] >= least_share * whole), None)
+        if any(parts.values()):
+            break
     sizes: dict[int, tuple[int, int]] = {}
     for node, _, _, _ in reversed(order):
         inner = [sizes[id(x)] for x in map(Node.root, node.items)]
