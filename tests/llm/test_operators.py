@@ -119,6 +119,14 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix(odd).count() == 8 and mixing.sample(odd).columns == odd.columns and mixing.mix(empty).count() == 0
 
 
+def test_mixing_with_many_sources(spark, odd, monkeypatch):
+    """Thresholds that are not broadcast are joined by salted sources: same mix."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one = [sorted(map(str, mixing.mix(d).collect())) for d in (docs, odd)]
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 0)
+    assert one == [sorted(map(str, mixing.mix(d).collect())) for d in (docs, odd)]
+
+
 def test_licenses(spark, texts, odd, empty):
     upper = str.maketrans(licenses.UPPER, licenses.LOWER)
     want = {}
@@ -145,6 +153,52 @@ def test_licenses_common_notice_and_all_templates(spark):
     assert set(got[200]) == {label for label, _, _ in licenses.TEMPLATES}
 
 
+def test_licenses_brute_force(spark, texts):
+    """Labels and scores by the definition, over texts with notices, gaps, cut notices and none."""
+    notices = [t for _, t, _ in licenses.TEMPLATES]
+    rows = [(i, t) for i, t in texts[:60]] + [(1000 + k, "a b c " + t + " d") for k, t in enumerate(notices)]
+    for k, (_, t, phrase) in enumerate(licenses.TEMPLATES):
+        w, after = t.split(), len(t[: t.index(phrase)].split()) + len(phrase.split())
+        gap = after if after < len(w) else after // 3  # not inside the phrase
+        rows += [(2000 + k, " ".join(w[:gap] + ["so", "to", "say"] + w[gap:])), (3000 + k, " ".join(w[: len(w) // 2])), (4000 + k, " ".join(w[::-1]))]
+    words = {i: re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", t.lower()) for i, t in rows}
+    counts = Counter(w for x in words.values() for w in set(x) & set(licenses.VOCABULARY))
+    want = {}
+    for i, w in words.items():
+        labels, best = {k for k, b in licenses.BASE.items() if f" {b} " in f" {' '.join(w)} "}, 0.0
+        best = 0.5 if labels else 0.0
+        for label, text, phrase in licenses.TEMPLATES:
+            t, rare, n, must = text.split(), licenses.rarest(counts, text), licenses.slack(text), phrase.split()
+            start = next(k for k in range(len(t)) if t[k : k + len(must)] == must)
+            votes = [(p - j, x) for p, x in enumerate(w) if x in rare for j in range(len(t)) if t[j] == x]
+            votes += [(p - start, None) for p in range(len(w)) if w[p : p + len(must)] == must]
+            bands = defaultdict(set)
+            for o, x in votes:
+                for g in (0, 1):
+                    bands[g, (o + g * n) // (2 * n)].add(x)
+            hits = [len(b - {None}) / len(rare) for b in bands.values() if None in b]
+            if max(hits, default=0) >= 0.5:
+                labels, best = labels | {label}, max(best, *hits)
+        want[i] = (",".join(sorted(labels)), round(best, 9))
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    assert all(licenses.TEMPLATES[k][0] in got[2000 + k][0].split(",") for k in range(len(notices)) if len(notices[k].split()) > 12)  # inserted words do no harm
+
+
+def test_quality_votes_brute_force(spark):
+    """A score is the similarity-weighted vote of the nearest labelled vectors, whatever the blocks."""
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    m = quality.fit(docs, labels, F.lit(True))
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, m).collect()}
+    cache = quality.WordHash()
+    for r in docs.where("doc_id % 29 = 0").collect():
+        z = m.project(quality.features([(r["text"] or "").encode()], cache, m.params))[0].astype(float)
+        cos = sorted(((float(z @ v), k) for k, v in enumerate(m.vectors.astype(float))), reverse=True)[: m.params.neighbours]
+        vote = [(max(c, 1e-3) ** 8 * m.weights[k], m.labels[k]) for c, k in cos]
+        assert abs(got[r["doc_id"]] - sum(v * y for v, y in vote) / sum(v for v, _ in vote)) < 1e-3
+
+
 def test_scoring(spark, texts, odd, empty):
     c, ends = Counter(), 0
     for i, t in texts:
@@ -312,6 +366,39 @@ def test_html_wrappers():
     assert html.extract([""])[0] == [""] and html.extract(["<div>plain<br>text</div><script>var a='</p>'</script>"])[0] == ["plain text"]
 
 
+def test_html_hard_markup():
+    """Deep, unclosed and long markup is read whole, in time that grows with its length."""
+    import time
+
+    began = time.time()
+    assert html.extract(["<div>" * 1500 + "deep" + "</div>" * 1500] * 3)[0] == ["deep"] * 3
+    assert html.extract(["<p>a" + "<a " * 300_000])[0] == ["a"]
+    assert html.extract(["<p>a</p>" + '<a x="' * 100_000])[0] == ["a"]
+    text = html.extract([f"<article>{''.join(f'<h2>t{i}</h2><p>b{i}</p>' for i in range(10_000))}</article>", "<article><h2>x</h2><p>y</p></article>", "<article><p>z</p></article>"])[0]
+    assert text[0].count("\n") == 19_999 and text[1:] == ["x\ny", "z"]
+    mixed = np.random.default_rng(1).choice(["h2", "p", "ul", "pre", "div", "h3"], (2, 5000))
+    for tags, got in zip(mixed, html.extract(["".join(f"<{t}>{i}</{t}>" for i, t in enumerate(row)) for row in mixed])[0], strict=True):
+        assert got.split("\n") == [str(i) for i in range(len(tags))]
+    assert time.time() - began < 60
+
+
+def test_html_attributes():
+    """Only whole names count: title, data-id and width are none of class, id, role, hidden."""
+    page = '<article><p title="hidden gems">Text</p><p data-id="share">B</p><p width="3">C</p><p id=share-1>no</p><p CLASS=\'x AD\'>no</p><p hidden>no</p><p aria-hidden="true">no</p></article>'
+    assert html.extract([page])[0] == ["Text\nB\nC"]
+
+
+def test_html_the_wrapper_decides():
+    """What is the same on all pages of a host is template text; a region needs its share of the slots; one page alone has no template."""
+    page = "<body><p class=x>Buy now</p><div class=main><h1>Title {0}</h1><p>Body {0} of some length that goes on and on and on and on, as the text of {0} does</p></div><article class=teaser>{0}</article><pre>Imprint of the house</pre></body>"
+    pages = [page.format(k) for k in ("one", "two", "three", "four")]
+    together, alone = html.extract(pages)[0], html.extract(pages[:1])[0]
+    assert together[1] == "Title two\nBody two of some length that goes on and on and on and on, as the text of two does\ntwo"
+    assert alone == ["Buy now\nTitle one\nBody one of some length that goes on and on and on and on, as the text of one does\none\nImprint of the house"]
+    same = html.extract(["<article><p>All the same</p></article><i>%d</i>" % k for k in range(4)])[0]
+    assert same == ["All the same"] * 4  # most of the text: copies, no template
+
+
 def test_html_odd(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (2, "http://a/b", "<p>hi", "y"), (2, "http://a/b", "<p>hi", "y")], "page_id long, url string, html string, host string")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.main_texts(df).collect()) == [(1, "", 0), (2, "hi", 2), (2, "hi", 2)]
