@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,12 +26,23 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a folder of our own only where that is unset."""
+    """A new folder for this application below spark.checkpoint.dir, which all executors share. Only in local mode, where driver and executors are one
+    process, a temporary folder serves if it is unset; it goes with the process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="orbitframe-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete this application's stage tables, when the results that read them are written."""
+    base = stage_dir(spark).rsplit("/", 1)[0]
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -130,6 +144,27 @@ def starts(lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(counts.sum()) - offsets(counts)[:-1][doc] + first[doc], doc
 
 
+def segment_sums(rows: np.ndarray, index: np.ndarray, first: np.ndarray, most: int = 16) -> np.ndarray:
+    """Sums of rows[index] over segments that begin at `first`: the k-th members of all segments are added at once; a segment longer than `most`
+    is summed in pieces."""
+    lengths = np.diff(np.append(first, len(index)))
+    if len(lengths) and lengths.max() > most:
+        pieces = -(-lengths // most)
+        at = offsets(pieces)[:-1]
+        cut = np.repeat(first - most * at, pieces) + most * np.arange(pieces.sum())
+        return segment_sums(segment_sums(rows, index, cut), np.arange(len(cut)), at)
+    order = np.argsort(-lengths, kind="stable")
+    start, more = first[order], np.searchsorted(-lengths[order], -np.arange(1, most), side="left")
+    out = rows.take(index[start], axis=0)
+    for k, m in enumerate(more.tolist(), 1):
+        if not m:
+            break
+        out[:m] += rows.take(index[start[:m] + k], axis=0)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
 def spread(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

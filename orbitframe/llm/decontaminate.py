@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitframe.llm.common import as_bytes, chunks, lane, letters, offsets, stage, table, total
+from orbitframe.llm.common import as_bytes, chunks, lane, letters, offsets, segment_sums, stage, table, total
 
 
 @dataclass(frozen=True)
@@ -80,27 +80,6 @@ def _blocks(place: np.ndarray, doc: np.ndarray, block: int) -> tuple[np.ndarray,
     return first, code[first]
 
 
-def sums(rows: np.ndarray, index: np.ndarray, first: np.ndarray, most: int = 16) -> np.ndarray:
-    """Sums of rows[index] over segments that begin at `first`: the k-th members of all segments are added at once; a segment longer than `most`
-    is summed in pieces."""
-    lengths = np.diff(np.append(first, len(index)))
-    if len(lengths) and lengths.max() > most:
-        pieces = -(-lengths // most)
-        at = offsets(pieces)[:-1]
-        cut = np.repeat(first - most * at, pieces) + most * np.arange(pieces.sum())
-        return sums(sums(rows, index, cut), np.arange(len(cut)), at)
-    order = np.argsort(-lengths, kind="stable")
-    start, more = first[order], np.searchsorted(-lengths[order], -np.arange(1, most), side="left")
-    out = rows[index[start]]
-    for k, m in enumerate(more.tolist(), 1):
-        if not m:
-            break
-        out[:m] += rows[index[start[:m] + k]]
-    back = np.empty_like(out)
-    back[order] = out
-    return back
-
-
 def _count(size: int, kind: str):
     def run(batches):
         df, n = np.zeros(size, np.int64), 0
@@ -125,11 +104,11 @@ def _sketch(shared, kind: str, p: Params):
             if not len(ids):
                 continue
             first, _ = _blocks(place[own], doc[own], 2 * p.block)
-            z = sums(weighted, ids, first)
+            z = segment_sums(weighted, ids, first)
             of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
             order = np.argsort(ids, kind="stable")
             cut = np.flatnonzero(np.concatenate(([True], np.diff(ids[order]) > 0)))
-            y[ids[order][cut]] += sums(z, of[order], cut)
+            y[ids[order][cut]] += segment_sums(z, of[order], cut)
         y *= weight[:, None]
         rows = [(k, y[s : s + 1024]) for k, s in enumerate(range(0, len(y), 1024))]
         yield pa.RecordBatch.from_pydict({"part": pa.array([k for k, _ in rows], pa.int32()), "lane": pa.array([lane()] * len(rows), pa.int32()), "v": pa.array([v.astype("f4").tobytes() for _, v in rows], pa.binary())})
@@ -210,7 +189,7 @@ def _search(shared, kind: str, p: Params):
             z, of = np.zeros((0, latent.shape[1])), np.zeros(0, np.int64)
             if len(own):
                 first, code = _blocks(place[own], doc[own], p.block)
-                z, of = sums(latent, ids[own], first), code >> 40
+                z, of = segment_sums(latent, ids[own], first), code >> 40
                 z[:-1] += z[1:] * (code[1:] == code[:-1] + 1)[:, None]
                 z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
                 for s in range(0, len(z), 4096):

@@ -80,7 +80,7 @@ def signatures(e: np.ndarray, w: np.ndarray, at: np.ndarray, m: int) -> np.ndarr
 def _signed(bands: int, rows: int):
     def run(batches):
         cache = WordHash()
-        for batch in chunks(batches):
+        for batch in chunks(batches, budget=2 << 20):
             e, w, at = elements(batch["text"].to_pylist(), cache)
             sig = signatures(e, w, at, bands * rows).reshape(-1, bands, rows)
             code = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(sig), 1))
