@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from orbitframe.llm.common import stage, table
 
-LEVELS, BITS = 4, 15
+LEVELS, BITS, MOST_SOURCES, SALTS = 4, 15, 20_000, 32
 
 
 def size_of(text: Column) -> Column:
@@ -48,18 +48,28 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: fl
         now = stage(now.withColumn("full", over))
 
 
+def by_source(sized: DataFrame, rule: DataFrame, sources: int) -> DataFrame:
+    """sized with the columns of rule (s, ...), one row a source at most, and `sources` in all."""
+    same = sized.source.eqNullSafe(rule.s)
+    if sources <= MOST_SOURCES:
+        return sized.join(F.broadcast(rule), same)
+    salted = rule.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return sized.join(salted, sized.source.eqNullSafe(salted.s) & (F.pmod("h", F.lit(SALTS)) == salted.salt)).drop("salt")
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) of every row; copies is how often the mix takes the document."""
     sized = stage(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("h")))
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), **options)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     goal = stage(goal.withColumn("whole", whole.cast("long")).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")))
+    sources = goal.count()
     # (source, need, low): documents with a hash below low are in, those from low on up to the bucket's end are open
     open_, width = goal.select("source", "need", F.lit(0).cast("long").alias("low")), 60
     for level in range(LEVELS):
         step = 1 << (width - BITS)
-        mine = sized.where("size > 0").join(open_, sized.source.eqNullSafe(open_.source)).where((F.col("h") >= F.col("low")) & (F.col("h") < F.col("low") + F.lit(1 << width)))
-        sums = mine.groupBy(open_.source, "low", "need", ((F.col("h") - F.col("low")) / step).cast("long").alias("bucket")).agg(F.sum("size").alias("size"))
+        mine = by_source(sized.where("size > 0"), open_.withColumnRenamed("source", "s"), sources).where((F.col("h") >= F.col("low")) & (F.col("h") < F.col("low") + F.lit(1 << width)))
+        sums = mine.groupBy("source", "low", "need", ((F.col("h") - F.col("low")) / step).cast("long").alias("bucket")).agg(F.sum("size").alias("size"))
         run = F.sum("size").over(Window.partitionBy("source").orderBy("bucket"))
         sums = sums.withColumn("before", run - F.col("size"))
         if level < LEVELS - 1:
@@ -71,7 +81,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
             last = none.unionByName(taken).groupBy("source").agg(F.max("last").alias("last"))
         width -= BITS
     rule = goal.join(last, goal.source.eqNullSafe(last.source), "left").select(goal.source.alias("s"), "source_size", "target", "whole", F.coalesce("last", F.lit(-1)).alias("last"))
-    return sized.join(rule, sized.source.eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.when((F.col("h") <= F.col("last")) & (F.col("size") > 0), 1).otherwise(0)).alias("copies"))
+    return by_source(sized, rule, sources).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.when((F.col("h") <= F.col("last")) & (F.col("size") > 0), 1).otherwise(0)).alias("copies"))
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
