@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from orbitframe.functions.geo import ecef, great_circle
 
 
-def _cells(df: DataFrame, lat: str, lon: str, km: float) -> DataFrame:
-    return df.withColumns({f"__c{k}": F.floor(c / (km * 1000)) for k, c in enumerate(ecef(F.col(lat), F.col(lon)))})
+def _cells(df: DataFrame, lat: str, lon: str, km: float, reach: float = 0.0) -> DataFrame:
+    """Numbers of the cells, `2 * km` wide, that the place is in or that are within `reach` of it along each axis."""
+    side = 2000 * km
+    for k, c in enumerate(ecef(F.col(lat), F.col(lon))):
+        low, high = F.floor((c - 1000 * reach) / side), F.floor((c + 1000 * reach) / side)
+        df = df.withColumn(f"__c{k}", F.explode(F.sequence(low, high)) if reach else low)
+    return df
 
 
 def neighbours(left: DataFrame, right: DataFrame, by: list[str], left_at: tuple[str, str], right_at: tuple[str, str], km: float) -> DataFrame:
-    """All pairs within `km`, with their distance. Cells have the radius as side, so a neighbour is in one of 27 cells: an equi-join without
-    poles or date line; the columns of the two sides must differ but for `by`."""
-    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    right = _cells(right, *right_at, km)
-    for k in range(3):
-        right = right.withColumn("__d", near).withColumn(f"__c{k}", F.col(f"__c{k}") + F.col("__d")).drop("__d")
-    both = _cells(left, *left_at, km).join(right, [*by, "__c0", "__c1", "__c2"])
+    """All pairs within `km`, with their distance. Cells are twice the radius wide, so a right row is in at most two along each axis, eight in all:
+    an equi-join without poles or date line; the columns of the two sides must differ but for `by`, and the right side should be the smaller."""
+    both = _cells(left, *left_at, km).join(_cells(right, *right_at, km, km), [*by, "__c0", "__c1", "__c2"])
     both = both.withColumn("distance", great_circle(F.col(left_at[0]), F.col(left_at[1]), F.col(right_at[0]), F.col(right_at[1])))
     return both.where(F.col("distance") <= km).drop("__c0", "__c1", "__c2")
 

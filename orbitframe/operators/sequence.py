@@ -70,11 +70,20 @@ def shuffled(df: DataFrame, key: str, seed: int) -> Column:
 
 
 def fraction(df: DataFrame, by: list[str], key: str, start: float, end: float, seed: int = 1) -> DataFrame:
-    """Rows from floor(start * n) up to floor(end * n) of each group's fixed shuffle."""
+    """Rows from floor(start * n) up to floor(end * n) of each group's fixed shuffle. Counts by bucket of the shuffle's place tell the two buckets
+    in which the bounds lie; only rows of these are ranked, all others are in or out by their bucket. A group's rows are never sorted."""
+    rows = df.withColumn("__p", shuffled(df, key, seed)).withColumn("__b", F.expr("__p div 65536"))
+    counts = rows.groupBy(*by, "__b").agg(F.count("*").alias("__n"))
     w = Window.partitionBy(*by)
-    rank = F.row_number().over(w.orderBy(shuffled(df, key, seed), key)) - 1
-    out = df.withColumns({"__r": rank, "__n": F.count("*").over(w)})
-    return out.where((F.col("__r") >= F.floor(F.lit(start) * F.col("__n"))) & (F.col("__r") < F.floor(F.lit(end) * F.col("__n")))).drop("__r", "__n")
+    upto = F.sum("__n").over(w.orderBy("__b"))
+    counts = counts.select(*by, "__b", (upto - F.col("__n")).alias("__before"), "__n", F.sum("__n").over(w).alias("__all"))
+    low, high = F.floor(F.lit(start) * F.col("__all")), F.floor(F.lit(end) * F.col("__all"))
+    inside = (F.col("__before") >= low) & (F.col("__before") + F.col("__n") <= high)
+    cut = (F.col("__before") < high) & (F.col("__before") + F.col("__n") > low) & ~inside
+    marked = rows.join(counts.select(*by, "__b", "__before", low.alias("__lo"), high.alias("__hi"), inside.alias("__in"), cut.alias("__cut")).where("__in or __cut"), [*by, "__b"])
+    rank = F.row_number().over(Window.partitionBy(*by, "__b").orderBy("__p", key)) - 1 + F.col("__before")
+    edge = marked.where("__cut").withColumn("__r", rank).where("__r >= __lo and __r < __hi")
+    return marked.where("__in").select(*df.columns).unionByName(edge.select(*df.columns))
 
 
 def split_by_day(time: Column) -> Column:

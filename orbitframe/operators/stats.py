@@ -43,3 +43,17 @@ def dense(stat: DataFrame, key: str, n: int) -> DataFrame:
 def unpivot_targets(df: DataFrame, keys: list[str], targets: list[str]) -> DataFrame:
     """(keys, target, value): one row a target, so that one grouping serves all targets."""
     return df.unpivot(keys, targets, "target", "value")
+
+
+def bundle(df: DataFrame, statistics: dict[str, list[Column]], value: Column) -> DataFrame:
+    """(statistic, k0, k1, ..., n, total): several statistics of one value in a single scan. A row is a key of each statistic, and partial sums are
+    made before anything is shuffled; keys are whole numbers, and shorter keys end in nulls. Rows with a null among their keys or a null
+    value take no part in a statistic."""
+    most = max(len(keys) for keys in statistics.values())
+    each = F.array(*(F.struct(F.lit(name).alias("statistic"), *(k.cast("int").alias(f"k{i}") for i, k in enumerate(keys)), *(F.lit(None).cast("int").alias(f"k{i}") for i in range(len(keys), most))) for name, keys in statistics.items()))
+    rows = df.where(value.isNotNull()).select(value.cast("double").alias("__v"), F.explode(each).alias("s")).select("s.*", "__v")
+    whole = F.lit(True)
+    for i in range(most):
+        shorter = [name for name, keys in statistics.items() if len(keys) <= i]
+        whole = whole & (F.col(f"k{i}").isNotNull() | F.col("statistic").isin(shorter))
+    return rows.where(whole).groupBy("statistic", *(f"k{i}" for i in range(most))).agg(F.count("*").alias("n"), F.sum("__v").alias("total"))

@@ -40,9 +40,9 @@ def k11(spark, sf):
     return obs(spark, sf).groupBy("surface_type").agg(F.avg("tcwv").alias("t")).select(F.format_string("%3d%8.2f", "surface_type", F.round("t", 2)).alias("line"))
 
 
-@query("k10_normalised", f"WITH {OBS_SQL} SELECT airmass_type, round(sum(surface_precip) / nullif(count(surface_precip), 0), 6) AS mean FROM obs WHERE surface_type > 16 GROUP BY airmass_type")
+@query("k10_normalised", f"WITH {OBS_SQL} SELECT airmass_type, round(sum(surface_precip) / nullif(count(surface_precip), 0), 6) AS mean FROM obs GROUP BY airmass_type")
 def k10(spark, sf):
-    df = obs(spark, sf).where("surface_type > 16").groupBy("airmass_type").agg(F.sum("surface_precip").alias("s"), F.count("surface_precip").alias("n"))
+    df = obs(spark, sf).groupBy("airmass_type").agg(F.sum("surface_precip").alias("s"), F.count("surface_precip").alias("n"))
     return rounded(df.select("airmass_type", F.try_divide("s", F.col("n").cast("double")).alias("mean")))
 
 

@@ -56,11 +56,11 @@ def j10(spark, sf):
     return kept.join(a, "sample_id").join(m, "sample_id", "left").select("sample_id", "surface_precip", F.coalesce("m", "surface_precip").alias("surface_precip_avg"), "surface_type")
 
 
-@query("j11_as_of", "SELECT o.o_orderkey AS key, (SELECT strftime(max(d), '%Y-%m-%d') FROM (SELECT DISTINCT o_orderdate::DATE AS d FROM orders WHERE o_orderkey % 50 = 0) f WHERE f.d <= o.o_orderdate::DATE AND f.d >= o.o_orderdate::DATE - 31) AS value FROM orders o WHERE o.o_orderkey % 7 = 0")
+@query("j11_as_of", "SELECT o.o_orderkey AS key, (SELECT strftime(max(d), '%Y-%m-%d') FROM (SELECT DISTINCT o_orderdate::DATE AS d FROM orders WHERE o_orderkey % 50 = 0) f WHERE f.d <= o.o_orderdate::DATE AND f.d >= o.o_orderdate::DATE - 31) AS value FROM orders o")
 def j11(spark, sf):
     o = table(spark, sf, "orders").withColumn("d", F.to_date("o_orderdate"))
     files = o.where("o_orderkey % 50 = 0").select("d").distinct()
-    return co.as_of(o.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("key"), "d"), files, "key", F.col("d"), F.col("d"), F.date_format("d", "yyyy-MM-dd"), 31)
+    return co.as_of(o.select(F.col("o_orderkey").alias("key"), "d"), files, "key", F.col("d"), F.col("d"), F.date_format("d", "yyyy-MM-dd"), 31)
 
 
 @query("j12_effective_sensor", "SELECT CASE WHEN o_orderdate < DATE '1998-01-01' THEN 'early' ELSE 'late' END AS sensor, count(*) AS n FROM orders GROUP BY 1")

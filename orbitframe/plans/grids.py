@@ -29,6 +29,34 @@ def g15(spark, sf):
     return df.select("sample_id", "granule", "scan", "pixel").join(grid.dilate(df.where("surface_type = 2"), ["granule"], "scan", "pixel", 1), ["granule", "scan", "pixel"], "left_semi").select("sample_id")
 
 
-@query("a44_spectra")
+def _cosine(field: str, place: str, k: str, n: int) -> str:
+    return f"sum({field} * cos(pi() * (2 * {place} + 1) * {k} / {2.0 * n}::DOUBLE)) * CASE WHEN {k} = 0 THEN sqrt(1.0::DOUBLE / {n}) ELSE sqrt(2.0::DOUBLE / {n}) END"
+
+
+SPECTRA = f"""WITH {OBS_SQL}, f AS (SELECT granule, scan AS y, pixel AS x, coalesce(surface_precip, 0) AS a, coalesce(surface_precip_ref, 0) AS b FROM obs),
+ r AS (SELECT granule, k.range AS ky, x, {_cosine('a', 'y', 'k.range', 40)} AS a, {_cosine('b', 'y', 'k.range', 40)} AS b FROM f, range(40) k GROUP BY granule, k.range, x),
+ c AS (SELECT granule, ky, k.range AS kx, {_cosine('a', 'x', 'k.range', 25)} AS a, {_cosine('b', 'x', 'k.range', 25)} AS b FROM r, range(25) k GROUP BY granule, ky, k.range),
+ s AS (SELECT floor(sqrt((ky / 40.0::DOUBLE) ** 2 + (kx / 25.0::DOUBLE) ** 2) * 32)::INT AS scale, sum(a * a) AS ea, sum(b * b) AS eb, sum(a * b) AS ab, sum((a - b) * (a - b)) AS dd, sum(b) AS sb, count(*) AS n FROM c GROUP BY 1)
+SELECT scale, round(ea, 3) AS energy, round(eb, 3) AS energy_ref, round(abs(ab) / sqrt(ea * eb), 5) AS coherence, round(ab / sqrt(ea * eb), 5) AS correlation, round(dd / n, 3) AS mse, CASE WHEN n >= 4 THEN round(1 - dd / (eb - sb ** 2 / n), 5) END AS efficiency, n FROM s"""
+
+
+@query("a44_spectra", SPECTRA)
 def a44(spark, sf):
-    return grid.spectra(obs(spark, sf), "granule", "scan", "pixel", "surface_precip", "surface_precip_ref")
+    out = grid.spectra(obs(spark, sf), "granule", "scan", "pixel", "surface_precip", "surface_precip_ref")
+    places = {"energy": 3, "energy_ref": 3, "coherence": 5, "correlation": 5, "mse": 3, "efficiency": 5}
+    return out.withColumns({c: F.round(c, n) for c, n in places.items()})
+
+
+@query("g12_replicated_padding", f"WITH {OBS_SQL}, p AS (SELECT granule, a.range - 12 AS y, b.range - 3 AS x FROM (SELECT DISTINCT granule FROM obs), range(64) a, range(32) b) SELECT p.granule, y, x, o.tcwv FROM p JOIN obs o ON o.granule = p.granule AND o.scan = greatest(0, least(39, y)) AND o.pixel = greatest(0, least(24, x))")
+def g12r(spark, sf):
+    """Granules of 40 x 25 padded to 64 x 32, 12 and 3 places before; the edges are repeated."""
+    return grid.pad(obs(spark, sf).select("granule", "scan", "pixel", "tcwv"), ["granule"], "scan", "pixel", (40, 25), 32).select("granule", F.col("scan").alias("y"), F.col("pixel").alias("x"), "tcwv")
+
+
+@query("g15_isolated", f"WITH {OBS_SQL}, i AS (SELECT granule, scan, pixel, sample_id FROM obs WHERE surface_type IN (2, 3, 5, 7, 11)), n AS (SELECT a.sample_id, count(*) AS near FROM i a JOIN i b ON a.granule = b.granule AND abs(a.scan - b.scan) <= 1 AND abs(a.pixel - b.pixel) <= 1 GROUP BY a.sample_id) SELECT sample_id, near FROM n WHERE near > 2")
+def g15i(spark, sf):
+    """Ice that has more than one other piece of ice among its eight neighbours."""
+    ice = obs(spark, sf).where("surface_type in (2, 3, 5, 7, 11)").select("granule", "scan", "pixel", "sample_id")
+    ones = ice.withColumn("one", F.lit(1.0))
+    near = grid.smooth(ones, ["granule"], "scan", "pixel", "one", [(dy, dx, 1.0) for dy in (-1, 0, 1) for dx in (-1, 0, 1)], 0.0, total=True)
+    return ice.join(near, ["granule", "scan", "pixel"]).where("smooth > 2").select("sample_id", F.col("smooth").cast("long").alias("near"))

@@ -163,7 +163,7 @@ def dot_sql(a: str, b: str) -> str:
     return f"({a}[1] * {b}[1] + {a}[2] * {b}[2] + {a}[3] * {b}[3])"
 
 
-@query("f23_footprint_rotation", f"WITH {SWATH_SQL}, p AS (SELECT sample_id, granule, scan, pixel, {ecef_sql('lat', 'lon')} AS pos, {ecef_sql('(lat - 4)', '(-128.2::DOUBLE)', '407000')} AS sc, [cos(radians(lat)) * cos(radians(lon)), cos(radians(lat)) * sin(radians(lon)), sin(radians(lat))] AS up FROM swath), l AS (SELECT *, lag(pos) OVER w AS before, lead(pos) OVER w AS after FROM p WINDOW w AS (PARTITION BY granule, pixel ORDER BY scan)), d AS (SELECT *, list_transform([1, 2, 3], lambda i: pos[i] - before[i]) AS u0, list_transform([1, 2, 3], lambda i: after[i] - pos[i]) AS v0, list_transform([1, 2, 3], lambda i: pos[i] - sc[i]) AS view FROM l), n AS (SELECT *, CASE WHEN before IS NULL THEN NULL ELSE list_transform(u0, lambda x: x / sqrt({dot_sql('u0', 'u0')})) END AS u, CASE WHEN after IS NULL THEN NULL ELSE list_transform(v0, lambda x: x / sqrt({dot_sql('v0', 'v0')})) END AS v FROM d), a AS (SELECT *, CASE WHEN u IS NULL THEN v WHEN v IS NULL THEN u ELSE list_transform([1, 2, 3], lambda i: (u[i] + v[i]) / 2) END AS al FROM n), c AS (SELECT *, [up[2] * al[3] - up[3] * al[2], up[3] * al[1] - up[1] * al[3], up[1] * al[2] - up[2] * al[1]] AS ac FROM a) SELECT sample_id, round(degrees(atan2({dot_sql('view', 'ac')}, {dot_sql('view', 'al')})), 4) AS angle FROM c")
+@query("f23_footprint_rotation", f"WITH {SWATH_SQL}, p AS (SELECT sample_id, granule, scan, pixel, {ecef_sql('lat', 'lon')} AS pos, {ecef_sql('(lat - 4)', '(-128.2::DOUBLE)', '407000')} AS sc, [cos(radians(lat)) * cos(radians(lon)), cos(radians(lat)) * sin(radians(lon)), sin(radians(lat))] AS up FROM swath), l AS (SELECT *, lag(pos) OVER w AS before, lead(pos) OVER w AS after FROM p WINDOW w AS (PARTITION BY granule, pixel ORDER BY scan)), d AS (SELECT *, list_transform([1, 2, 3], lambda i: pos[i] - before[i]) AS u0, list_transform([1, 2, 3], lambda i: after[i] - pos[i]) AS v0, list_transform([1, 2, 3], lambda i: pos[i] - sc[i]) AS view FROM l), n AS (SELECT *, CASE WHEN before IS NULL THEN NULL ELSE list_transform(u0, lambda x: x / sqrt({dot_sql('u0', 'u0')})) END AS u, CASE WHEN after IS NULL THEN NULL ELSE list_transform(v0, lambda x: x / sqrt({dot_sql('v0', 'v0')})) END AS v FROM d), a AS (SELECT *, CASE WHEN u IS NULL THEN v WHEN v IS NULL THEN u ELSE list_transform([1, 2, 3], lambda i: (u[i] + v[i]) / 2) END AS al FROM n), c AS (SELECT *, [up[2] * al[3] - up[3] * al[2], up[3] * al[1] - up[1] * al[3], up[1] * al[2] - up[2] * al[1]] AS ac FROM a) SELECT sample_id, round(degrees(atan2({dot_sql('view', 'ac')}, {dot_sql('view', 'al')})), 4) + 0.0 AS angle FROM c")
 def f23(spark, sf):
     df = swath(spark, sf)
     at = ecef(F.col("lat"), F.col("lon"))
@@ -173,7 +173,7 @@ def f23(spark, sf):
     df = df.withColumns({f"b{k}": F.lag(f"a{k}").over(w) for k in range(3)} | {f"n{k}": F.lead(f"a{k}").over(w) for k in range(3)})
     vector = lambda p: tuple(F.col(f"{p}{k}") for k in range(3))
     angle = gm.rotation(vector("a"), vector("b"), vector("n"), gm.up(F.col("lat"), F.col("lon")), vector("s"))
-    return df.select("sample_id", F.round(angle, 4).alias("angle"))
+    return df.select("sample_id", (F.round(angle, 4) + 0.0).alias("angle"))
 
 
 @query("f24_radar_gates", f"WITH {OBS_SQL}, g AS (SELECT sample_id, radians((sample_id % 360)::DOUBLE) AS az, radians(0.5::DOUBLE) AS el, (sample_id % 150) * 1000.0::DOUBLE AS r, {ecef_sql('8.718::DOUBLE', '167.733::DOUBLE')} AS h FROM obs) SELECT sample_id, round(h[1] + r * cos(el) * (cos(az) * -sin(radians(8.718)) * cos(radians(167.733)) - sin(az) * sin(radians(167.733))) + r * sin(el) * cos(radians(8.718)) * cos(radians(167.733)), 2) AS x, round(h[3] + r * cos(el) * cos(az) * cos(radians(8.718)) + r * sin(el) * sin(radians(8.718)), 2) AS z FROM g")

@@ -138,9 +138,9 @@ def r06(spark, sf):
     return rounded(tb(spark, sf).select("vec_id", physics.path_integral(F.col("profile"), HEIGHTS).alias("path")))
 
 
-@query("r10_profile_difference", f"WITH {TB_SQL} SELECT vec_id, list_transform(range(1, 29), lambda i: round(profile[29 - i] - profile[i], 6)) AS d FROM tb")
+@query("r10_profile_difference", f"WITH {TB_SQL} SELECT vec_id, list_transform(range(1, 29), lambda i: round(profile[29 - i] - profile[i], 6) + 0.0) AS d FROM tb")
 def r10(spark, sf):
-    return tb(spark, sf).select("vec_id", F.zip_with(F.reverse("profile"), "profile", lambda a, b: F.round(a - b, 6)).alias("d"))
+    return tb(spark, sf).select("vec_id", F.zip_with(F.reverse("profile"), "profile", lambda a, b: F.round(a - b, 6) + 0.0).alias("d"))
 
 
 @query("r12_any_over_channels", f"WITH {TB_SQL} SELECT vec_id, list_max(tb) > 240 AS any_high, list_min(profile) > -0.2 AS all_above FROM tb")

@@ -142,9 +142,9 @@ def p05(spark, sf):
     return obs(spark, sf).select("sample_id", F.when(keep, F.col("surface_precip")).alias("surface_precip"))
 
 
-@query("p14_extend_pixels", f"WITH {OBS_SQL} SELECT o.granule, o.scan, g.p AS pixel, x.tcwv FROM (SELECT DISTINCT granule, scan FROM obs WHERE granule = 0) o CROSS JOIN range(41) g(p) LEFT JOIN obs x ON x.granule = o.granule AND x.scan = o.scan AND x.pixel + 8 = g.p")
+@query("p14_extend_pixels", f"WITH {OBS_SQL} SELECT o.granule, o.scan, g.p AS pixel, x.tcwv FROM (SELECT DISTINCT granule, scan FROM obs) o CROSS JOIN range(41) g(p) LEFT JOIN obs x ON x.granule = o.granule AND x.scan = o.scan AND x.pixel + 8 = g.p")
 def p14(spark, sf):
-    df = obs(spark, sf).where("granule = 0")
+    df = obs(spark, sf)
     grid = df.select("granule", "scan").distinct().withColumn("pixel", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(40).cast("long"))))
     return grid.join(df.select("granule", "scan", (F.col("pixel") + 8).alias("pixel"), "tcwv"), ["granule", "scan", "pixel"], "left")
 

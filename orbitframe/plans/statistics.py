@@ -131,7 +131,7 @@ def a43(spark, sf):
 
 C = "SELECT surface_type, tb_bin, n, sum(n) OVER (PARTITION BY surface_type ORDER BY tb_bin) / sum(n) OVER (PARTITION BY surface_type) AS cdf FROM"
 FIT = f"""WITH {HIST_SQL}, b AS (SELECT surface_type, channel, {ubin('tb', 0., 400., 400)} AS tb_bin FROM hist),
- o AS ({C} (SELECT surface_type, tb_bin, count(*) AS n FROM b WHERE channel = 1 AND tb_bin IS NOT NULL GROUP BY ALL)), s AS ({C} (SELECT surface_type, tb_bin, count(*) AS n FROM b WHERE channel = 2 AND tb_bin IS NOT NULL GROUP BY ALL)),
+ o AS ({C} (SELECT surface_type, tb_bin, count(*) AS n FROM b WHERE channel % 2 = 1 AND tb_bin IS NOT NULL GROUP BY ALL)), s AS ({C} (SELECT surface_type, tb_bin, count(*) AS n FROM b WHERE channel % 2 = 0 AND tb_bin IS NOT NULL GROUP BY ALL)),
  t AS (SELECT surface_type, tb_bin::DOUBLE AS hi, cdf AS c1, coalesce(lag(tb_bin) OVER w, tb_bin)::DOUBLE AS lo, coalesce(lag(cdf) OVER w, 0) AS c0 FROM o WINDOW w AS (PARTITION BY surface_type ORDER BY tb_bin)),
  f AS (SELECT s.surface_type, s.tb_bin, lo + (hi - lo) * (s.cdf - c0) / (c1 - c0) - s.tb_bin AS delta FROM s JOIN t ON s.surface_type = t.surface_type AND s.cdf > c0 AND s.cdf <= c1)"""
 
@@ -140,8 +140,8 @@ def _fit(spark, sf):
     from orbitframe.operators import correct
 
     h = histogram_input(spark, sf)
-    part = lambda c: stats.partial(h.where(F.col("channel") == c), {"surface_type": F.col("surface_type"), "tb_bin": uniform_bin(F.col("tb"), 0.0, 400.0, 400)})
-    return correct.fit(part(1), part(2), ["surface_type"], "tb_bin", "n")
+    part = lambda c: stats.partial(h.where(F.col("channel") % 2 == c), {"surface_type": F.col("surface_type"), "tb_bin": uniform_bin(F.col("tb"), 0.0, 400.0, 400)})
+    return correct.fit(part(1), part(0), ["surface_type"], "tb_bin", "n")
 
 
 @query("f26_cdf_correction", FIT + " SELECT surface_type, tb_bin, round(delta + 1e-9, 6) AS delta FROM f")
@@ -149,9 +149,28 @@ def f26(spark, sf):
     return rounded(_fit(spark, sf), 1e-9)
 
 
-@query("f25_corrected_mean", FIT + ", x AS (SELECT surface_type, tb_bin FROM b WHERE channel = 2 AND tb_bin IS NOT NULL) SELECT x.surface_type, count(*) AS n, round(avg(x.tb_bin + CASE WHEN x.surface_type IN (2, 8, 9, 10, 11, 16) THEN 0 ELSE coalesce(f.delta, 0) END), 6) AS tb FROM x LEFT JOIN f ON f.surface_type = x.surface_type AND f.tb_bin = x.tb_bin GROUP BY x.surface_type")
+@query("f25_corrected_mean", FIT + ", x AS (SELECT surface_type, tb_bin FROM b WHERE channel % 2 = 0 AND tb_bin IS NOT NULL) SELECT x.surface_type, count(*) AS n, round(avg(x.tb_bin + CASE WHEN x.surface_type IN (2, 8, 9, 10, 11, 16) THEN 0 ELSE coalesce(f.delta, 0) END), 6) AS tb FROM x LEFT JOIN f ON f.surface_type = x.surface_type AND f.tb_bin = x.tb_bin GROUP BY x.surface_type")
 def f25(spark, sf):
     from orbitframe.operators import correct
 
-    x = histogram_input(spark, sf).where("channel = 2").select("surface_type", uniform_bin(F.col("tb"), 0.0, 400.0, 400).alias("tb_bin")).dropna().withColumn("tb", F.col("tb_bin").cast("double"))
+    x = histogram_input(spark, sf).where("channel % 2 = 0").select("surface_type", uniform_bin(F.col("tb"), 0.0, 400.0, 400).alias("tb_bin")).dropna().withColumn("tb", F.col("tb_bin").cast("double"))
     return rounded(correct.apply(x, _fit(spark, sf), ["surface_type"], "tb_bin", "tb").groupBy("surface_type").agg(F.count("*").alias("n"), F.avg("tb").alias("tb")))
+
+
+PRESET = {
+    "zonal": (["month", "lat_bin"], "month(scan_time)::INT", ubin("latitude", -90.0, 90.0, 180)),
+    "surface": (["surface_type", "airmass"], "surface_type", "airmass_type"),
+    "pixels": (["pixel", "half"], "pixel::INT", "(scan // 20)::INT"),
+}
+PRESET_SQL = " UNION ALL ".join(f"SELECT '{name}' AS statistic, {one} AS k0, {two} AS k1, count(*) AS n, round(sum(surface_precip) + 1e-9, 6) AS total FROM obs WHERE surface_precip IS NOT NULL AND ({two}) IS NOT NULL GROUP BY ALL" for name, (_, one, two) in PRESET.items())
+
+
+@query("a03_preset_bundle", f"WITH {OBS_SQL} {PRESET_SQL}")
+def a03(spark, sf):
+    """Three statistics of one scan."""
+    keys = {
+        "zonal": [F.month("scan_time"), uniform_bin(F.col("latitude"), -90.0, 90.0, 180)],
+        "surface": [F.col("surface_type"), F.col("airmass_type")],
+        "pixels": [F.col("pixel"), F.expr("scan div 20")],
+    }
+    return rounded(stats.bundle(obs(spark, sf), keys, F.col("surface_precip")), 1e-9)

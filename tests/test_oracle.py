@@ -16,7 +16,7 @@ def plain(v):
         return None
     if isinstance(v, (list, np.ndarray)):
         return str([plain(x) for x in v])
-    return repr(round(float(v), 5) + 0.0) if isinstance(v, (float, int, np.number)) and not isinstance(v, bool) else str(v)
+    return repr(round(float(v), 5)) if isinstance(v, (float, int, np.number)) and not isinstance(v, bool) else str(v)
 
 
 def rows(df):
