@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbitframe.functions.geo import great_circle
+from orbitframe.functions.geometry import cross, unit
+
 
 def _sent(df: DataFrame, by: list[str], y: str, x: str, radius: int, columns: list) -> DataFrame:
     """Rows dealt to all places within the radius; (dy, dx) points from the place to the row."""
@@ -76,3 +79,59 @@ def packet_energy(df: DataFrame, key: str, y: str, x: str, value: str, levels: i
 
     kind = dict(df.dtypes)[key]
     return df.select(key, y, x, value).groupBy(key).applyInPandas(transform, f"{key} {kind}, level int, node_y int, node_x int, energy double")
+
+
+def track(df: DataFrame, by: list[str], order: str, lat: str, lon: str, step: float) -> DataFrame:
+    """(by, row, lat, lon): a track at equal distances of `step` km, linear between its points; longitudes must not jump (see unroll). Each stretch
+    between two points makes its own rows."""
+    w = Window.partitionBy(*by).orderBy(order)
+    apart = F.when(F.lag(lat).over(w).isNull(), 0.0).otherwise(great_circle(F.lag(lat).over(w), F.lag(lon).over(w), F.col(lat), F.col(lon)))
+    far = df.select(*by, order, lat, lon, apart.alias("__d")).withColumn("__at", F.sum("__d").over(w))
+    far = far.withColumns({"__to": F.lead("__at").over(w), "__lat": F.lead(lat).over(w), "__lon": F.lead(lon).over(w)}).where("__to > __at")
+    first, last = F.ceil(F.col("__at") / step), F.ceil(F.col("__to") / step) - 1
+    rows = far.where(first <= last).withColumn("row", F.explode(F.sequence(first, last)))
+    part = (F.col("row") * step - F.col("__at")) / (F.col("__to") - F.col("__at"))
+    return rows.select(*by, "row", (F.col(lat) + part * (F.col("__lat") - F.col(lat))).alias("lat"), (F.col(lon) + part * (F.col("__lon") - F.col(lon))).alias("lon"))
+
+
+def swath_grid(centre: DataFrame, by: list[str], width: int, step: float, reach: int = 5) -> DataFrame:
+    """(by, row, col, lat, lon): `width` tracks on either side of a track of equal distances, `step` km apart along the normals of the track, whose
+    direction is taken between the rows `reach` before and after. Places on a sphere: cos(d) times the point plus sin(d) times the normal."""
+    w = Window.partitionBy(*by).orderBy("row")
+    phi, lam = F.radians("lat"), F.radians("lon")
+    points = centre.select(*by, "row", (F.cos(phi) * F.cos(lam)).alias("p0"), (F.cos(phi) * F.sin(lam)).alias("p1"), F.sin(phi).alias("p2"))
+    ends = {f"{k}{i}": F.first(f"p{i}").over(w.rowsBetween(-reach, 0)) if k == "a" else F.last(f"p{i}").over(w.rowsBetween(0, reach)) for k in "ab" for i in range(3)}
+    points = points.withColumns(ends)
+    p = tuple(F.col(f"p{i}") for i in range(3))
+    normal = unit(cross(p, tuple(F.col(f"b{i}") - F.col(f"a{i}") for i in range(3))))
+    points = points.withColumns({f"n{i}": c for i, c in enumerate(normal)}).withColumn("col", F.explode(F.sequence(F.lit(-width), F.lit(width))))
+    d = F.col("col") * (-step / 6371.0)
+    x, y, z = (F.cos(d) * F.col(f"p{i}") + F.sin(d) * F.col(f"n{i}") for i in range(3))
+    return points.select(*by, "row", "col", F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), z)))).alias("lat"), F.degrees(F.atan2(y, x)).alias("lon"))
+
+
+def windows(df: DataFrame, by: str, y: str, x: str, value: str, size: int, least: float) -> DataFrame:
+    """(by, y0, x0): square windows of a granule with at least the share `least` of valid values. A sweep goes on by a window after one that is
+    taken and by a quarter of it otherwise, along each row and from row to row; each step depends on those before, so a granule, which has a
+    bounded size, is one group."""
+
+    def run(pdf):
+        import numpy as np
+        import pandas as pd
+
+        shape = int(pdf[y].max()) + 1, int(pdf[x].max()) + 1
+        valid = np.zeros(shape, bool)
+        valid[pdf[y], pdf[x]] = pdf[value].notna()
+        sums = np.pad(valid.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+        out, i = [], 0
+        while i + size <= shape[0]:
+            before, j = len(out), 0
+            while j + size <= shape[1]:
+                taken = sums[i + size, j + size] - sums[i, j + size] - sums[i + size, j] + sums[i, j] >= least * size * size
+                if taken:
+                    out.append((i, j))
+                j += size if taken else max(1, size // 4)
+            i += size if len(out) > before else max(1, size // 4)
+        return pd.DataFrame({by: pdf[by].iloc[0], "y0": [o[0] for o in out], "x0": [o[1] for o in out]})
+
+    return df.select(by, y, x, value).groupBy(by).applyInPandas(run, f"{by} {dict(df.dtypes)[by]}, y0 int, x0 int")

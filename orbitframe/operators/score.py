@@ -35,3 +35,71 @@ def score(df: DataFrame, features: str, layers: list[dict[str, np.ndarray]], out
             yield batch.append_column(out, pa.array(answers, pa.list_(pa.float64())))
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
+
+
+def heads(x: np.ndarray, trunk: list[dict[str, np.ndarray]], tails: dict[str, list[dict[str, np.ndarray]]]) -> dict[str, np.ndarray]:
+    """Answers of several targets that share a trunk."""
+    shared = forward(x, trunk) if trunk else x
+    return {name: forward(shared, layers) for name, layers in tails.items()}
+
+
+def score_heads(df: DataFrame, features: str, trunk: list[dict[str, np.ndarray]], tails: dict[str, list[dict[str, np.ndarray]]]) -> DataFrame:
+    """df with an array column for each target; null if any feature is null."""
+    shared = df.sparkSession.sparkContext.broadcast((trunk, tails))  # a model's size
+
+    def run(batches):
+        for batch in batches:
+            rows = batch[features].to_pylist()
+            good = [i for i, r in enumerate(rows) if r is not None and None not in r]
+            found = heads(np.array([rows[i] for i in good], float), *shared.value) if good else {}
+            for name in shared.value[1]:
+                answers: list = [None] * len(rows)
+                for i, y in zip(good, found[name].tolist() if good else [], strict=True):
+                    answers[i] = y
+                batch = batch.append_column(name, pa.array(answers, pa.list_(pa.float64())))
+            yield batch
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(k, T.ArrayType(T.DoubleType())) for k in tails)]))
+
+
+def gradient(x: np.ndarray, layers: list[dict[str, np.ndarray]], step: float = 1e-4) -> np.ndarray:
+    """Of the mean answer by each feature, by central differences."""
+    out = np.zeros_like(x, dtype=float)
+    for k in range(x.shape[1]):
+        move = np.zeros(x.shape[1])
+        move[k] = step
+        out[:, k] = (forward(x + move, layers).mean(axis=1) - forward(x - move, layers).mean(axis=1)) / (2 * step)
+    return out
+
+
+def score_gradient(df: DataFrame, features: str, layers: list[dict[str, np.ndarray]], out: str = "gradient") -> DataFrame:
+    """df with the gradient of the mean answer by each feature; null if any feature is null."""
+    shared = df.sparkSession.sparkContext.broadcast(layers)  # a model's size
+
+    def run(batches):
+        for batch in batches:
+            rows = batch[features].to_pylist()
+            good = [i for i, r in enumerate(rows) if r is not None and None not in r]
+            answers: list = [None] * len(rows)
+            if good:
+                for i, y in zip(good, gradient(np.array([rows[i] for i in good], float), shared.value).tolist(), strict=True):
+                    answers[i] = y
+            yield batch.append_column(out, pa.array(answers, pa.list_(pa.float64())))
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
+
+
+def transfer(layers: list[dict[str, np.ndarray]], channels: dict[int, int], features: int) -> list[dict[str, np.ndarray]]:
+    """A model for another sensor: the weights of its feature i are those of feature channels[i]; features without a counterpart weigh nothing."""
+    first = np.zeros((features, layers[0]["w"].shape[1]))
+    for i, k in channels.items():
+        first[i] = layers[0]["w"][k]
+    return [layers[0] | {"w": first}, *layers[1:]]
+
+
+def finalise(scored: DataFrame, valid, columns: list[str], key: str, source: DataFrame) -> DataFrame:
+    """The source's rows with the scored columns, null where a row is not valid or was not scored."""
+    from pyspark.sql import functions as F
+
+    kept = scored.select(key, *(F.when(valid, F.col(c)).alias(c) for c in columns))
+    return source.join(kept, key, "left")

@@ -197,3 +197,53 @@ def f19(spark, sf):
     base = surface.classify((i * 13 % 103 - 2).cast("int"), snow, months, (i % 12).cast("int"))
     whole = surface.mountains(surface.ice_sheets(base, F.col("latitude"), F.col("longitude")), (i % 3).cast("int"))
     return obs(spark, sf).select("sample_id", whole.cast("int").alias("surface_type"))
+
+
+CENTRE = f"t AS (SELECT granule, scan, avg(lat) AS lat, avg(lon) AS lon FROM swath GROUP BY ALL), l AS (SELECT *, lag(lat) OVER w AS la, lag(lon) OVER w AS lo FROM t WINDOW w AS (PARTITION BY granule ORDER BY scan)), d AS (SELECT *, sum(CASE WHEN la IS NULL THEN 0 ELSE {HAV.format(a='la', b='lat', c='lo', d='lon')} END) OVER (PARTITION BY granule ORDER BY scan) AS far FROM l), n AS (SELECT *, lead(far) OVER w AS far1, lead(lat) OVER w AS lat1, lead(lon) OVER w AS lon1 FROM d WINDOW w AS (PARTITION BY granule ORDER BY scan))"
+
+
+@query("g07_centre_track", f"WITH {SWATH_SQL}, {CENTRE} SELECT granule, r.range AS row, round(lat + (r.range * 5 - far) / (far1 - far) * (lat1 - lat), 6) AS lat, round(lon + (r.range * 5 - far) / (far1 - far) * (lon1 - lon), 6) AS lon FROM n JOIN range(200) r ON r.range * 5 >= far AND r.range * 5 < far1")
+def g07c(spark, sf):
+    """The middle of the swath every 5 km."""
+    return rounded(_track(spark, sf))
+
+
+def _track(spark, sf):
+    from orbitframe.operators import fields
+
+    middle = swath(spark, sf).groupBy("granule", "scan").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    return fields.track(middle, ["granule"], "scan", "lat", "lon", 5.0)
+
+
+@query("g07_swath_grid")
+def g07(spark, sf):
+    from orbitframe.operators import fields
+
+    return rounded(fields.swath_grid(_track(spark, sf), ["granule"], 20, 5.0))
+
+
+@query("g13_windows")
+def g13(spark, sf):
+    from orbitframe.operators import fields
+
+    return fields.windows(obs(spark, sf).withColumn("v", F.when(F.col("rqi") > 0.2, F.col("tcwv"))), "granule", "scan", "pixel", "v", 12, 0.8)
+
+
+@query("d06_collected_results", f"WITH {SWATH_SQL}, {PAIRS}, a AS (SELECT left_id, arg_min(sample_id, distance) AS sample_id FROM pairs WHERE distance <= 20 GROUP BY left_id) SELECT 'reference' AS grp, sample_id AS left_id, surface_precip_ref AS precip FROM swath WHERE surface_precip_ref IS NOT NULL UNION ALL SELECT 'near', left_id, o.surface_precip FROM a JOIN other o USING (sample_id) WHERE o.surface_precip IS NOT NULL UNION ALL SELECT 'own', sample_id, surface_precip FROM swath WHERE sample_id % 3 = 0 AND surface_precip IS NOT NULL")
+def d06(spark, sf):
+    """The reference grid with the results of each algorithm on it, one group after another."""
+    near = _nearest(_left(spark, sf), other_swath(spark, sf), "left_id", "sample_id", AT, AT2, 20.0).join(other_swath(spark, sf).select("sample_id", "surface_precip"), "sample_id")
+    df = swath(spark, sf).withColumn("left_id", F.col("sample_id"))
+    parts = {"reference": df.select("left_id", F.col("surface_precip_ref").alias("precip")), "near": near.select("left_id", F.col("surface_precip").alias("precip")), "own": df.where("sample_id % 3 = 0").select("left_id", F.col("surface_precip").alias("precip"))}
+    out = None
+    for name, part in parts.items():
+        part = part.where("precip is not null").select(F.lit(name).alias("grp"), "left_id", "precip")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("s24_collocation_samples", f"WITH {OBS_SQL} SELECT grp, sample_id, surface_precip, surface_precip_ref, month(scan_time)::INT AS month FROM obs WHERE surface_precip >= 0 AND surface_precip_ref >= 0 AND rqi >= 0.2")
+def s24(spark, sf):
+    """The long sample table of stored collocations: the groups' rows with valid values on both sides."""
+    df = obs(spark, sf).where("surface_precip >= 0 and surface_precip_ref >= 0 and rqi >= 0.2")
+    return df.select("grp", "sample_id", "surface_precip", "surface_precip_ref", F.month("scan_time").alias("month"))

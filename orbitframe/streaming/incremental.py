@@ -31,3 +31,19 @@ def accumulate(stream: DataFrame, keys: dict[str, Column], value: Column, path:
 def accumulated(spark, path: str) -> DataFrame:
     """The sum of all batches."""
     return merge(spark.read.parquet(path).drop("batch"))
+
+
+def frames_near(scans: DataFrame, frames: DataFrame, seconds: int, lateness: str) -> DataFrame:
+    """Each scan (scan_time, ...) of a stream with the radar frames (frame_time, ...) of another that are at most `seconds` away: an equi-join on slots
+    of that length, of which a scan takes three. Both sides carry a watermark, so the state holds no more than the interval and the lateness."""
+    slot = lambda c: F.floor(F.unix_seconds(c) / seconds)
+    a = scans.withWatermark("scan_time", lateness).withColumn("__slot", F.explode(F.sequence(slot("scan_time") - 1, slot("scan_time") + 1)))
+    b = frames.withWatermark("frame_time", lateness).withColumn("__own", slot("frame_time"))
+    near = F.expr(f"__slot = __own and frame_time between scan_time - interval {seconds} seconds and scan_time + interval {seconds} seconds")
+    return a.join(b, near).drop("__slot", "__own")
+
+
+def closest_frame(pairs: DataFrame, key: str, frame: str) -> DataFrame:
+    """(key, frame): the closest of a scan's frames, the earlier one of two equally close."""
+    apart = F.abs(F.unix_micros("scan_time") - F.unix_micros("frame_time"))
+    return pairs.groupBy(key).agg(F.min_by(frame, F.struct(apart, F.col("frame_time"))).alias(frame))
