@@ -100,6 +100,20 @@ def test_neardup_single_links(spark):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def test_neardup_repeated_shingles(spark):
+    """Pairs that are alike as sets though one of the two repeats a passage many times: nearly all are found."""
+    rows, alike = [], 0
+    for i in range(60):
+        words = [f"w{i}x{k}" for k in range(150)]
+        part, other = words[140:], [f"o{i}x{k}" for k in range(12)]
+        pair = words + part * (5 + i), words + other
+        rows += [(2 * i + j, " ".join(w)) for j, w in enumerate(pair)]
+        a, b = ({tuple(w[p : p + 5]) for p in range(len(w) - 4)} for w in pair)
+        alike += len(a & b) >= 0.8 * len(a | b)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert alike == 60 and sum(got[2 * i + 1] == 2 * i for i in range(60)) >= 59
+
+
 def test_probability_jaccard():
     """Registers agree with the probability Jaccard of the weights."""
     r = np.random.default_rng(1)
