@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitframe.llm.common import chunks, fold, lane, mix, offsets, stage, table, total
+from orbitframe.llm.common import chunks, fold, lane, mix, offsets, segment_sums, stage, table, total
 
 
 @dataclass(frozen=True)
@@ -159,9 +159,9 @@ class Model:
 
     def chances(self, level: int, node: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """exp of the logits of the branches, and its sums; weights stay small, so nothing overflows."""
-        z = self.b[level][node] + self.w[level][rows[0]]
-        for r in rows[1:]:
-            z += self.w[level][r]
+        z = self.b[level].take(node, axis=0)
+        for r in rows:
+            z += self.w[level].take(r, axis=0)
         np.exp(z, out=z)
         return z, z.sum(axis=1)
 
@@ -188,13 +188,13 @@ class Model:
             flat = rows.ravel()
             order = np.argsort(flat, kind="stable")
             first = np.flatnonzero(np.concatenate(([True], flat[order[1:]] != flat[order[:-1]])))
-            g = np.add.reduceat(g[order % len(g)], first, axis=0)
+            g = segment_sums(g, order % len(g), first)
             r = flat[order[first]]
             have = squares[level][r] + np.einsum("ij,ij->i", g, g)
             squares[level][r] = have
             pace = (p.rate / np.sqrt(have))[:, None]
             g *= pace
-            g += w[r] * (1 - p.decay * pace)
+            g += w.take(r, axis=0) * (1 - p.decay * pace)
             w[r] = g
 
 
