@@ -122,10 +122,10 @@ def r03(spark, sf):
     return df.select("vec_id", "x", F.array_position(F.slice("x", 16, 18), 1.0).cast("int").alias("surface_type"))
 
 
-@query("f09_output_names", f"WITH {OBS_SQL}, g AS (SELECT granule, min(scan_time) AS t0, max(scan_time) AS t1 FROM obs GROUP BY granule) SELECT granule, '2A.GPROF-NN1D.GMI.V0.' || strftime(t0, '%Y%m%d') || '-S' || strftime(t0, '%H%M%S') || '-E' || strftime(t1, '%H%M%S') || '.' || lpad(granule::VARCHAR, 6, '0') || '.BIN' AS name FROM g")
+@query("f09_output_names", f"WITH {OBS_SQL}, g AS (SELECT granule, min(scan_time) AS t0, max(scan_time) AS t1 FROM obs GROUP BY granule) SELECT granule, '2A.NET1D.GMI.V0.' || strftime(t0, '%Y%m%d') || '-S' || strftime(t0, '%H%M%S') || '-E' || strftime(t1, '%H%M%S') || '.' || lpad(granule::VARCHAR, 6, '0') || '.BIN' AS name FROM g")
 def f09(spark, sf):
     g = obs(spark, sf).groupBy("granule").agg(F.min("scan_time").alias("t0"), F.max("scan_time").alias("t1"))
-    name = F.concat(F.lit("2A.GPROF-NN1D.GMI.V0."), F.date_format("t0", "yyyyMMdd"), F.lit("-S"), F.date_format("t0", "HHmmss"), F.lit("-E"), F.date_format("t1", "HHmmss"), F.lit("."), F.lpad(F.col("granule").cast("string"), 6, "0"), F.lit(".BIN"))
+    name = F.concat(F.lit("2A.NET1D.GMI.V0."), F.date_format("t0", "yyyyMMdd"), F.lit("-S"), F.date_format("t0", "HHmmss"), F.lit("-E"), F.date_format("t1", "HHmmss"), F.lit("."), F.lpad(F.col("granule").cast("string"), 6, "0"), F.lit(".BIN"))
     return g.select("granule", name.alias("name"))
 
 
