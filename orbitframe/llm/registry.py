@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitframe.llm import mixing
+from orbitframe.llm import audit, mixing
+from orbitframe.llm.audit import op11_audit
 from orbitframe.llm.decontaminate import op3_decontaminate
 from orbitframe.llm.fingerprints import op8_fingerprints
 from orbitframe.llm.html import op2_html
@@ -29,10 +30,12 @@ _QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_neardup": op9_neardup,
     "op10_toxicity": op10_toxicity,
+    "op11_audit": op11_audit,
 }
 
 _SQL: dict[str, str] = {
     "op6_mixing": mixing.ORACLE,
+    "op11_audit": audit.ORACLE,
 }
 
 
