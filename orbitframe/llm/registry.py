@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orbitframe.llm import audit, mixing
+from orbitframe.llm import audit, mixing, tries
 from orbitframe.llm.audit import op11_audit
 from orbitframe.llm.decontaminate import op3_decontaminate
 from orbitframe.llm.fingerprints import op8_fingerprints
@@ -18,6 +18,7 @@ from orbitframe.llm.quality import op1_quality
 from orbitframe.llm.scoring import op5_scoring
 from orbitframe.llm.substrings import op7_substrings
 from orbitframe.llm.toxicity import op10_toxicity
+from orbitframe.llm.tries import op12_trie
 
 _QUERIES = {
     "op1_quality": op1_quality,
@@ -31,11 +32,13 @@ _QUERIES = {
     "op9_neardup": op9_neardup,
     "op10_toxicity": op10_toxicity,
     "op11_audit": op11_audit,
+    "op12_trie": op12_trie,
 }
 
 _SQL: dict[str, str] = {
     "op6_mixing": mixing.ORACLE,
     "op11_audit": audit.ORACLE,
+    "op12_trie": tries.ORACLE,
 }
 
 
