@@ -16,6 +16,7 @@ from orbitframe.llm.mixing import op6_mixing
 from orbitframe.llm.neardup import op9_neardup
 from orbitframe.llm.quality import op1_quality
 from orbitframe.llm.scoring import op5_scoring
+from orbitframe.llm.simhash import op13_simhash
 from orbitframe.llm.substrings import op7_substrings
 from orbitframe.llm.toxicity import op10_toxicity
 from orbitframe.llm.tries import op12_trie
@@ -33,6 +34,7 @@ _QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_audit": op11_audit,
     "op12_trie": op12_trie,
+    "op13_simhash": op13_simhash,
 }
 
 _SQL: dict[str, str] = {
