@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orbitframe.operators import intervals
+from orbitframe.operators import extraction, intervals
 from orbitframe.plans.formats import F4, PIXELS, _pixels, f4
 from orbitframe.plans.registry import query
 from orbitframe.sources import bins, records, store, swathfiles
@@ -143,3 +143,18 @@ def _times(spark, sf):
 def s10n(spark, sf):
     """The one file of each granule number."""
     return intervals.by_number(_times(spark, sf)[1], "granule", "file")
+
+
+@query("d04_extraction", f"""WITH {OBS_SQL} SELECT granule::INT AS granule, granule % 4 = 3 AS failed, CASE WHEN granule % 4 <> 3 THEN count(*) END AS n,
+    CASE WHEN granule % 4 <> 3 THEN round(sum(surface_type), 6) END AS surfaces FROM obs WHERE granule % 4 = 3 OR tcwv >= 20 GROUP BY granule""")
+def d04(spark, sf):
+    """Files of granules, of which every fourth promises more scans than it holds, through a filter; what failed is a row as well."""
+    source, out = store.workspace(spark, "pp"), store.workspace(spark, "extracted")
+    pixels = _pixels(spark, sf)
+    swathfiles.write_granules(pixels.where("granule % 4 <> 3"), "preprocessor", source)
+    swathfiles.write_granules(pixels.where("granule % 4 = 3"), "preprocessor", source, **{"header.number_of_scans": "1000"})
+    kept = lambda df: df.where("round(total_column_water_vapor, 2) >= 20").select("path", "granule", "surface_type")
+    said = extraction.extract(spark, source, "preprocessor", out, kept, ["granule", "total_column_water_vapor", "surface_type"])
+    found = extraction.results(spark, out).groupBy("granule").agg(F.count("*").alias("n"), F.sum("surface_type").cast("double").alias("surfaces"))
+    number = F.regexp_extract("path", r"0*(\d+)\.pp$", 1).cast("int")
+    return said.select(number.alias("granule"), F.col("error").isNotNull().alias("failed")).join(found, "granule", "left")

@@ -10,7 +10,11 @@ succeeded, and removes them otherwise. A granule must lie in one task (`write_gr
 granule are an error. Null numbers become -9999.9, or -99 for integers; places of a scan without a row hold these values too.
 
 Options: path; scans ("3", "-2", "10:20", "-2:"); maxPartitionBytes; channels, conical, angles, surface, variant of the layout; clusters, the clusters in
-the profile table of a retrieval file; compression "gzip", most_scans, algorithm and header.<field> for writing."""
+the profile table of a retrieval file; errors "rows" (below); skip, a file that lists names not to read; compression "gzip", most_scans, algorithm and
+header.<field> for writing.
+
+With errors "rows" the schema has a column `error`: a file that cannot be read, or that holds less than its header promises, gives one row with its
+path and what is wrong instead of failing the job. Rows that other tasks have read of it are for the caller to leave out (see operators/extraction)."""
 
 from __future__ import annotations
 
@@ -75,11 +79,12 @@ def form_of(kind: str, options: dict[str, str]) -> Form:
     return Form(np.dtype([]), layouts.mrms_record(variant or "conical", n), suffix=".bin")
 
 
-def schema_of_form(form: Form) -> str:
+def schema_of_form(form: Form, errors: bool = False) -> str:
+    last = ", error string" if errors else ""
     if form.scan is not None:
-        return f"path string, granule int, scan int, pixel int, {schema_of(form.scan)}, {schema_of(form.record)}"
+        return f"path string, granule int, scan int, pixel int, {schema_of(form.scan)}, {schema_of(form.record)}{last}"
     keys = "".join(f"{k}_bin int, " for k in form.keys)
-    return f"file string, record bigint, {keys}{schema_of(form.record)}"
+    return f"file string, record bigint, {keys}{schema_of(form.record)}{last}"
 
 
 def to_arrow(values: np.ndarray) -> pa.Array:
@@ -166,7 +171,9 @@ def span(text: str | None, n: int) -> range:
 
 class Reader(DataSourceReader):
     def __init__(self, kind: str, options: dict[str, str], schema: StructType):
-        self.kind, self.options, self.columns = kind, dict(options), list(schema.names)
+        self.kind, self.options, self.schema = kind, dict(options), schema
+        self.strict = self.options.get("errors") == "rows"
+        self.columns = [c for c in schema.names if not (self.strict and c == "error")]
         self.form = form_of(kind, self.options)
         names = ("granule", "scan") if self.form.scan is not None else tuple(f"{k}_bin" for k in self.form.keys)
         self.bounds = {k: Bounds() for k in names}
@@ -179,8 +186,15 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> Sequence[Part]:
         most, out = int(self.options.get("maxpartitionbytes", 64 << 20)), []
+        skip = set()
+        if "skip" in self.options:
+            system, path = store.resolve(self.options["skip"])
+            with system.open_input_file(path) as file:
+                skip = set(file.read().decode().split("\n"))
         for found in store.listed(self.options["path"], self.options.get("names", "*")):
             keys = {}
+            if found.path in skip:
+                continue
             if self.form.name:
                 match = self.form.name.search(found.path)
                 keys = {f"{k}_bin": None if match is None or match[k] is None else int(match[k]) for k in self.form.keys}
@@ -190,7 +204,23 @@ class Reader(DataSourceReader):
             out += [Part(found.path, a, min(a + step, found.size), found.size, keys) for a in range(0, max(found.size, 1), max(step, 1))]
         return out
 
-    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Part | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # what Spark asks for when there is no part
+            return
+        if not self.strict:
+            yield from self._read(part)
+            return
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        whole = to_arrow_schema(self.schema)
+        try:
+            for batch in self._read(part):
+                yield pa.RecordBatch.from_arrays([batch.column(f.name) if f.name != "error" else pa.nulls(batch.num_rows, pa.string()) for f in whole], schema=whole)
+        except Exception as e:  # whatever is wrong with one file
+            said = {"error": f"{type(e).__name__}: {e}"[:500], "path": part.path, "file": part.path}
+            yield pa.RecordBatch.from_arrays([pa.array([said.get(f.name)], f.type) for f in whole], schema=whole)
+
+    def _read(self, part: Part) -> Iterator[pa.RecordBatch]:
         system, path = store.resolve(self.options["path"])[0], part.path
         with system.open_input_file(path) as raw:
             magic = raw.read(2)
@@ -210,6 +240,8 @@ class Reader(DataSourceReader):
             if len(rows):
                 yield at, rows
             if len(rows) < n:
+                if self.strict and numbers.stop < 1 << 61:
+                    raise ValueError(f"ends in item {at + len(rows)} of {numbers.stop}")
                 return
             at += n
 
@@ -225,6 +257,8 @@ class Reader(DataSourceReader):
         form = self.form
         content = file.read(form.header.itemsize)
         if len(content) < form.header.itemsize:
+            if self.strict:
+                raise ValueError("no whole header")
             return
         head = np.frombuffer(content, form.header, 1)[0]
         n, m, granule = int(head["number_of_scans"]), int(head["number_of_pixels"]), int(head["granule_number"])
@@ -232,6 +266,8 @@ class Reader(DataSourceReader):
             return
         kind = np.dtype([("scan", form.scan), ("pixels", form.record, (m,))])
         base, scan = form.header.itemsize + form.skip, self.bounds["scan"]
+        if self.strict and not whole and part.size != base + max(n, 0) * kind.itemsize:
+            raise ValueError(f"{n} scans of {m} pixels promised, {(part.size - base) / kind.itemsize:.1f} found")
         named = span(self.options.get("scans"), n)
         asked = range(max(named.start, scan.low), max(named.start, min(named.stop, scan.high + 1)))
         if scan.among is not None:
@@ -326,7 +362,7 @@ class Writer(DataSourceArrowWriter):
         head = np.zeros(1, self.form.header)
         asked = {k[7:]: v for k, v in self.options.items() if k.startswith("header.")}
         for k in self.form.header.names or ():
-            v = values.get(k, asked.get(k))
+            v = asked.get(k, values.get(k))
             if v is not None:
                 head[k] = v.encode() if isinstance(v, str) and head.dtype[k].kind == "S" else v
         return head
@@ -411,7 +447,7 @@ class SwathSource(DataSource):
         return cls.KIND
 
     def schema(self) -> str:
-        return schema_of_form(form_of(self.KIND, dict(self.options)))
+        return schema_of_form(form_of(self.KIND, dict(self.options)), self.options.get("errors") == "rows")
 
     def reader(self, schema: StructType) -> Reader:
         return Reader(self.KIND, dict(self.options), schema)
@@ -449,6 +485,6 @@ def read(spark: SparkSession, kind: str, path: str, columns: list[str] | None =
     register(spark)
     found = spark.read.format(kind).options(**options)
     if columns:
-        whole = StructType.fromDDL(schema_of_form(form_of(kind, {k.lower(): v for k, v in options.items()})))
+        whole = StructType.fromDDL(schema_of_form(form_of(kind, {k.lower(): v for k, v in options.items()}), options.get("errors") == "rows"))
         found = found.schema(StructType([whole[c] for c in columns]))
     return found.load(path)
