@@ -2,6 +2,10 @@
 
 Toxic documents go, one document of each near-duplicate class stays, passages that an earlier document holds are cut, documents with
 benchmark items go, and sources are mixed to target weights (a document may then stand twice). Columns stay those of documents.
+
+Defined cases: a null text is empty to every stage; it and an empty text are kept, but for the classifier's say, and stand once in the mix. Rows of one id
+are one document to near duplicates (one row stays) and are judged each by itself elsewhere. Rows with a null id pass near duplicates and
+decontamination as they are; the other stages treat them like any. An empty table stays empty. Other columns, whatever their names, are carried.
 """
 
 from __future__ import annotations

@@ -52,6 +52,23 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores as it takes to be none of the columns (upper and lower case are one in Spark)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def one_row(rows: DataFrame) -> DataFrame:
+    """Of rows (doc_id, text, y) one for each id, that of the least hash of its text; repeated rows are combined before they are shuffled."""
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "y"))
+    return rows.groupBy("doc_id").agg(least.alias("r")).select("doc_id", "r.text", "r.y")
+
+
 def as_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text as UTF-8 bytes); a null text is empty."""
     return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).cast("binary").alias(text))

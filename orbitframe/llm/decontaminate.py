@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitframe.llm.common import as_bytes, chunks, lane, letters, offsets, segment_sums, stage, table, total
+from orbitframe.llm.common import as_bytes, chunks, free, lane, letters, offsets, segment_sums, stage, table, total
 
 
 @dataclass(frozen=True)
@@ -265,8 +265,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFr
 
 def clean(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
     """The documents, with all their columns, that hold no benchmark item."""
-    found = leaks(docs, benchmark, p).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__id"), "left_anti")
+    (own,) = free(docs.columns, "__id")
+    found = leaks(docs, benchmark, p).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(found, F.col("doc_id") == F.col(own), "left_anti")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbitframe.llm.common import stage, table
+from orbitframe.llm.common import free, stage, table
 
 LEVELS, BITS, MOST_SOURCES, SALTS = 4, 15, 20_000, 32
 
@@ -86,10 +86,11 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The documents, with all their columns, that the mix takes, each as often as it is taken. Documents without words stay once."""
-    rule = mix(docs, **options).groupBy("doc_id", "source").agg(F.max("copies").alias("__n"), F.max("size").alias("__size"))
-    rule = rule.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.when(F.col("__size") == 0, 1).otherwise(F.col("__n")).cast("int").alias("__n"))
-    both = docs.doc_id.eqNullSafe(rule["__id"]) & docs.source.eqNullSafe(rule["__source"])
-    return docs.join(rule, both).where(F.col("__n") > 0).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    own, source, n, k = free(docs.columns, "__id", "__source", "__n", "__k")
+    rule = mix(docs, **options).groupBy("doc_id", "source").agg(F.max("copies").alias("copies"), F.max("size").alias("size"))
+    rule = rule.select(F.col("doc_id").alias(own), F.col("source").alias(source), F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias(n))
+    both = F.col("doc_id").eqNullSafe(F.col(own)) & F.col("source").eqNullSafe(F.col(source))
+    return docs.join(rule, both).where(F.col(n) > 0).withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 ORACLE = r"""

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitframe.llm.common import WordHash, chunks, mix, offsets, stage, starts, table, windows
+from orbitframe.llm.common import WordHash, chunks, free, mix, offsets, stage, starts, table, windows
 
 WORDS, BANDS, PLAIN, ROWS, THRESHOLD, PARITY = 5, 24, 16, 4, 0.8, 8
 KEY = ["doc_id", "t"]
@@ -211,8 +211,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, p
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with all their columns, of each class only the one with the least id, and one row of it; rows with a null id stay."""
-    out = classes(docs, threshold).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(out, F.col("doc_id") == F.col("__id")).drop("__id").dropDuplicates(["doc_id"])
+    (own,) = free(docs.columns, "__id")
+    out = classes(docs, threshold).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias(own)).distinct()
+    kept = docs.join(out, F.col("doc_id") == F.col(own)).drop(own).dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitframe.llm.common import WordHash, as_bytes, chunks, fold, letters, offsets, table
+from orbitframe.llm.common import WordHash, as_bytes, chunks, fold, letters, offsets, one_row, table
 
 
 @dataclass(frozen=True)
@@ -121,7 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, p: Params = Params())
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     picked = [have.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_per_class) for y in (0, 1)]
     # at most 2 * max_per_class ids: a proven bound for the broadcast, and with max_train_chars for what comes to the driver
-    rows = docs.where(F.length("text") <= p.max_train_chars).select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").collect()
+    near = docs.where(F.length("text") <= p.max_train_chars).select("doc_id", F.col("text").cast("binary").alias("text"))
+    rows = one_row(near.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")).collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["text"])))
     y = np.array([r["y"] for r in rows], np.float64)
     if len(rows) < 4 or not 0 < y.sum() < len(y):

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitframe.llm.common import WordHash, chunks, offsets, stage, starts, table, windows
+from orbitframe.llm.common import WordHash, chunks, free, offsets, stage, starts, table, windows
 
 SECOND_BASE = 0xD1342543DE82EF95
 KEY = ["doc_id", "t"]
@@ -197,12 +197,13 @@ def repeats(docs: DataFrame, length: int = 50) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """The documents without repeated passages, with all their columns: a text that loses words becomes its other words joined by one space,
     and n_chars, where there is one, its new length. Every row stays, even if no word is left; other texts stay as they are."""
-    found = repeats(docs, length).where(F.col("kept").isNotNull()).select(*(F.col(c).alias(f"__{c}") for c in KEY), F.col("kept").alias("__kept")).dropDuplicates(["__doc_id", "__t"])
-    key = (F.col("doc_id") == F.col("__doc_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__t"))
-    out = docs.join(found, key, "left").withColumn("text", F.coalesce("__kept", "text"))
+    own, t, kept = free(docs.columns, "__id", "__t", "__kept")
+    found = repeats(docs, length).where(F.col("kept").isNotNull()).select(*(F.col(c).alias(k) for c, k in zip(KEY, (own, t), strict=True)), F.col("kept").alias(kept)).dropDuplicates([own, t])
+    key = (F.col("doc_id") == F.col(own)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(t))
+    out = docs.join(found, key, "left").withColumn("text", F.coalesce(kept, "text"))
     if "n_chars" in docs.columns:
         kind = reduce(lambda a, b: b, (f.dataType for f in docs.schema if f.name == "n_chars"))
-        out = out.withColumn("n_chars", F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
+        out = out.withColumn("n_chars", F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
     return out.select(*docs.columns)
 
 

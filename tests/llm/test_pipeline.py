@@ -88,3 +88,33 @@ def test_stages_on_odd_rows(spark):
         for name, step in corpus_pipeline.STAGES:
             out = step(spark, docs, SF)
             assert out.columns == docs.columns and out.count() <= 2 * docs.count(), name
+
+
+CLASHING = ["__id", "__n", "__k", "__source", "__doc_id", "__t", "__kept", "__size", "__ID_", "t", "n", "h", "size", "copies", "kept", "class_id", "own", "node", "comp", "score", "y", "item_id", "target", "whole", "last"]
+
+
+def test_stages_with_clashing_names(spark, planted):
+    """Columns with the names that stages use inside change nothing and are carried."""
+    some = planted.where("doc_id >= 10000 or doc_id % 4 = 0")
+    more = some.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in CLASHING})
+    for name, step in corpus_pipeline.STAGES:
+        plain, out = step(spark, some, SF), step(spark, more, SF)
+        assert out.columns == more.columns, name
+        rows = out.collect()
+        assert all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in CLASHING), name
+        assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter((r["doc_id"], r["text"]) for r in plain.collect()), name
+
+
+def test_repeated_labelled_ids_are_one_row(spark):
+    """20000 rows of one labelled id do not swell the sample that a classifier learns from."""
+    from orbitframe.llm import quality
+    from orbitframe.llm.common import one_row
+
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    labelled = labels.where("quality = 0").orderBy("doc_id").first()["doc_id"]
+    copies = docs.where(F.col("doc_id") == labelled).crossJoin(spark.range(20_000)).drop("id")
+    many = docs.unionByName(copies.withColumn("text", F.when(F.rand(1) < 0.5, F.col("text")).otherwise("another text")))
+    picked, counts = toxicity.sample(many, labels, "toxic", F.lit(True), 2000)
+    assert one_row(picked.select("doc_id", F.col("text").cast("binary").alias("text"), "y")).count() == sum(counts.values()) == labels.select("doc_id").distinct().count()
+    a, b = (quality.fit(d, labels, F.lit(True)) for d in (docs.unionByName(copies), docs))
+    assert a.vectors.shape == b.vectors.shape and abs(a.vectors - b.vectors).max() < 1e-5
