@@ -60,3 +60,43 @@ def g15i(spark, sf):
     ones = ice.withColumn("one", F.lit(1.0))
     near = grid.smooth(ones, ["granule"], "scan", "pixel", "one", [(dy, dx, 1.0) for dy in (-1, 0, 1) for dx in (-1, 0, 1)], 0.0, total=True)
     return ice.join(near, ["granule", "scan", "pixel"]).where("smooth > 2").select("sample_id", F.col("smooth").cast("long").alias("near"))
+
+
+def _filled(value: str, passes: int, source: str) -> str:
+    """The passes one after another on a granule's cells as a list; `source` is the list of places that a cell without a value tries."""
+    return f"""WITH RECURSIVE {OBS_SQL}, c AS (SELECT granule, sample_id, scan, pixel, {value} AS v FROM obs),
+    g AS (SELECT granule, list(v ORDER BY scan, pixel) AS v FROM c GROUP BY granule), s AS (SELECT granule, 0 AS k, v FROM g UNION ALL
+    SELECT granule, k + 1, list_transform(range(len(v)), lambda p: coalesce(v[p + 1], {source})) FROM s WHERE k < {passes})
+    SELECT sample_id, s.v[scan * 25 + pixel + 1] AS filled FROM c JOIN s USING (granule) WHERE k = {passes}"""
+
+
+_AT = "CASE WHEN p // 25 + {dy} BETWEEN 0 AND len(v) // 25 - 1 AND p % 25 + {dx} BETWEEN 0 AND 24 THEN v[p + ({dy}) * 25 + ({dx}) + 1] END"
+_DIAGONAL = _AT.format(dy="(k // 4 + 1) * [1, -1, 1, -1][k % 4 + 1]", dx="(k // 4 + 1) * [1, 1, -1, -1][k % 4 + 1]")
+_AROUND = ", ".join(_AT.format(dy=dy, dx=dx) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dy or dx)
+
+
+def _cells(spark, sf, keep: str):
+    return obs(spark, sf).select("sample_id", "granule", "scan", "pixel", F.when(F.expr(keep), F.col("surface_type").cast("double")).alias("filled"))
+
+
+def _fill(df, passes):
+    from orbitframe.operators import raster
+
+    out = raster.fill(df.drop("sample_id"), ["granule"], "scan", "pixel", "filled", passes, 16)
+    return df.select("sample_id", "granule", "scan", "pixel").join(out, ["granule", "scan", "pixel"]).select("sample_id", "filled")
+
+
+@query("g15_fill_diagonals", _filled("CASE WHEN sample_id % 7 = 0 AND surface_type < 12 THEN surface_type::DOUBLE END", 36, _DIAGONAL))
+def g15d(spark, sf):
+    """Snow classes with most cells missing, filled along diagonals up to nine cells off, in tiles of 16 cells with their halo."""
+    from orbitframe.operators import raster
+
+    return _fill(_cells(spark, sf, "sample_id % 7 = 0 and surface_type < 12"), raster.diagonal())
+
+
+@query("g15_fill_around", _filled("CASE WHEN sample_id % 11 = 0 AND surface_type < 9 THEN surface_type::DOUBLE END", 4, f"coalesce({_AROUND})"))
+def g15a(spark, sf):
+    """Emissivity classes filled from their neighbours, four times over."""
+    from orbitframe.operators import raster
+
+    return _fill(_cells(spark, sf, "sample_id % 11 = 0 and surface_type < 9"), raster.around())
