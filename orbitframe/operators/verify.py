@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orbitframe.functions.bins import log_bin, uniform_bin
 from orbitframe.functions.clean import valid
-
+from orbitframe.sources import store
 
 
 def _sp() -> Column:
@@ -65,25 +65,28 @@ def monthly_statistics(df: DataFrame) -> DataFrame:
     return df.where(valid(no_sea_ice=False, no_snow=True, no_orographic=True, frozen=(3, 4, 7))).groupBy(month).agg(F.avg(_ref() - _sp()).alias("bias"), correlation().alias("correlation"), F.count("*").alias("n"))
 
 
-def circular_mean(cycle: DataFrame, key: str, value: str, period: int, half: int, first: int = 0) -> DataFrame:
-    """Moving average over 2 * half + 1 neighbouring phases of a cycle; phases without a value are left out."""
-    near = cycle.select(F.explode(F.array(*(F.lit(k) for k in range(-half, half + 1)))).alias("k"), key, value)
-    near = near.select((F.pmod(F.col(key) + F.col("k") - first, F.lit(period)) + first).cast("int").alias(key), value)
-    return near.groupBy(key).agg(F.avg(value).alias(f"{value}_smooth"))
+def smoothed_cycle(cycle: DataFrame, key: str, values: list[str], period: int, half: int, first: int = 0) -> DataFrame:
+    """The phases of a cycle with their values and circular averages of each: every phase goes once to all whose average it is part of."""
+    shifted = cycle.select(F.explode(F.array(*(F.lit(k) for k in range(-half, half + 1)))).alias("k"), key, *values)
+    phase = (F.pmod(F.col(key) + F.col("k") - first, F.lit(period)) + first).cast("int")
+    own = F.col("k") == 0
+    met = shifted.groupBy(phase.alias(key)).agg(
+        F.count_if(own).alias("__own"), *(F.max(F.when(own, F.col(v))).alias(v) for v in values), *(F.avg(v).alias(f"{v}_smooth") for v in values)
+    )
+    return met.where("__own > 0").drop("__own")
 
 
 def seasonal_cycle(df: DataFrame) -> DataFrame:
     """Mean rates by month, and their three-month circular averages."""
     mean = df.where(valid(no_sea_ice=False, frozen=(3, 4, 7))).groupBy(F.month("scan_time").alias("month")).agg(F.avg(_sp()).alias("sp"), F.avg(_ref()).alias("ref"))
-    return mean.join(circular_mean(mean, "month", "sp", 12, 1, 1), "month").join(circular_mean(mean, "month", "ref", 12, 1, 1), "month")
-
+    return smoothed_cycle(mean, "month", ["sp", "ref"], 12, 1, 1)
 
 
 def diurnal_cycle(df: DataFrame) -> DataFrame:
     """Mean rates by local hour and their seven-hour circular averages."""
     hour = F.hour(F.expr("timestampadd(SECOND, cast(longitude * 240 as int), scan_time)")).alias("hour")
     mean = df.where(valid(no_sea_ice=False, frozen=(3, 4, 7))).groupBy(hour).agg(F.avg(_sp()).alias("sp"), F.avg(_ref()).alias("ref"))
-    return mean.join(circular_mean(mean, "hour", "sp", 24, 3), "hour").join(circular_mean(mean, "hour", "ref", 24, 3), "hour")
+    return smoothed_cycle(mean, "hour", ["sp", "ref"], 24, 3)
 
 
 def gridded(df: DataFrame, step: float = 20.0, least: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
@@ -95,8 +98,12 @@ def gridded(df: DataFrame, step: float = 20.0, least: int = 5, by: tuple[str, ..
 
 
 def pr_curve(df: DataFrame, score: Column, cut: float = 1e-4) -> DataFrame:
-    """Precision and recall at every threshold. Scores are counted and dealt by range; sums run inside a range, those before it are added."""
+    """Precision and recall at every threshold. Scores are counted, into a staged table that is scanned for the ranges' edges and for the sums; sums run
+    inside a range, those before it are added."""
     counts = df.where(valid(frozen=(3, 4, 7))).groupBy(score.alias("threshold")).agg(F.count_if(_ref() > cut).alias("hits"), F.count("*").alias("n"))
+    path = store.workspace(df.sparkSession, "counts")
+    counts.write.parquet(path)
+    counts = df.sparkSession.read.schema(counts.schema).parquet(path)
     ranges = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     edges = counts.select(F.col("threshold").cast("double").alias("x")).approxQuantile("x", [k / ranges for k in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
     above = F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)).cast("array<double>"), lambda e: e > F.col("threshold")))
