@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from orbitframe.operators import reproject, tiles
 from orbitframe.plans.matching import MHS, ecef_sql
-from orbitframe.plans.registry import query
+from orbitframe.plans.registry import _SQL, query
 from orbitframe.plans.verification import rounded
+from orbitframe.sources import rasters, store
 from orbitframe.sources.fixtures import OBS_SQL, SWATH_SQL, obs, swath
 
 HEIGHT, WIDTH, POSITION, CENTRE, DOWN = 8, 9, 0.5, 12, 0.4
@@ -89,3 +90,40 @@ def m08t(spark, sf):
 def m08f(spark, sf):
     """Three rows of answers for each scan."""
     return rounded(tiles.score(obs(spark, sf), ["granule"], "scan", "pixel", ["tcwv"], [{"w": np.ones((1, 1, 1, 1)), "rows": 3}], ["tcwv"], (16, 10), (4, 3)))
+
+
+def _cell_sql(step: int) -> str:
+    return f"SELECT floor((90 - latitude) / {step}) AS r, floor((longitude + 180) / {step}) AS c, max(sample_id) AS v FROM obs GROUP BY ALL"
+
+
+def _cells(spark, sf, step: int):
+    row, col = F.floor((90 - F.col("latitude")) / step).cast("int"), F.floor((F.col("longitude") + 180) / step).cast("int")
+    return obs(spark, sf).groupBy(row.alias("row"), col.alias("col")).agg(F.max("sample_id").alias("v"))
+
+
+SHAPES = {"land": (90, 180), "snow": (45, 90), "emissivity": (18, 36), "mountain": (45, 90)}
+_CLASSES = _SQL["f19_surface_classes"].partition("\n s AS")[2]
+
+
+@query("s17_surface_map", f"""WITH {OBS_SQL}, a AS ({_cell_sql(2)}), b AS ({_cell_sql(4)}), d AS ({_cell_sql(10)}),
+    q AS (SELECT y * 180 + x AS sample_id, 90 - (y + 1) * 2.0::DOUBLE AS latitude, -180 + x * 2.0::DOUBLE AS longitude, coalesce(a.v % 103 - 2, 0)::INT AS land, coalesce(b.v % 4, 0)::INT AS snow,
+    list_transform(range(12), lambda k: coalesce((d.v * (k + 3) + k) % 11, 0)::INT) AS e, 4 AS m, coalesce(b.v % 5 // 3, 0)::INT AS mtn
+    FROM (SELECT unnest(range(90)) AS y), (SELECT unnest(range(180)) AS x) LEFT JOIN a ON a.r = y AND a.c = x LEFT JOIN b ON b.r = y // 2 AND b.c = x // 2 LEFT JOIN d ON d.r = y // 5 AND d.c = x // 5),
+ s AS{_CLASSES}""")
+def s17(spark, sf):
+    """Land, snow, mountain and twelve emissivity rasters of three resolutions, written as files, read and joined to a map of surface classes."""
+    root = store.workspace(spark, "rasters")
+    fine, half, coarse = (_cells(spark, sf, s) for s in (2, 4, 10))
+    months = coarse.select(F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k"), "row", "col", "v")
+    files = {
+        "land": (fine.select(F.lit("land_2").alias("file"), "row", "col", (F.col("v") % 103 - 2).alias("value")), "i1"), "snow": (half.select(F.lit("snow").alias("file"), "row", "col", (F.col("v") % 4).alias("value")), "i1"),
+        "mountain": (half.select(F.lit("mountain").alias("file"), "row", "col", F.floor(F.col("v") % 5 / 3).alias("value")), "i1"),
+        "emissivity": (months.select(F.format_string("emiss_class_%02d.dat", F.col("k") + 1).alias("file"), "row", "col", ((F.col("v") * (F.col("k") + 3) + F.col("k")) % 11).alias("value")), "i2"),
+    }
+    back = {}
+    for name, (cells, kind) in files.items():
+        rasters.write(cells, f"{root}/{name}", *SHAPES[name], kind)
+        back[name] = rasters.read(spark, f"{root}/{name}", *SHAPES[name], kind, maxPartitionBytes="5000")
+    emissivity = back["emissivity"].withColumn("month", F.regexp_extract("file", r"_(\d\d)\.dat", 1).cast("int") - 1)
+    found = rasters.surface_map(back["land"], back["snow"], emissivity, back["mountain"], SHAPES, 4)
+    return found.select((F.col("row") * 180 + F.col("col")).cast("long").alias("sample_id"), "surface_type")

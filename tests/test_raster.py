@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orbitframe.operators import raster
+from orbitframe.sources import rasters
 
 
 @pytest.mark.parametrize("passes, tile", [(raster.diagonal(3), 8), (raster.around(2), 5), (raster.diagonal(), 64)])
@@ -25,3 +27,16 @@ def test_fill_by_hand():
     assert one[3, 3] == 1 and one[1, 3] == 2 and np.isnan(one[2, 0]) and np.isnan(one[2, 2])  # (1, 3) was filled in the same pass
     full = raster.fill_array(field, raster.around(1))
     assert full[3, 3] == full[3, 4] == full[4, 3] == 1 and full[0, 3] == full[1, 3] == full[1, 4] == 2 and np.isnan(full[2, 2])
+
+
+def test_raster_files_round_trip(spark, tmp_path, monkeypatch):
+    """Cells to files of bands and back, in ranges of bytes; absent cells are the missing value."""
+    monkeypatch.setattr(rasters, "PIECE", 100)
+    cells = spark.range(2 * 40 * 30).where("id % 7 <> 0").select(F.format_string("m%d", F.col("id") % 2).alias("file"), (F.col("id") / 60).cast("int").alias("row"), ((F.col("id") / 2).cast("int") % 30).alias("col"), (F.col("id") % 100 - 50).cast("double").alias("value"))
+    rasters.write(cells, str(tmp_path / "r"), 40, 30, "i2", -99)
+    assert sorted(p.name for p in (tmp_path / "r").iterdir()) == ["m0", "m1"] and (tmp_path / "r/m0").stat().st_size == 2 * 40 * 30
+    for most in ("7", "333", "100000"):
+        back = rasters.read(spark, str(tmp_path / "r"), 40, 30, "i2", maxPartitionBytes=most)
+        assert back.count() == 2400 and sorted(back.where("value <> -99").collect()) == sorted(cells.collect())
+    with pytest.raises(Exception, match="has 2400 bytes"):
+        rasters.read(spark, str(tmp_path / "r"), 40, 30, "i1").count()
