@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 def _load() -> None:
     import importlib
 
-    for part in ("verification", "statistics", "scalars", "collocation", "sequences", "grids", "catalogues", "profiles", "sampling", "formats", "matching", "retrieval", "files", "scenes"):
+    for part in ("verification", "statistics", "scalars", "collocation", "sequences", "grids", "catalogues", "profiles", "sampling", "formats", "matching", "retrieval", "files", "scenes", "presets"):
         importlib.import_module(f"orbitframe.plans.{part}")
 
 
