@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orbitframe.functions.physics import t2m_index
 from orbitframe.operators import extraction, intervals
 from orbitframe.plans.formats import F4, PIXELS, _pixels, f4
 from orbitframe.plans.registry import query
-from orbitframe.sources import bins, records, store, swathfiles
+from orbitframe.sources import bins, clusters, records, store, swathfiles
 from orbitframe.sources.fixtures import OBS_SQL, TB_SQL, obs, tb
 
 
@@ -158,3 +159,30 @@ def d04(spark, sf):
     found = extraction.results(spark, out).groupBy("granule").agg(F.count("*").alias("n"), F.sum("surface_type").cast("double").alias("surfaces"))
     number = F.regexp_extract("path", r"0*(\d+)\.pp$", 1).cast("int")
     return said.select(number.alias("granule"), F.col("error").isNotNull().alias("failed")).join(found, "granule", "left")
+
+
+CLUSTER_SQL = """rc AS (SELECT (vec_id % 12)::INT AS t, (vec_id % 5)::INT AS s, (vec_id // 12 % 40)::INT + 1 AS code, avg(profile[1]) AS first, avg(profile[28]) AS last FROM tb GROUP BY ALL
+    UNION ALL SELECT (vec_id % 12)::INT, 1, (vec_id // 12 % 40)::INT + 41, avg(abs(profile[1])), avg(abs(profile[28])) FROM tb GROUP BY ALL),
+c AS (SELECT t, s, code, first::FLOAT::DOUBLE AS first, last::FLOAT::DOUBLE AS last FROM rc)"""
+
+
+@query("s20_profiles_of_clusters", f"""WITH {OBS_SQL}, {TB_SQL}, {CLUSTER_SQL}, x AS (SELECT granule::INT AS granule, scan::INT AS scan, pixel::INT AS pixel, (greatest(least(round_even((t2m - 268) / 3, 0), 12), 1) - 1)::INT AS t,
+    list_transform(range(5), lambda s: (sample_id * (s + 1) % 90 - 4)::INT) AS codes, list_transform(range(5), lambda s: 1 + s * 0.5::DOUBLE + sample_id % 4) AS scales FROM obs)
+    SELECT granule, scan, pixel, round(r.first * scales[1], 4) AS rain_1, round(r.last * scales[1], 4) AS rain_28, round(l.first * scales[2], 4) AS cloud_1, round(w.last * scales[3], 4) AS snow_28, round(h.first * scales[5], 4) AS heat_1
+    FROM x LEFT JOIN c r ON r.s = 0 AND r.t = x.t AND r.code = codes[1] LEFT JOIN c l ON l.s = 1 AND l.t = x.t AND l.code = codes[2] LEFT JOIN c w ON w.s = 2 AND w.t = x.t AND w.code = codes[3] LEFT JOIN c h ON h.s = 4 AND h.t = x.t AND h.code = codes[5]""")
+def s20p(spark, sf):
+    """Cluster files and result files that name clusters, read and put together to profiles."""
+    rows = tb(spark, sf).withColumns({"t_idx": (F.col("vec_id") % 12).cast("int"), "species": (F.col("vec_id") % 5).cast("int"), "cluster": F.expr("cast(vec_id div 12 % 40 as int)")})
+    mean = lambda of: F.array(*(F.avg(of(F.get("profile", F.lit(k)))) for k in range(28)))
+    rain = rows.groupBy("t_idx", "species", "cluster").agg(mean(lambda v: v).alias("profile")).withColumn("raining", F.lit(True))
+    rest = rows.groupBy("t_idx", "cluster").agg(mean(F.abs).alias("profile")).withColumns({"raining": F.lit(False), "species": F.lit(0)})
+    tables, results = store.workspace(spark, "clusters"), store.workspace(spark, "results")
+    clusters.write(rain.unionByName(rest), tables)
+    codes = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda s: (F.col("sample_id") * (s + 1) % 90 - 4).cast("smallint"))
+    scales = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda s: (1 + s * 0.5 + F.col("sample_id") % 4).cast("float"))
+    pixels = obs(spark, sf).select(*(F.col(k).cast("int").alias(k) for k in ("granule", "scan", "pixel")), (t2m_index(F.col("t2m")) + 1).cast("smallint").alias("profile_t2m_index"), codes.alias("profile_index"), scales.alias("profile_scale"), F.array(*(F.lit(v).cast("smallint") for v in (2019, 1, 1, 0, 0, 0, 0))).alias("scan_date"))
+    swathfiles.write_granules(pixels, "retrieval", results, clusters="1")
+    back = swathfiles.read(spark, "retrieval", results, ["granule", "scan", "pixel", "profile_t2m_index", "profile_index", "profile_scale"], clusters="1")
+    out = clusters.decode(back, clusters.read(spark, tables))
+    layer = {"rain_1": ("rain_water_content", 0), "rain_28": ("rain_water_content", 27), "cloud_1": ("cloud_water_content", 0), "snow_28": ("snow_water_content", 27), "heat_1": ("latent_heat", 0)}
+    return out.select("granule", "scan", "pixel", *(F.round(F.get(c, F.lit(k)), 4).alias(name) for name, (c, k) in layer.items()))

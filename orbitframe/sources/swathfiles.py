@@ -1,6 +1,6 @@
 """Data sources of the binary swath formats: spark.read.format("preprocessor").load(path), df.write.format("retrieval").save(path), and so on.
 
-Granule files (`preprocessor`, `retrieval`) have an orbit header and then scans of one size; record files (`apriori`, `simulator`, `matchup`) a
+Granule files (`preprocessor`, `retrieval`) have an orbit header and then scans of one size; record files (`apriori`, `simulator`, `matchup`, `clusters`) a
 header and then records of one size. A plan needs a listing alone: files are dealt in ranges of bytes, and a task reads the scans or records
 that begin in its range. Bounds on granule and scan, or on what a file's name says, are pushed down: a task seeks to the scans asked for, and
 files whose name or header rules them out are not read. Only the columns of the schema are decoded. Gzipped files are read as a stream by one task.
@@ -76,6 +76,8 @@ def form_of(kind: str, options: dict[str, str]) -> Form:
         return Form(layouts.bin_header(n, angles, conical), layouts.bin_record(int(options.get("surface", 1)), n, angles, conical), suffix=".bin", keys=("t2m", "tcwv", "airmass", "surface"), name=name)
     if kind == "simulator":
         return Form(layouts.sim_header(n, angles, conical), layouts.sim_record(n, angles, conical), suffix=".sim")
+    if kind == "clusters":
+        return Form(np.dtype([]), layouts.layout(f"profile f4 {layouts.LAYERS}"), suffix=".dat")
     return Form(np.dtype([]), layouts.mrms_record(variant or "conical", n), suffix=".bin")
 
 
@@ -456,7 +458,7 @@ class SwathSource(DataSource):
         return Writer(self.KIND, dict(self.options), overwrite)
 
 
-SOURCES = {kind: type(f"{kind.title()}Source", (SwathSource,), {"KIND": kind, "__module__": __name__}) for kind in ("preprocessor", "retrieval", "apriori", "simulator", "matchup")}
+SOURCES = {kind: type(f"{kind.title()}Source", (SwathSource,), {"KIND": kind, "__module__": __name__}) for kind in ("preprocessor", "retrieval", "apriori", "simulator", "matchup", "clusters")}
 globals().update({c.__name__: c for c in SOURCES.values()})
 
 
