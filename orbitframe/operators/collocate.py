@@ -38,6 +38,16 @@ def gaussian_resample(left: DataFrame, right: DataFrame, by: list[str], key: str
     return pairs.groupBy(key).agg((F.sum(w * F.col(value)) / F.sum(w)).alias(value), F.count("*").alias("n"))
 
 
+def resample_profiles(left: DataFrame, right: DataFrame, by: list[str], keys: list[str], profile: str, layers: int, left_at, right_at, km: float, sigma: float) -> DataFrame:
+    """(keys, profile, n): each layer's mean of the profiles within km, weighted by exp(-(distance / sigma)^2); null layers take no part, and a layer
+    that none of n profiles has is null. Layers are added up by tasks before one shuffle on the keys."""
+    pairs = neighbours(left, right, by, left_at, right_at, km)
+    w = F.exp(-F.pow(F.col("distance") / sigma, 2))
+    layer = [F.get(profile, F.lit(i)) for i in range(layers)]
+    mean = F.array(*(F.try_divide(F.sum(w * v), F.sum(F.when(v.isNotNull(), w))) for v in layer))
+    return pairs.groupBy(*keys).agg(mean.alias(profile), F.count("*").alias("n"))
+
+
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: Column, right_time: Column, value: Column, days: int) -> DataFrame:
     """(key, value): the latest right row at or before each left day and at most `days` before it, by a join on each possible day."""
     offers = right.select(value.alias("__v"), right_time.alias("__t"), F.explode(F.sequence(F.lit(0), F.lit(days))).alias("__k")).select("__v", "__t", F.date_add("__t", F.col("__k")).alias("__day"))

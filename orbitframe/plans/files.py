@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from orbitframe.functions.physics import t2m_index
 from orbitframe.operators import extraction, intervals
 from orbitframe.plans.formats import F4, PIXELS, _pixels, f4
 from orbitframe.plans.registry import query
-from orbitframe.sources import bins, clusters, records, store, swathfiles
+from orbitframe.sources import bins, clusters, collocations, records, store, swathfiles, texttables
 from orbitframe.sources.fixtures import OBS_SQL, TB_SQL, obs, tb
 
 
@@ -186,3 +188,42 @@ def s20p(spark, sf):
     out = clusters.decode(back, clusters.read(spark, tables))
     layer = {"rain_1": ("rain_water_content", 0), "rain_28": ("rain_water_content", 27), "cloud_1": ("cloud_water_content", 0), "snow_28": ("snow_water_content", 27), "heat_1": ("latent_heat", 0)}
     return out.select("granule", "scan", "pixel", *(F.round(F.get(c, F.lit(k)), 4).alias(name) for name, (c, k) in layer.items()))
+
+
+PLACES_SQL = "w AS (SELECT *, CASE WHEN sample_id % 13 > 0 THEN surface_precip + 0.5 END AS second, CASE WHEN sample_id % 5 = 0 THEN -9999.9 ELSE tcwv / 10 END AS third FROM obs)"
+
+
+def _places(spark, sf):
+    second, third = F.when(F.col("sample_id") % 13 > 0, F.col("surface_precip") + 0.5), F.when(F.col("sample_id") % 5 == 0, -9999.9).otherwise(F.col("tcwv") / 10)
+    rates = {"surface_precip_one": F.col("surface_precip"), "surface_precip_two": second, "surface_precip_three": third, "pop_two": F.col("rqi") * 100}
+    return obs(spark, sf).withColumns(rates).select("granule", "sample_id", "scan_time", "surface_type", "mask", "rqi", "surface_precip_ref", *rates)
+
+
+@query("s24_stored_collocations", f"""WITH {OBS_SQL}, {PLACES_SQL}, k AS (SELECT * FROM w WHERE surface_precip_ref >= 0 AND rqi >= 0.2 AND surface_precip >= 0 AND second >= 0 AND third >= 0)
+    SELECT grp, sample_id, round(v, 6) AS surface_precip, round(pop, 6) AS pop, surface_precip_ref FROM (SELECT 'one' AS grp, sample_id, surface_precip AS v, NULL::DOUBLE AS pop, surface_precip_ref FROM k
+    UNION ALL SELECT 'two', sample_id, second, rqi * 100, surface_precip_ref FROM k UNION ALL SELECT 'three', sample_id, third, NULL, surface_precip_ref FROM k)""")
+def s24s(spark, sf):
+    """Collocations written by month and read as samples of three groups, at places where all of them have a rate."""
+    path = store.workspace(spark, "collocations")
+    collocations.write(_places(spark, sf), path)
+    out = collocations.samples(collocations.read(spark, path), ["one", "two", "three"], rqi=0.2)
+    return out.select("grp", "sample_id", F.round("surface_precip", 6).alias("surface_precip"), F.round("pop", 6).alias("pop"), "surface_precip_ref")
+
+
+@query("s24_samples_of_days", f"""WITH {OBS_SQL}, {PLACES_SQL}, k AS (SELECT * FROM w WHERE surface_precip_ref >= 0 AND scan_time >= DATE '2024-01-10' AND scan_time < DATE '2024-01-25')
+    SELECT grp, sample_id, round(v, 6) AS surface_precip FROM (SELECT 'one' AS grp, sample_id, surface_precip AS v FROM k UNION ALL SELECT 'two', sample_id, second FROM k) WHERE v >= 0""")
+def s24d(spark, sf):
+    """The samples of a range of days, each group where it has a rate itself; other months are not read."""
+    path = store.workspace(spark, "collocations")
+    collocations.write(_places(spark, sf), path)
+    out = collocations.samples(collocations.read(spark, path, date(2024, 1, 10), date(2024, 1, 25)), ["one", "two"], common=False)
+    return out.select("grp", "sample_id", F.round("surface_precip", 6).alias("surface_precip"))
+
+
+@query("k11_sensitivity_file", f"WITH {TB_SQL}, l AS (SELECT surface_type, unnest(tb) AS v, unnest(range(15))::INT AS channel FROM tb) SELECT surface_type::INT AS surface_type, channel, round(avg(v) + 1e-7, 2) AS sensitivity FROM l GROUP BY ALL")
+def k11s(spark, sf):
+    """A table of channels by surface as text, written and read."""
+    path = store.workspace(spark, "sensitivities")
+    mean = tb(spark, sf).groupBy("surface_type").agg(F.array(*(F.avg(F.get("tb", F.lit(k))) + 1e-7 for k in range(15))).alias("tb"))
+    texttables.write(mean, path, "surface_type", "tb", 15, "surface\nchannels")
+    return texttables.read(spark, path, "surface_type", "sensitivity").select("surface_type", F.posexplode("sensitivity").alias("channel", "sensitivity"))

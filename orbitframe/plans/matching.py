@@ -31,7 +31,7 @@ def j03(spark, sf):
     return rounded(hit.groupBy("left_id").agg(F.max_by("v", "sample_id").alias("surface_precip")), 1e-9)
 
 
-@query("j04_fine_match", f"WITH {SWATH_SQL}, l AS (SELECT *, lead(lat) OVER (PARTITION BY granule, pixel ORDER BY scan) AS after FROM swath), h AS (SELECT granule, scan * 3 + k.range AS scan3, pixel, lat + (coalesce(after, lat) - lat) * k.range / 3 AS lat, lon FROM l, range(3) k WHERE k.range = 0 OR after IS NOT NULL), p AS (SELECT s.granule, s.scan3, s.pixel, o.sample_id, {HAV.format(a='s.lat', b='o.lat2', c='s.lon', d='o.lon2')} AS distance FROM h s JOIN other o ON o.granule = s.granule AND abs(s.lat - o.lat2) < 0.1 AND abs(s.lon - o.lon2) < 0.3), n AS (SELECT granule, scan3, pixel, arg_min(sample_id, distance) AS sample_id FROM p WHERE distance <= 4 GROUP BY ALL) SELECT h.granule, h.scan3, h.pixel, n.sample_id FROM h LEFT JOIN n USING (granule, scan3, pixel)")
+@query("j04_fine_match", f"WITH {SWATH_SQL}, l AS (SELECT *, lead(lat) OVER (PARTITION BY granule, pixel ORDER BY scan) AS after FROM swath), h AS MATERIALIZED (SELECT granule, scan * 3 + k.range AS scan3, pixel, lat + (coalesce(after, lat) - lat) * k.range / 3 AS lat, lon FROM l, range(3) k WHERE k.range = 0 OR after IS NOT NULL), p AS (SELECT s.granule, s.scan3, s.pixel, o.sample_id, {HAV.format(a='s.lat', b='o.lat2', c='s.lon', d='o.lon2')} AS distance FROM (SELECT *, unnest([-1, 0, 1]) + floor(lat * 10)::INT AS band FROM h) s JOIN (SELECT *, floor(lat2 * 10)::INT AS band FROM other) o ON o.granule = s.granule AND o.band = s.band AND abs(s.lat - o.lat2) < 0.1 AND abs(s.lon - o.lon2) < 0.3), n AS (SELECT granule, scan3, pixel, arg_min(sample_id, distance) AS sample_id FROM p WHERE distance <= 4 GROUP BY ALL) SELECT h.granule, h.scan3, h.pixel, n.sample_id FROM h LEFT JOIN n USING (granule, scan3, pixel)")
 def j04(spark, sf):
     """Nearest record of a fine product within 4 km of the places of the swath that is three times as dense along the track."""
     after = F.lead("lat").over(Window.partitionBy("granule", "pixel").orderBy("scan"))
@@ -131,6 +131,16 @@ def j18r(spark, sf):
     return _area(spark).select("cell", (F.round(x, 3) + 0.0).alias("x"), (F.round(y, 3) + 0.0).alias("y"))
 
 
+@query("j18_profiles_on_area", f"""WITH {SWATH_SQL}, {AREA}, p AS (SELECT w.granule, r.cell, w.surface_precip AS a, w.tcwv AS b, w.surface_precip_ref AS c, {HAV.format(a='r.alat', b='w.lat', c='r.alon', d='w.lon')} AS d FROM swath w
+    JOIN area r ON abs(r.alat - w.lat) < 0.3 AND abs(r.alon - w.lon) < 0.4), e AS (SELECT *, exp(0 - (d / 6.0::DOUBLE) ** 2) AS w FROM p WHERE d <= 10)
+    SELECT granule, cell, count(*) AS n, round(sum(w * a) / sum(w) FILTER (WHERE a IS NOT NULL), 6) AS first, round(sum(w * b) / sum(w), 6) AS second, round(sum(w * c) / sum(w) FILTER (WHERE c IS NOT NULL), 6) AS third FROM e GROUP BY ALL""")
+def j18p(spark, sf):
+    """Profiles of each overpass on the places of a study area, as Gaussian means of what lies within 10 km."""
+    right = swath(spark, sf).select("granule", *AT, F.array("surface_precip", "tcwv", "surface_precip_ref").alias("profile"))
+    out = co.resample_profiles(right, _area(spark).select("cell", "alat", "alon"), [], ["granule", "cell"], "profile", 3, AT, ("alat", "alon"), 10.0, 6.0)
+    return rounded(out.select("granule", "cell", "n", *(F.get("profile", F.lit(i)).alias(c) for i, c in enumerate(("first", "second", "third")))))
+
+
 @query("j17_overpass_on_area", f"WITH {SWATH_SQL}, {AREA}, p AS (SELECT w.granule, r.cell, w.sample_id, {HAV.format(a='r.alat', b='w.lat', c='r.alon', d='w.lon')} AS d FROM swath w JOIN area r ON abs(r.alat - w.lat) < 0.3 AND abs(r.alon - w.lon) < 0.4) SELECT granule, cell, arg_min(sample_id, (round(d, 6), sample_id)) AS sample_id FROM p WHERE d <= 10 GROUP BY ALL")
 def j17(spark, sf):
     """The nearest pixel of each overpass within 10 km of each place of a study area."""
