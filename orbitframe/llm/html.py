@@ -38,8 +38,9 @@ from orbitframe.llm.common import chunks, stage, table
 
 # HTML vocabulary.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = set("script style noscript template textarea title iframe svg math select object canvas".split())
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics object canvas".split())
+RAW = set("script style noscript template textarea title iframe svg select annotation annotation-xml".split())
+SOURCE = set("annotation annotation-xml".split())
 BOILERPLATE = set("nav header footer aside menu form fieldset button label dialog head".split())
 CLOSED_BY = {"p": set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()), "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
@@ -321,7 +322,7 @@ def wrap(page: Element) -> tuple[Node, list[tuple[Node, str]]]:
             linked += len(clean(child)) * link
         elif child.tag in RAW or child.tag in ("br", "img", "wbr") or child.junk and child.tag in INLINE:
             run.append(" " if child.tag == "br" else "")
-            if child.tag in RAW:
+            if child.tag in RAW - SOURCE:
                 flush(node)
         elif child.tag in INLINE:
             stack.append((child, node, 0, link or child.tag == "a"))

@@ -396,6 +396,13 @@ def test_html_hard_markup():
     assert time.time() - began < 60
 
 
+def test_html_formulas_are_text():
+    """A formula belongs to the line that it stands in, without its source; a canvas or object stands for its own text."""
+    page = "<article><p>Area <math><mi>x</mi><mo>=</mo><msup><mn>3</mn><mn>2</mn></msup><annotation encoding='TeX'>x=3^2</annotation></math> holds.</p><p>See <object data=a.pdf><b>the paper</b></object> or <canvas>a plot</canvas>.</p></article>"
+    assert html.extract([page])[0] == ["Area x=32 holds.\nSee the paper or a plot."]
+    assert html.extract(["<p>a <math>x = 3"])[0] == ["a x = 3"]
+
+
 def test_html_attributes():
     """Only whole names count: title, data-id and width are none of class, id, role, hidden."""
     page = '<article><p title="hidden gems">Text</p><p data-id="share">B</p><p width="3">C</p><p id=share-1>no</p><p CLASS=\'x AD\'>no</p><p hidden>no</p><p aria-hidden="true">no</p></article>'
