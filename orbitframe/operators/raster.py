@@ -6,6 +6,9 @@ a bounded group, however large the raster is."""
 
 from __future__ import annotations
 
+import functools
+import operator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,28 +44,34 @@ def fill_array(field: np.ndarray, passes: Passes, there: np.ndarray | None = Non
 
 
 def fill(df: DataFrame, by: list[str], y: str, x: str, value: str, passes: Passes, tile: int = 512) -> DataFrame:
-    """Cells (by, y, x, value) with gaps filled; a gap is a null value of a cell that has a row; cells without a row are beyond the edge."""
+    """Cells (by, y, x, value) with gaps filled; a gap is a null value of a cell that has a row; cells without a row are beyond the edge.
+
+    A tile is at least twice as wide as its halo, so a cell is sent to four tiles at most, and only to tiles that have cells of their own. What a
+    tile fills is no larger than the cells it was sent."""
     halo = [sum(max(abs(o[k]) for o in offsets) for offsets in passes) for k in (0, 1)]
+    high, wide = (max(tile, 2 * h) for h in halo)
 
-    def holding(c: str, reach: int, name: str) -> Column:
+    def holding(c: str, reach: int, size: int, name: str) -> Column:
         at = F.col(c)
-        return F.explode(F.sequence(F.floor((at - reach) / tile), F.floor((at + reach) / tile))).alias(name)
+        return F.explode(F.sequence(F.floor((at - reach) / size), F.floor((at + reach) / size))).alias(name)
 
-    cut = df.select(*by, y, x, F.col(value).cast("double").alias(value)).select("*", holding(y, halo[0], "__i")).select("*", holding(x, halo[1], "__j"))
+    cut = df.select(*by, y, x, F.col(value).cast("double").alias(value)).select("*", holding(y, halo[0], high, "__i")).select("*", holding(x, halo[1], wide, "__j"))
+    own = df.select(*by, F.floor(F.col(y) / high).alias("__i"), F.floor(F.col(x) / wide).alias("__j")).distinct()
+    same = functools.reduce(operator.and_, (cut[k].eqNullSafe(own[k]) for k in (*by, "__i", "__j")))
     kinds = dict(df.dtypes)
 
     def run(pdf):
-        top, left = int(pdf["__i"].iloc[0]) * tile - halo[0], int(pdf["__j"].iloc[0]) * tile - halo[1]
-        field = np.full((tile + 2 * halo[0], tile + 2 * halo[1]), np.nan)
-        r, c = pdf[y].to_numpy(dtype=int) - top, pdf[x].to_numpy(dtype=int) - left
+        r, c = pdf[y].to_numpy(dtype=int), pdf[x].to_numpy(dtype=int)
+        inside = (r // high == int(pdf["__i"].iloc[0])) & (c // wide == int(pdf["__j"].iloc[0]))
+        r, c = r - r.min(), c - c.min()
+        field = np.full((r.max() + 1, c.max() + 1), np.nan)
         field[r, c] = pdf[value].to_numpy(dtype=float, na_value=np.nan)
         there = np.zeros(field.shape, bool)
         there[r, c] = True
         done = fill_array(field, passes, there)[r, c]
-        inside = (r >= halo[0]) & (r < halo[0] + tile) & (c >= halo[1]) & (c < halo[1] + tile)
         out = pdf.loc[inside, [*by, y, x]].copy()
         out[value] = [None if np.isnan(v) else v for v in done[inside]]
         return out
 
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in (*by, y, x)), f"{value} double"])
-    return cut.groupBy(*by, "__i", "__j").applyInPandas(run, schema)
+    return cut.join(own, same, "left_semi").groupBy(*by, "__i", "__j").applyInPandas(run, schema)

@@ -40,3 +40,17 @@ def test_raster_files_round_trip(spark, tmp_path, monkeypatch):
         assert back.count() == 2400 and sorted(back.where("value <> -99").collect()) == sorted(cells.collect())
     with pytest.raises(Exception, match="has 2400 bytes"):
         rasters.read(spark, str(tmp_path / "r"), 40, 30, "i1").count()
+
+
+def test_few_copies_of_a_cell(spark):
+    """A halo of 180 cells around tiles of 16 sends no cell to tiles that have none of their own; two rasters of the same places stay apart."""
+    r = np.random.default_rng(3)
+    fields = [np.where(r.random((40, 25)) < 0.1, r.integers(1, 9, (40, 25)).astype(float), np.nan) for _ in range(2)]
+    rows = [(g, i, j, None if np.isnan(v) else float(v)) for g, f in enumerate(fields) for (i, j), v in np.ndenumerate(f)]
+    out = raster.fill(spark.createDataFrame(rows, "g int, y int, x int, v double"), ["g"], "y", "x", "v", raster.diagonal(), 16)
+    got = {(q["g"], q["y"], q["x"]): q["v"] for q in out.collect()}
+    for g, f in enumerate(fields):
+        for (i, j), v in np.ndenumerate(raster.fill_array(f, raster.diagonal())):
+            assert got[g, i, j] == (None if np.isnan(v) else v)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(got) == 2000 and "LeftSemi" in plan
