@@ -48,3 +48,8 @@ def valid(no_sea_ice=True, no_ocean=False, no_orographic=False, no_snow=False, f
     if box:
         keep = keep & (F.col("longitude") >= box[0]) & (F.col("latitude") >= box[1]) & (F.col("longitude") <= box[2]) & (F.col("latitude") <= box[3])
     return keep
+
+
+def signed_round(c: Column, digits: int) -> Column:
+    """Rounded half away from zero as SQL engines do that keep the sign of a zero: -0.0000001 becomes -0.0."""
+    return F.signum(c) * F.round(F.abs(c), digits)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from orbitframe.functions.clean import signed_round
 from orbitframe.operators import sequence as seq
 from orbitframe.plans.registry import query
 from orbitframe.plans.verification import rounded
@@ -51,7 +52,7 @@ def w06(spark, sf):
 
 @query("w07_pair_average", f"WITH {TB_SQL} SELECT vec_id, list_transform(range(1, 15), lambda i: round((profile[2 * i - 1] + profile[2 * i]) / 2, 6)) AS profile FROM tb")
 def w07(spark, sf):
-    return tb(spark, sf).select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(13)), lambda i: F.round((F.get("profile", 2 * i) + F.get("profile", 2 * i + 1)) / 2, 6)).alias("profile"))
+    return tb(spark, sf).select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(13)), lambda i: signed_round((F.get("profile", 2 * i) + F.get("profile", 2 * i + 1)) / 2, 6)).alias("profile"))
 
 
 @query("w08_upsample", f"WITH {OBS_SQL}, n AS (SELECT granule, pixel, scan, tcwv, lead(tcwv) OVER (PARTITION BY granule, pixel ORDER BY scan) AS n FROM obs) SELECT granule, pixel, scan * 3 + k AS fine, round(CASE WHEN k = 0 THEN tcwv ELSE tcwv + (n - tcwv) * k / 3 END, 6) AS tcwv FROM n, range(3) r(k) WHERE k = 0 OR n IS NOT NULL")

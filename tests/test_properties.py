@@ -62,3 +62,21 @@ def test_pr_curve_orders_thresholds_inside_ranges(spark):
     """No window takes all thresholds into one task."""
     plan = registry.queries()["a39_pr_curve"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(p#" in plan and "windowspecdefinition(threshold#" not in plan
+
+
+def test_rounding_keeps_the_sign_of_zero(spark):
+    import duckdb
+
+    from orbitframe.functions.clean import signed_round
+
+    values = [-3.0e-7, -0.0, 0.0, 3.0e-7, -5.0e-7, 0.0078125, -0.0078125, -1.25, None, float("inf")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r["v"] for r in df.select("i", signed_round(F.col("v"), 6).alias("v")).orderBy("i").collect()]
+    assert list(map(repr, got)) == [repr(None if v is None else duckdb.execute("select round(?::DOUBLE, 6)", [v]).fetchone()[0]) for v in values]
+
+
+def test_pair_average_near_zero(spark, tmp_path):
+    from orbitframe.plans import registry
+
+    spark.createDataFrame([(1, [-3e-7, -1e-7, 1e-7, 1e-7] + [0.5] * 60, 0)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert list(map(repr, registry.queries()["w07_pair_average"](spark, str(tmp_path)).first()["profile"][:3])) == ["-0.0", "0.0", "0.5"]
