@@ -262,3 +262,23 @@ def test_links_of_crowded_buckets(spark, small):
         groups[root(x)].add(x)
         asked[want[x]].add(x)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, asked.values()))
+
+
+def test_toxicity_learns_from_every_label(spark):
+    """A word that stands in toxic texts alone, of which no class of 2000 rows has most, is known; so are texts of more than 4000 words. Many shards
+    learn what one does."""
+    from pyspark.sql import functions as F
+
+    from orbitframe.llm import toxicity
+
+    n = 3000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") % 10 == 0, "vile").otherwise("kind"), F.repeat(F.lit(" the plain words"), 5), F.when(F.col("id") % 100 == 0, F.repeat(F.lit(" more of them"), 1500)).otherwise("")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("toxic"))
+    rows, counts = toxicity.labelled(docs, labels, "toxic", F.lit(True))
+    assert rows.count() == n and counts == {0: n - n // 10, 1: n // 10}
+    p = toxicity.Params(shard_rows=700)
+    df, texts = toxicity.counted(toxicity.encode(rows, p).coalesce(4), p)
+    assert list(texts) == [n - n // 10, n // 10] and df.max() == n - n // 10
+    for own in (p, toxicity.Params()):
+        model = toxicity.fit(docs, labels, F.lit(True), own)
+        assert toxicity.score(docs, model).join(labels, "doc_id").where((F.col("score") >= 0.3) != (F.col("toxic") == 1)).count() == 0
