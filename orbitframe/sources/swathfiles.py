@@ -2,14 +2,14 @@
 
 Granule files (`preprocessor`, `retrieval`) have an orbit header and then scans of one size; record files (`apriori`, `simulator`, `matchup`, `clusters`) a
 header and then records of one size. A plan needs a listing alone: files are dealt in ranges of bytes, and a task reads the scans or records
-that begin in its range. Bounds on granule and scan, or on what a file's name says, are pushed down: a task seeks to the scans asked for, and
+that begin in its range. Of more than `maxTasks` ranges (512), a task reads several, so that many small files do not make as many tasks. Bounds on granule and scan, or on what a file's name says, are pushed down: a task seeks to the scans asked for, and
 files whose name or header rules them out are not read. Only the columns of the schema are decoded. Gzipped files are read as a stream by one task.
 
 Writing: a task writes each granule (or named file) it holds under a temporary name; the driver gives all of them their names when every task has
 succeeded, and removes them otherwise. A granule must lie in one task (`write_granules` and `write_records` see to it), and two tasks with the same
 granule are an error. Null numbers become -9999.9, or -99 for integers; places of a scan without a row hold these values too.
 
-Options: path; scans ("3", "-2", "10:20", "-2:"); maxPartitionBytes; channels, conical, angles, surface, variant of the layout; clusters, the clusters in
+Options: path; scans ("3", "-2", "10:20", "-2:"); maxPartitionBytes; maxTasks; channels, conical, angles, surface, variant of the layout; clusters, the clusters in
 the profile table of a retrieval file; errors "rows" (below); skip, a file that lists names not to read; compression "gzip", most_scans, algorithm and
 header.<field> for writing.
 
@@ -48,6 +48,7 @@ from orbitframe.sources import granules, layouts, store
 from orbitframe.sources.records import schema_of
 
 PIECE = 4 << 20
+TASKS = 512
 
 
 @dataclass
@@ -153,7 +154,9 @@ class Bounds:
 
 
 @dataclass
-class Part(InputPartition):
+class Part:
+    """A range of a file's bytes."""
+
     path: str
     start: int
     end: int
@@ -161,6 +164,31 @@ class Part(InputPartition):
     keys: dict = field(default_factory=dict)
 
 
+@dataclass
+class Parts(InputPartition):
+    """Ranges that one task reads, one after the other."""
+
+    parts: list[Part]
+
+
+def dealt(parts: list[Part], most: int) -> list[Parts]:
+    """Each range a task of its own or, if there are more than `most`, runs of them with about the same bytes; ranges of a file that follow each
+    other are joined, so that a task opens a file once."""
+    if len(parts) <= most:
+        return [Parts([p]) for p in parts]
+    share, out, held = sum(p.end - p.start for p in parts) / most, [], 0
+    for p in parts:
+        if not out or held >= share * len(out):
+            out.append(Parts([]))
+        own = out[-1].parts
+        if own and own[-1].path == p.path and own[-1].end == p.start:
+            own[-1] = Part(p.path, own[-1].start, p.end, p.size, p.keys)
+        else:
+            own.append(p)
+        held += p.end - p.start
+    return out
+
+
 def span(text: str | None, n: int) -> range:
     """The scans that an option such as -1, 3 or 10:20 names, of n."""
     if not text:
@@ -186,7 +214,7 @@ class Reader(DataSourceReader):
             if name not in self.bounds or not self.bounds[name].take(f):
                 yield f
 
-    def partitions(self) -> Sequence[Part]:
+    def partitions(self) -> Sequence[Parts]:
         most, out = int(self.options.get("maxpartitionbytes", 64 << 20)), []
         skip = set()
         if "skip" in self.options:
@@ -204,11 +232,13 @@ class Reader(DataSourceReader):
                     continue
             step = found.size if found.path.endswith(".gz") else most
             out += [Part(found.path, a, min(a + step, found.size), found.size, keys) for a in range(0, max(found.size, 1), max(step, 1))]
-        return out
+        return dealt(out, int(self.options.get("maxtasks", TASKS)))
 
-    def read(self, part: Part | None) -> Iterator[pa.RecordBatch]:
-        if part is None:  # what Spark asks for when there is no part
-            return
+    def read(self, task: Parts | None) -> Iterator[pa.RecordBatch]:
+        for part in task.parts if task is not None else []:  # None is what Spark asks for when there is no part
+            yield from self._one(part)
+
+    def _one(self, part: Part) -> Iterator[pa.RecordBatch]:
         if not self.strict:
             yield from self._read(part)
             return

@@ -162,3 +162,15 @@ def test_failures_leave_nothing(spark, pixels, tmp_path):
         sw.write_granules(pixels, "preprocessor", path)
     sw.write_granules(pixels.where("granule = 1"), "preprocessor", path, "overwrite")
     assert len(store.listed(path)) == 1 and not list((tmp_path / "z").glob("_temporary*"))
+
+
+def test_many_ranges_are_few_tasks(spark, pixels, folder):
+    """Each scan is read once, however many ranges a task reads; a file's ranges that follow each other are one."""
+    options = {"maxPartitionBytes": "100", "maxTasks": "4"}
+    back = sw.read(spark, "preprocessor", folder, ["granule", "scan", "pixel", "latitude"], **options)
+    assert back.rdd.getNumPartitions() <= 4 and as_rows(back) == as_rows(pixels.select("granule", "scan", "pixel", "latitude"))
+    parts = [sw.Part(f"f{i}", a, a + 10, 30) for i in range(5) for a in (0, 10, 20)]
+    assert len(sw.dealt(parts, 15)) == 15
+    for most in (1, 2, 4, 7):
+        tasks = sw.dealt(parts, most)
+        assert len(tasks) <= most and sum(p.end - p.start for t in tasks for p in t.parts) == 150 and all(len({p.path for p in t.parts}) == len(t.parts) for t in tasks)
