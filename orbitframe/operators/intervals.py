@@ -5,7 +5,9 @@ in two buckets of two hours at most. Intervals of any length are right; long one
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import heapq
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,11 +27,44 @@ def containing(points: DataFrame, catalogue: DataFrame, by: list[str], at: str,
     return met.where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("__b")
 
 
+def stretches(catalogue: DataFrame, by: list[str], start: str, end: str, file: str, step: int) -> DataFrame:
+    """(by, __b, __at, n, file): in each bucket, from which microsecond on how many closed intervals hold the time and the first of them by name. A
+    bucket's intervals are swept in their order in time, so there are at most two stretches an interval, however many overlap."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    spans = catalogue.where(F.col(start) <= F.col(end)).select(*by, micros(start).alias("__s"), (micros(end) + 1).alias("__e"), file, F.explode(F.sequence(bucket(F.col(start), step), bucket(F.col(end), step))).alias("__b"))
+    kinds = dict(spans.dtypes)
+
+    def sweep(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("__s", kind="stable")
+        begin, stop, names = pdf["__s"].tolist(), pdf["__e"].tolist(), pdf[file].tolist()
+        ends, k, gone, open_, rows = sorted(stop), 0, 0, [], []
+        for at in sorted({*begin, *stop}):
+            while k < len(begin) and begin[k] <= at:
+                heapq.heappush(open_, (names[k], stop[k]))
+                k += 1
+            while gone < len(ends) and ends[gone] <= at:
+                gone += 1
+            while open_ and open_[0][1] <= at:
+                heapq.heappop(open_)
+            rows.append((at, k - gone, open_[0][0] if open_ else None))
+        out = pd.DataFrame(rows, columns=["__at", "n", file])
+        return out.assign(**{c: pdf[c].iloc[0] for c in (*by, "__b")})[[*by, "__b", "__at", "n", file]]
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "__b bigint, __at bigint, n bigint", f"`{file}` string"])
+    return spans.dropna(subset=[*by, file]).groupBy(*by, "__b").applyInPandas(sweep, schema)
+
+
 def first_at(points: DataFrame, catalogue: DataFrame, by: list[str], key: str, at: str, start: str, end: str, file: str, step: int = 7200) -> DataFrame:
-    """(key, n, file): for each point, how many files hold its time and the first of them by name; null if none does."""
-    found = containing(points.select(key, at, *by), catalogue.select(*by, start, end, file), by, at, start, end, step)
-    found = found.groupBy(key).agg(F.count("*").alias("n"), F.min(file).alias(file))
-    return points.select(key).join(found, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"), file)
+    """(key, n, file): for each point, how many files hold its time and the first of them by name; null if none does. A point takes what was said
+    last before it in its bucket, so no point meets an interval; points are not combined by key."""
+    said = stretches(catalogue, by, start, end, file, step)
+    own = points.select(key, *by, bucket(F.col(at), step).alias("__b"), F.unix_micros(F.col(at).cast("timestamp")).alias("__at"), F.lit(True).alias("__point"))
+    both = own.unionByName(said.select(*by, "__b", "__at", F.struct("n", file).alias("__said"), F.lit(False).alias("__point")), allowMissingColumns=True)
+    w = Window.partitionBy(*by, "__b").orderBy("__at", "__point").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__said", F.last("__said", True).over(w)).where("__point")
+    return found.select(key, F.coalesce("__said.n", F.lit(0).cast("long")).alias("n"), F.col(f"__said.{file}").alias(file))
 
 
 def by_number(catalogue: DataFrame, granule: str, file: str) -> DataFrame:

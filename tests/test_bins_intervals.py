@@ -74,3 +74,30 @@ def test_one_file_a_granule(spark):
     assert {tuple(r) for r in intervals.by_number(df, "granule", "file").collect()} == {(1, "a"), (2, "b")}
     with pytest.raises(Exception, match="more than one file of granule 2"):
         intervals.by_number(df.union(spark.createDataFrame([(2, "c")], df.schema)), "granule", "file").collect()
+
+
+def test_crowded_times_need_no_pairs(spark):
+    """Where all intervals overlap, each point is still one row: no join, and the answers of brute force. Rows without a key meet nothing."""
+    base, n = dt.datetime(2020, 1, 1), 120
+    spans = [(i % 2 if i % 17 else None, base + dt.timedelta(minutes=i * 37 % 90), base + dt.timedelta(minutes=i * 37 % 90 + i % 50 - 2), f"f{i * 7 % n:03}") for i in range(n)]
+    points = [(k, k % 2 if k % 19 else None, base + dt.timedelta(minutes=k % 150)) for k in range(600)]
+    catalogue = spark.createDataFrame(spans, "s int, t0 timestamp, t1 timestamp, file string")
+    out = intervals.first_at(spark.createDataFrame(points, "id int, s int, at timestamp"), catalogue, ["s"], "id", "at", "t0", "t1", "file", 3600)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    found = {r["id"]: (r["n"], r["file"]) for r in out.collect()}
+    for k, s, at in points:
+        own = [f for t, a, b, f in spans if t == s is not None and a <= at <= b]
+        assert found[k] == (len(own), min(own, default=None))
+
+
+def test_as_of_is_one_row_a_left_row(spark):
+    import datetime
+
+    from orbitframe.operators import collocate
+
+    day = lambda k: datetime.date(2020, 1, 1) + datetime.timedelta(days=k)
+    left = spark.createDataFrame([(k % 30, day(k)) for k in range(60)], "key int, d date")
+    right = spark.createDataFrame([(day(k), v) for k in (3, 10, 11, 40) for v in ("a", f"b{k}")], "t date, v string")
+    out = collocate.as_of(left, right, "key", F.col("d"), F.col("t"), F.col("v"), 5)
+    want = [(k % 30, next((f"b{t}" for t in (40, 11, 10, 3) if t <= k <= t + 5), None)) for k in range(60)]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
