@@ -28,29 +28,38 @@ def read(spark: SparkSession, path: str, layout: np.dtype, header: int = 0) -> D
 
 
 def decode(files: DataFrame, layout: np.dtype, header: int = 0) -> DataFrame:
-    """The same of the files (path, content)."""
+    """The same of the files (path, content). Files are cut into runs of records of some KB before Python gets them, so that what a Python process
+    holds depends on neither their size nor their number."""
+    size, per = layout.itemsize, max(1, 2048 // layout.itemsize)
+    n = F.floor((F.length("content") - header) / size)
+    first = F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1, F.lit(per).cast("long")))).alias("record")
+    cut = files.select("path", "content", n.alias("n"), first)
+    start = F.lit(header + 1) + F.col("record") * size
+    cut = cut.select("path", "record", F.substring("content", start.cast("int"), (F.least(F.lit(per), F.col("n") - F.col("record")) * size).cast("int")).alias("content"))
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for name, content in zip(part.path, part.content, strict=True):
-                n = max(0, (len(content) - header) // layout.itemsize)
-                rows = np.frombuffer(content, layout, n, header) if n else np.zeros(0, layout)
-                for s in range(0, n, 10_000):
-                    piece = rows[s : s + 10_000]
-                    columns = {k: list(piece[k].tolist()) if layout[k].shape else piece[k].astype(layout[k].newbyteorder("=")) for k in layout.names}
-                    yield pd.DataFrame({"file": name, "record": np.arange(s, s + len(piece)), **columns})
+            n = part.content.str.len().to_numpy(dtype=int) // size
+            rows = np.frombuffer(b"".join(part.content), layout)
+            names = np.repeat(part.path.to_numpy(), n)
+            number = np.arange(len(rows)) + np.repeat(part.record.to_numpy() - (np.cumsum(n) - n), n)
+            for s in range(0, len(rows), 2_000):
+                piece = rows[s : s + 2_000]
+                columns = {k: list(piece[k].tolist()) if layout[k].shape else piece[k].astype(layout[k].newbyteorder("=")) for k in layout.names}
+                yield pd.DataFrame({"file": names[s : s + 2_000], "record": number[s : s + 2_000], **columns})
 
-    return files.mapInPandas(parse, f"file string, record bigint, {schema_of(layout)}")
+    return cut.mapInPandas(parse, f"file string, record bigint, {schema_of(layout)}")
 
 
 def encode(df: DataFrame, key: str, order: str, layout: np.dtype, header: bytes = b"") -> DataFrame:
-    """(key, content): one file's bytes for each key; a granule has a bounded size."""
+    """(key, content): one file's bytes for each key; a granule has a bounded size. Fields without a column are zero."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         rows = np.zeros(len(pdf), layout)
         for k in layout.names:
-            rows[k] = np.array([np.stack(v) for v in pdf[k]] if len(layout[k].shape) > 1 else pdf[k].tolist())
+            if k in pdf:
+                rows[k] = np.array([np.stack(v) for v in pdf[k]] if len(layout[k].shape) > 1 else pdf[k].tolist())
         return pd.DataFrame({key: [pdf[key].iloc[0]], "content": [header + rows.tobytes()]})
 
     kind = dict(df.dtypes)[key]
