@@ -1,6 +1,6 @@
 """Granule files: an orbit header, then scans of a scan header and a fixed number of pixel records; other whole-file formats.
 
-Files are rows (path, content), from `files` or from `pack`; each is parsed by one task, as a granule has a bounded size (some 100 MB)."""
+Files are rows (path, content), from `files` or from `pack`; a granule has a bounded size (some 100 MB). Python parses scans, not whole files."""
 
 from __future__ import annotations
 
@@ -32,37 +32,53 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def _plain(content: bytes) -> bytes:
-    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+def _plain(content: Column) -> Column:
+    """Gzipped files as they were; only these go through Python."""
+    whole = F.substring(content, 1, 2) == F.lit(b"\x1f\x8b")
+    gunzip = F.udf(lambda v: None if v is None else gzip.decompress(bytes(v)), "binary")
+    return F.when(whole, gunzip(F.when(whole, content))).otherwise(content)
+
+
+def _number(content: Column, kind: np.dtype, name: str) -> Column:
+    """A whole number of a header, of its bytes in little-endian order."""
+    (base, at), total = kind.fields[name][:2], F.lit(0).cast("long")
+    for k in range(base.itemsize):
+        total = total + F.conv(F.hex(F.substring(content, at + k + 1, 1)), 16, 10).cast("long") * (1 << 8 * k)
+    return F.when(total >= 1 << (8 * base.itemsize - 1), total - (1 << 8 * base.itemsize)).otherwise(total).cast("int")
 
 
 def _column(values: np.ndarray):
     return values.tolist() if values.ndim > 1 else values.astype(values.dtype.newbyteorder("="))
 
 
-def read_scans(source: DataFrame, header: np.dtype, scan: np.dtype, pixel: np.dtype, skip: int = 0, scans: Column | None = None) -> DataFrame:
+def read_scans(source: DataFrame, header: np.dtype, scan: np.dtype, pixel: np.dtype, skip: int = 0, scans: Column | None = None, gzipped: bool = True) -> DataFrame:
     """(path, granule, scan, pixel, scan columns, pixel columns) of granule files, whole or gzipped; `skip` bytes follow the header. `scans`
-    filters by scan number (negative ones count from the end) before any pixel is read."""
-    size = f"path string, granule int, scan int, pixel int, {schema_of(scan)}, {schema_of(pixel)}"
+    filters by scan number before any pixel is read. Files are cut into scans before Python gets them, so that what a Python process holds depends
+    on neither their size nor their number. `gzipped` false: no file is."""
+    size, base = f"path string, granule int, scan int, pixel int, {schema_of(scan)}, {schema_of(pixel)}", header.itemsize + skip
+    content = F.col("content")
+    head = source.select("path", (_plain(content) if gzipped else content).alias("content")).where(F.length("content") >= base)
+    head = head.select("path", "content", *(_number(content, header, k).alias(a) for k, a in (("granule_number", "granule"), ("number_of_scans", "n"), ("number_of_pixels", "m"))))
+    each = F.lit(scan.itemsize) + F.col("m") * pixel.itemsize
+    whole = F.least(F.col("n"), F.floor((F.length("content") - base) / each).cast("int"))
+    cut = head.select("path", "granule", "m", "content", F.explode(F.when((whole > 0) & (F.col("m") > 0), F.sequence(F.lit(0), whole - 1))).alias("scan"))
+    cut = cut if scans is None else cut.where(scans)
+    cut = cut.select("path", "granule", "m", "scan", F.substring("content", F.lit(base + 1) + F.col("scan") * each, each).alias("content"))
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for path, content in zip(part.path, part.content, strict=True):
-                content = _plain(bytes(content))
-                head = np.frombuffer(content, header, 1)[0]
-                n, m = int(head["number_of_scans"]), int(head["number_of_pixels"])
+            for m, own in part.groupby("m", sort=False):
                 kind = np.dtype([("scan", scan), ("pixels", pixel, (m,))])
-                rows = np.frombuffer(content, kind, min(n, (len(content) - header.itemsize - skip) // kind.itemsize), header.itemsize + skip)
-                for s in range(0, len(rows), 64):
-                    piece = rows[s : s + 64]
+                for s in range(0, len(own), 64):
+                    some = own.iloc[s : s + 64]
+                    piece = np.frombuffer(b"".join(some.content), kind)
                     each, flat = np.repeat(piece["scan"], m), piece["pixels"].ravel()
                     yield pd.DataFrame(
-                        {"path": path, "granule": int(head["granule_number"]), "scan": np.repeat(np.arange(s, s + len(piece), dtype="i4"), m), "pixel": np.tile(np.arange(m, dtype="i4"), len(piece))}
+                        {**{k: np.repeat(some[k].to_numpy(), m) for k in ("path", "granule", "scan")}, "pixel": np.tile(np.arange(m, dtype="i4"), len(piece))}
                         | {k: _column(each[k]) for k in scan.names} | {k: _column(flat[k]) for k in pixel.names}
                     )
 
-    out = source.mapInPandas(parse, size)
-    return out if scans is None else out.where(scans)
+    return cut.mapInPandas(parse, size)
 
 
 def pack(df: DataFrame, header: np.dtype, scan: np.dtype, pixel: np.dtype, fixed: dict | None = None, skip: bytes = b"", most_scans: int | None = None) -> DataFrame:

@@ -125,3 +125,20 @@ def test_granule_files_gzipped(spark, tmp_path):
     (tmp_path / "b.pp").write_bytes(content[:-5])
     got = granules.read_scans(granules.files(spark, str(tmp_path)), *kinds).groupBy(F.regexp_extract("path", "([ab])[.]pp", 1).alias("f")).agg(F.count("*").alias("n"), F.sum("latitude").alias("s")).collect()
     assert {r["f"]: (r["n"], r["s"]) for r in got} == {"a": (60, 1770.0), "b": (54, 1431.0)}
+
+
+def test_files_reach_python_in_pieces(spark):
+    """No piece that Python gets is larger than some records or a scan, and only scans that are asked for are passed on."""
+    from orbitframe.sources import granules, layouts
+
+    layout = np.dtype([("scan", "<i4"), ("tb", "<f4", (3,)), ("rest", "<f4", (5,))])
+    df = spark.range(5000).select(F.lit(1).alias("granule"), F.col("id").cast("int").alias("scan"), F.array(*(F.col("id").cast("float") + k for k in range(3))).alias("tb"))
+    files = records.encode(df, "granule", "scan", layout).select(F.col("granule").cast("string").alias("path"), "content")
+    out = records.decode(files, layout)
+    assert {(r["record"], r["scan"], tuple(r["tb"]), sum(r["rest"])) for r in out.collect()} == {(i, i, (i, i + 1.0, i + 2.0), 0.0) for i in range(5000)}
+    assert "substring" in out._jdf.queryExecution().optimizedPlan().toString()
+    kinds = (layouts.preprocessor_header(), layouts.PREPROCESSOR_SCAN, layouts.preprocessor_pixel())
+    pixels = spark.range(3 * 40 * 5).select((F.col("id") % 3 + 70_000).cast("int").alias("granule"), (F.col("id") / 3 % 40).cast("int").alias("scan"), (F.col("id") / 120).cast("int").alias("pixel"), F.col("id").cast("float").alias("latitude"))
+    back = granules.read_scans(granules.pack(pixels, *kinds), *kinds, scans=F.col("scan") >= 38)
+    assert sorted(back.select(pixels.columns).collect()) == sorted(pixels.where("scan >= 38").collect())
+    assert "Filter (scan" not in back._jdf.queryExecution().optimizedPlan().toString().split("MapInPandas")[0]
