@@ -45,10 +45,10 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: later jobs neither recompute it nor lose it with an executor."""
     path = stage_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,8 +5,8 @@ alike and a single collision means little. Filters one, two and
 three words wide slide over the whole text; the largest answer of each filter (max pooling) feeds a logistic output. The fit takes every
 labelled row, whole: three quarters (by a hash of the id) train the network, the others set the thresholds. Rows are dealt to at most `shards`
 tasks; in each round a task learns from the rows it reads, a few MB at a time, from the common weights, and what the tasks have learnt is
-averaged (iterative parameter mixing). What a task holds and what comes to the driver depend on the network's size alone. Every row is scored
-whole.
+averaged (iterative parameter mixing) by tasks, a block of the table each. What a task holds and what comes to the driver depend on the network's size
+alone, and not on the number of shards. Every row is scored whole.
 
 The language whose threshold applies is told from the text by its function words, never from a column. Scores are shifted so
 that 0.3 is the calibrated threshold in each language.
@@ -19,10 +19,10 @@ share of label 1 (0 if there are none). Columns other than doc_id and text are n
 from __future__ import annotations
 
 import copy
-import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +64,36 @@ def rows_of(word: bytes, bits: int) -> list[int]:
     return [whole] + [zlib.crc32(text[:n].encode(), n) & mask if len(text) > n else whole for n in range(3, 8)]
 
 
+#: The table of CRC-32 by byte, as zlib has it.
+CRC = np.array([zlib.crc32(bytes([b]), 0xFFFFFFFF) ^ 0xFFFFFFFF for b in range(256)], np.uint32)
+
+
+def table_rows(words: list[bytes], bits: int) -> np.ndarray:
+    """rows_of each word; the beginnings of ASCII words, which need no decoding, are hashed together."""
+    out = np.empty((len(words), 6), np.int32)
+    mask = np.uint32((1 << bits) - 1)
+    whole = np.fromiter(map(zlib.crc32, words, repeat(zlib.crc32(b"="))), np.uint32, len(words)) & mask
+    size = np.fromiter(map(len, words), np.int32, len(words))
+    first = np.array(words, "S8").view(np.uint8).reshape(-1, 8)  # eight ASCII bytes are more characters than any beginning has
+    out[:, 0] = whole
+    for n in range(3, 8):
+        crc = np.full(len(words), n ^ 0xFFFFFFFF, np.uint32)
+        for k in range(n):
+            crc = CRC[(crc ^ first[:, k]) & 0xFF] ^ (crc >> np.uint32(8))
+        out[:, n - 2] = np.where(size > n, ~crc & mask, whole)
+    for i in np.flatnonzero((first >= 128).any(axis=1)).tolist():
+        out[i] = rows_of(words[i], bits)
+    return out
+
+
+class Numbers(dict):
+    """A number for each word, as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Vocabulary:
     """Numbers words as they come, with their table rows; forgets all of them at a bound."""
 
@@ -72,21 +102,31 @@ class Vocabulary:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.rows: list[list[int]] = []
+        self.number = Numbers()
+        self.rows = np.zeros((0, 6), np.int32)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        number, rows = self.number, self.rows
-        for w in set(words).difference(number):
-            number[w] = len(rows)
-            rows.append(rows_of(w, self.bits))
-        return np.fromiter(map(number.__getitem__, words), np.int32, len(words))
+        return np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
+
+    def fresh(self) -> list[bytes]:
+        """The words that came since the last call, whose table rows are looked up together."""
+        words = list(islice(self.number, len(self.rows), None))
+        if words:
+            self.rows = np.concatenate((self.rows, table_rows(words, self.bits)))
+        return words
+
+
+#: By function word: in which languages it is one.
+VOTES: dict[bytes, int] = {}
+for _k, _words in enumerate(FUNCTION_WORDS.values()):
+    for _w in _words.split():
+        VOTES[_w.encode()] = VOTES.get(_w.encode(), 0) | 1 << _k
 
 
 def votes_of(words: list[bytes]) -> np.ndarray:
     """By word: in which languages it is a function word."""
-    known = [set(w.encode() for w in x.split()) for x in FUNCTION_WORDS.values()]
-    return np.array([[w in x for x in known] for w in words], np.float32).reshape(len(words), len(LANGS))
+    bits = np.fromiter(map(VOTES.get, words, repeat(0)), np.uint8, len(words))
+    return (bits[:, None] >> np.arange(len(LANGS), dtype=np.uint8) & 1).astype(np.float32)
 
 
 def _language(ids: np.ndarray, at: np.ndarray, votes: np.ndarray) -> np.ndarray:
@@ -110,7 +150,10 @@ class Network:
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
     def embed(self, rows: np.ndarray) -> np.ndarray:
-        return self.w["e"][rows].sum(axis=1)
+        x = self.w["e"].take(rows[:, 0], axis=0)
+        for k in range(1, rows.shape[1]):
+            x += self.w["e"].take(rows[:, k], axis=0)
+        return x
 
     def answers(self, x: np.ndarray) -> list[list[np.ndarray]]:
         """Of each filter position to each of the embeddings x."""
@@ -178,7 +221,7 @@ class Network:
                     for j in range(1, n):
                         z[:-j] += (x[j:] @ w[f"f{n}"][j]) * (end[:-j] > j)[:, None]
                     best = np.maximum.reduceat(z, here[:-1], axis=0)
-                    first = np.where(z == np.repeat(best, lengths, axis=0), np.arange(len(z))[:, None], len(z))
+                    first = np.where(z == np.repeat(best, lengths, axis=0), np.arange(len(z), dtype=np.int32)[:, None], np.int32(len(z)))
                     wins.append(np.minimum.reduceat(first, here[:-1], axis=0))
                     parts.append(np.maximum(best + w[f"b{n}"], 0))
                 pooled = np.concatenate(parts, axis=1)
@@ -208,20 +251,17 @@ class Network:
                 changed[touched] = True
         return changed
 
-    def mix(self, parts: list[dict]) -> None:
-        """Take over what shards have learnt: means by their rows; a row of the table moves by the mean of the shards that changed it."""
-        share = np.array([x["n"] for x in parts], float) / sum(x["n"] for x in parts)
-        mean = lambda values: np.sum([v * k for v, k in zip(values, share, strict=True)], axis=0).astype(np.float32)
+    def small(self) -> np.ndarray:
+        """All but the table and its squares, end to end: weights and both moments of each."""
+        return np.concatenate([v.ravel() for k, (a, b) in self.m.items() for v in (self.w[k], a, b)]).astype("<f8")
+
+    def take(self, small: np.ndarray) -> None:
+        """The reverse of small()."""
+        parts = iter(np.split(small, np.cumsum([self.w[k].size for k in self.m for _ in range(3)])[:-1]))
         for k in self.m:
-            self.w[k] = mean([x["w"][k] for x in parts])
-            self.m[k] = tuple(mean([x["m"][k][i] for x in parts]) for i in (0, 1))
-        self.step = max(x["step"] for x in parts)
-        times = np.zeros(len(self.squares), np.float32)
-        for x in parts:
-            times[x["rows"]] += 1
-        for x in parts:
-            self.w["e"][x["rows"]] += x["e"] / times[x["rows"], None]
-            self.squares[x["rows"]] += x["squares"] / times[x["rows"], None]
+            shape = self.w[k].shape
+            self.w[k], *moments = (next(parts).reshape(shape).astype(np.float32) for _ in range(3))
+            self.m[k] = tuple(moments)
 
 
 #: The largest answer that thresholds tell apart, and in how many steps each unit of them.
@@ -242,13 +282,11 @@ class Model:
             seen.forget()
             kept.clear()
         ids = seen.ids([x for one in words for x in one])
-        if new := seen.rows[kept.get("n", 0) :]:
-            fresh = list(seen.number)[kept.get("n", 0) :]
-            more = self.network.answers(self.network.embed(np.array(new)))
+        if fresh := seen.fresh():
+            more = self.network.answers(self.network.embed(seen.rows[-len(fresh) :]))
             old = kept.get("answers")
             kept["answers"] = [[np.concatenate((o, x)) for o, x in zip(a, b, strict=True)] for a, b in zip(old, more, strict=True)] if old else more
             kept["votes"] = np.concatenate((kept["votes"], votes_of(fresh))) if old else votes_of(fresh)
-            kept["n"] = len(seen.rows)
         if not len(ids):
             return np.full(len(texts), 1 / (1 + np.exp(-float(self.network.logits(np.zeros((1, self.network.w["out"].size)))[0] + self.shift[0]))))
         z = self.network.logits(self.network.pooled(ids, at, kept["answers"])) + self.shift[_language(ids, at, kept["votes"])]
@@ -273,66 +311,110 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column) -> tu
     return one_row(rows).withColumn("held", held), counts
 
 
+#: What is encoded together shares its words' table rows, so that they take less room than the texts do.
+ENCODED = "held boolean, y array<int>, lang array<int>, lengths array<int>, words binary, grams binary"
+
+
 def encode(rows: DataFrame, p: Params) -> DataFrame:
-    """(y, held, lang, words, grams) of rows (text, y, held), staged: a text's words as numbers of its own different words (i4), and the table rows of
-    these (i4, 6 a word). Texts are cut into words once, not in each round."""
+    """Rows (text, y, held), staged, some MB of texts in a row for each of held: their labels, languages and lengths, their words as numbers (u2, or u4 if
+    there are many) of the different words among them, and the table rows of these (i4, 6 a word). Texts are cut into words once, not in each round."""
 
     def run(batches):
-        seen = Vocabulary(p.hash_bits)
-        for part in chunks(batches):
+        seen, votes = Vocabulary(p.hash_bits), votes_of([])
+        for part in chunks(batches, budget=8 << 20, rows=4096):
             if len(seen.rows) > seen.limit:
                 seen.forget()
-            parts = [seen.ids(letters(t)) for t in part["text"].to_pylist()]
-            lang = _language(np.concatenate(parts), offsets([len(x) for x in parts]), votes_of(list(seen.number))) if seen.rows else np.zeros(len(parts), int)
-            own = [np.unique(x, return_inverse=True) for x in parts]
-            words = [w.astype("<i4").tobytes() for _, w in own]
-            grams = [np.array([seen.rows[i] for i in u.tolist()], "<i4").tobytes() for u, _ in own]
-            yield pa.RecordBatch.from_arrays([part["y"], part["held"], pa.array(lang.astype(np.int32)), pa.array(words, pa.binary()), pa.array(grams, pa.binary())], names=["y", "held", "lang", "words", "grams"])
-
-    return stage(rows.mapInArrow(run, "y int, held boolean, lang int, words binary, grams binary"))
+                votes = votes_of([])
+            parts = [seen.ids(letters(t.as_py())) for t in part["text"]]
+            votes = np.concatenate((votes, votes_of(seen.fresh())))
+            at = offsets([len(x) for x in parts])
+            ids, lang = np.concatenate(parts), np.zeros(len(parts), int)
+            if len(ids):
+                lang = _language(ids, at, votes)
+            y, held = (part[c].to_numpy(zero_copy_only=False) for c in ("y", "held"))
+            for side in (False, True):
+                pick = held == side
+                if pick.any():
+                    words = ids[np.repeat(pick, np.diff(at))]
+                    there = np.zeros(len(seen.rows), bool)
+                    there[words] = True
+                    own = np.flatnonzero(there)
+                    words = (np.cumsum(there) - 1)[words].astype("<u2" if len(own) <= 1 << 16 else "<u4")
+                    grams = seen.rows[own].astype("<i4")
+                    columns = [[side], *([v[pick].tolist()] for v in (y, lang, np.diff(at))), [words.tobytes()], [grams.tobytes()]]
+                    kinds = [pa.bool_(), *[pa.list_(pa.int32())] * 3, pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(columns, kinds, strict=True)], names=["held", "y", "lang", "lengths", "words", "grams"])
+
+    return stage(rows.mapInArrow(run, ENCODED), compression="zstd")
 
 
 def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(word ids, offsets, labels, table rows by id, languages) of some MB of encoded rows at a time."""
-    for part in chunks(batches, "grams", 16 << 20, 4096):
-        words, grams = ([np.frombuffer(v, "<i4") for v in part[c].to_pylist()] for c in ("words", "grams"))
-        first = offsets([len(g) // 6 for g in grams])
-        ids = np.concatenate([w + k for w, k in zip(words, first[:-1], strict=True)])
-        yield ids, offsets([len(w) for w in words]), part["y"].to_numpy().astype(np.float32), np.concatenate(grams).reshape(-1, 6), part["lang"].to_numpy()
+    for part in chunks(batches, "words", 4 << 20):
+        grams = [np.frombuffer(v.as_py(), "<i4").reshape(-1, 6) for v in part["grams"]]
+        y, lang, lengths = (part[c].flatten().to_numpy() for c in ("y", "lang", "lengths"))
+        sizes = [sum(v.as_py()) for v in part["lengths"]]
+        words = [np.frombuffer(v.as_py(), "<u4" if n and len(v.as_py()) == 4 * n else "<u2").astype(np.int32) for v, n in zip(part["words"], sizes, strict=True)]
+        first = offsets([len(g) for g in grams])
+        yield np.concatenate([w + np.int32(k) for w, k in zip(words, first[:-1], strict=True)]), offsets(lengths), y.astype(np.float32), np.concatenate(grams), lang
+
 
+#: So many rows of the table are added up together.
+BLOCK = 1024
 
-def _collected(rows: DataFrame, run) -> list:
-    """What `run` makes of the batches of each partition that has rows."""
 
-    def pickled(batches):
-        out = run(batches)
-        if out is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(out)], pa.binary())], names=["v"])
+def _summed(rows: DataFrame, run, add, tasks: int) -> list[tuple[int, bytes, bytes]]:
+    """What `add` makes of the (at, v) of each part, in the order of shards, where `run` gives (part, at, v) for the batches of a shard. Tasks add up: the
+    driver gets one (part, at, v) a part, however many shards there are."""
+
+    def given(batches):
+        from pyspark import TaskContext
+
+        if out := list(run(batches)):
+            part, at, v = zip(*out, strict=True)
+            shard = np.full(len(out), TaskContext.get().partitionId(), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(shard), pa.array(at, pa.binary()), pa.array(v, pa.binary())], names=["part", "shard", "at", "v"])
 
-    return [pickle.loads(bytes(r["v"])) for r in rows.mapInArrow(pickled, "v binary").collect()]
+    def added(t: pa.Table) -> pa.Table:
+        t = t.sort_by("shard")
+        part = t["part"][0].as_py()
+        at, v = add(part, [(a.as_py(), b.as_py()) for a, b in zip(t["at"], t["v"], strict=True)])
+        return pa.table({"part": pa.array([part], pa.int32()), "at": pa.array([at], pa.binary()), "v": pa.array([v], pa.binary())})
 
+    parts = rows.mapInArrow(given, "part int, shard int, at binary, v binary").repartition(tasks, "part")
+    return [(r["part"], bytes(r["at"]), bytes(r["v"])) for r in parts.groupBy("part").applyInArrow(added, "part int, at binary, v binary").collect()]
 
-def counted(rows: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """By label, in how many texts each row of the table stands, and how many texts there are: two vectors of the table's length from each shard."""
+
+def counted(rows: DataFrame, p: Params, tasks: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """By label, in how many texts each row of the table stands, and how many texts there are."""
 
     def run(batches):
         df, texts = np.zeros((2, 1 << p.hash_bits), np.int32), np.zeros(2, np.int64)
-        for batch in batches:
-            for y, grams in zip(batch["y"].to_pylist(), batch["grams"], strict=True):
-                df[y, np.unique(np.frombuffer(grams.as_py(), "<i4"))] += 1
-                texts[y] += 1
-        return zlib.compress(df.tobytes(), 1), texts
+        for ids, at, y, grams, _ in encoded(batches):
+            for label, first, last in zip(y.astype(int).tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                df[label, grams[ids[first:last]].ravel()] += 1  # a row counts once, however often it is named
+                texts[label] += 1
+        if texts.any():
+            yield -1, b"", texts.tobytes()
+            yield from ((k, b"", part.tobytes()) for k, part in enumerate(np.split(df, range(BLOCK, df.shape[1], BLOCK), axis=1)) if part.any())
+
+    def add(part, values):
+        return b"", np.sum([np.frombuffer(v, np.int64 if part < 0 else np.int32) for _, v in values], axis=0, dtype=np.int64).tobytes()
 
     df, texts = np.zeros((2, 1 << p.hash_bits), np.int64), np.zeros(2, np.int64)
-    for packed, n in _collected(rows, run):
-        df += np.frombuffer(zlib.decompress(packed), np.int32).reshape(df.shape)
-        texts += n
+    for part, _, v in _summed(rows, run, add, tasks):
+        if part < 0:
+            texts = np.frombuffer(v, np.int64)
+        else:
+            df[:, part * BLOCK : (part + 1) * BLOCK] = np.frombuffer(v, np.int64).reshape(2, -1)
     return df, texts
 
 
-def learnt(rows: DataFrame, net: Network, weight: np.ndarray, epochs: int, turn: int) -> list[dict]:
-    """What each shard of the rows has learnt in some epochs, from the network as it is."""
+def learn(rows: DataFrame, net: Network, weight: np.ndarray, epochs: int, turn: int, tasks: int = 1) -> None:
+    """Each shard of the rows learns for some epochs from the network as it is, which then takes over what they have learnt: means by their rows; a row of
+    the table moves by the mean of the shards that changed it."""
     shared = rows.sparkSession.sparkContext.broadcast(net)  # set by Params alone
+    width = 2 * net.p.dims
 
     def run(batches):
         from pyspark import TaskContext
@@ -343,18 +425,39 @@ def learnt(rows: DataFrame, net: Network, weight: np.ndarray, epochs: int, turn:
         for ids, at, y, grams, _ in encoded(batches):
             changed |= own.fit(ids, at, y, weight[y.astype(int)], grams, epochs, r)
             n += len(y)
-        if not n:
-            return None
-        at = np.flatnonzero(changed)
-        return {"n": n, "w": {k: own.w[k] for k in own.m}, "m": own.m, "step": own.step, "rows": at, "e": own.w["e"][at] - old.w["e"][at], "squares": own.squares[at] - old.squares[at]}
-
-    parts = _collected(rows, run)
+        if n:
+            yield -1, np.array([n, own.step], "<f8").tobytes(), own.small().tobytes()
+            at = np.flatnonzero(changed)
+            for here in np.split(at, np.flatnonzero(np.diff(at // BLOCK)) + 1):
+                if len(here):
+                    moved = np.concatenate((own.w["e"][here] - old.w["e"][here], own.squares[here] - old.squares[here]), axis=1)
+                    yield int(here[0] // BLOCK), here.astype("<i4").tobytes(), moved.astype("<f4").tobytes()
+
+    def add(part, values):
+        if part < 0:
+            n, step = np.array([np.frombuffer(a, "<f8") for a, _ in values]).T
+            return np.array([n.sum(), step.max()], "<f8").tobytes(), np.average([np.frombuffer(v, "<f8") for _, v in values], axis=0, weights=n).tobytes()
+        moved, times = np.zeros((BLOCK, width)), np.zeros(BLOCK)
+        for a, v in values:
+            at = np.frombuffer(a, "<i4") - part * BLOCK
+            moved[at] += np.frombuffer(v, "<f4").reshape(-1, width)
+            times[at] += 1
+        at = np.flatnonzero(times)
+        return (at + part * BLOCK).astype("<i4").tobytes(), (moved[at] / times[at, None]).astype("<f4").tobytes()
+
+    for part, a, v in _summed(rows, run, add, tasks):
+        if part < 0:
+            net.step = int(np.frombuffer(a, "<f8")[1])
+            net.take(np.frombuffer(v, "<f8"))
+        else:
+            at, moved = np.frombuffer(a, "<i4"), np.frombuffer(v, "<f4").reshape(-1, width)
+            net.w["e"][at] += moved[:, : net.p.dims]
+            net.squares[at] += moved[:, net.p.dims :]
     shared.destroy()
-    return parts
 
 
-def answered(rows: DataFrame, net: Network) -> list[tuple[int, int, int, int]]:
-    """(language, label, z in steps of 1 / STEPS, n) of the rows, added up; bounded by the number of steps."""
+def answered(rows: DataFrame, net: Network) -> np.ndarray:
+    """(language, label, z in steps of 1 / STEPS, n) of the rows, added up, as four vectors; bounded by the number of steps."""
     shared = rows.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
@@ -365,14 +468,14 @@ def answered(rows: DataFrame, net: Network) -> list[tuple[int, int, int, int]]:
             found, n = np.unique(np.stack([lang, y.astype(int), step]), axis=1, return_counts=True)
             yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in found), pa.array(n.astype(np.int64))], names=["lang", "y", "step", "n"])
 
-    cells = rows.mapInArrow(run, "lang int, y int, step int, n long").groupBy("lang", "y", "step").agg(F.sum("n").alias("n")).collect()
+    cells = rows.mapInArrow(run, "lang int, y int, step int, n long").groupBy("lang", "y", "step").agg(F.sum("n").alias("n")).toArrow()
     shared.destroy()
-    return [tuple(r) for r in cells]
+    return np.array([c.to_numpy() for c in cells.columns], np.int64).reshape(4, -1)
 
 
-def shifts(cells: list[tuple[int, int, int, int]], weight: np.ndarray) -> np.ndarray:
+def shifts(cells: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """By language, what moves its best threshold to 0.3; of all languages where one has fewer than 10 rows of a class."""
-    lang, y, step, n = np.array(cells, np.int64).reshape(-1, 4).T
+    lang, y, step, n = cells
     z, mass = (step + 0.5) / STEPS, n * weight[y]
     whole, out = _threshold(z, y, mass), np.zeros(len(LANGS))
     for k in range(len(LANGS)):
@@ -383,27 +486,27 @@ def shifts(cells: list[tuple[int, int, int, int]], weight: np.ndarray) -> np.nda
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, p: Params = Params()) -> Model:
-    """Fit on all labelled rows for which `keep` holds. Only vectors of the network's size come to the driver, from at most `shards` tasks."""
+    """Fit on all labelled rows for which `keep` holds. Only sums of the network's size come to the driver, one a round."""
     found, counts = labelled(docs, labels, "toxic", keep)
     rows = encode(found, p)
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
-    have = {(r["y"], r["held"]): r["n"] for r in rows.groupBy("y", "held").agg(F.count("*").alias("n")).collect()}
+    have = {(r["y"], r["held"]): r["n"] for r in rows.select("held", F.explode("y").alias("y")).groupBy("y", "held").agg(F.count("*").alias("n")).collect()}
     n = np.array([sum(v for (y, _), v in have.items() if y == c) for c in (0, 1)])
     if n.sum() < 8 or not n.all():
         return Model(None, np.zeros(len(LANGS)), prior)
     whole = not all((c, h) in have for c in (0, 1) for h in (False, True))  # a class is too small to be split
     shards = max(1, min(p.shards, int(n.sum()) // p.shard_rows))
-    train = (rows if whole else rows.where("not held")).select("y", "lang", "words", "grams").coalesce(shards)
+    train = (rows if whole else rows.where("not held")).coalesce(shards)
     net = Network(p)
-    df, texts = counted(train, p)
+    df, texts = counted(train, p, shards)
     net.start(df, texts)
     net.begin()
     each = np.sqrt(0.5 * texts.sum() / texts).astype(np.float32)  # between equal classes and their true shares
     for turn in range(p.rounds):
-        net.mix(learnt(train, net, each / np.average(each, weights=texts), p.epochs // p.rounds, turn))
-    cells = answered((rows if whole else rows.where("held")).select("y", "lang", "words", "grams"), net)
+        learn(train, net, each / np.average(each, weights=texts), p.epochs // p.rounds, turn, shards)
     del net.m, net.squares
+    cells = answered(rows if whole else rows.where("held"), net)
     return Model(net, shifts(cells, np.array([1 - prior, prior]) * n.sum() / n), prior)
 
 

@@ -282,3 +282,37 @@ def test_toxicity_learns_from_every_label(spark):
     for own in (p, toxicity.Params()):
         model = toxicity.fit(docs, labels, F.lit(True), own)
         assert toxicity.score(docs, model).join(labels, "doc_id").where((F.col("score") >= 0.3) != (F.col("toxic") == 1)).count() == 0
+
+
+def test_toxicity_sends_sums_alone_and_stages_less_than_the_text(spark, monkeypatch):
+    """The driver gets one sum of the network's size a round, not what each shard has learnt; encoded rows take less room than their texts."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from orbitframe.llm import toxicity
+
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") % 10 == 0, "vile").otherwise("kind"), *(F.concat(F.lit(" word"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(3000))) for k in range(60))).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("toxic"))
+    p = toxicity.Params(shard_rows=700)
+    rows = toxicity.encode(toxicity.labelled(docs, labels, "toxic", F.lit(True))[0].repartition(8), p)
+    room = rows.select(F.sum(F.length("words") + F.length("grams"))).first()[0]
+    assert room < docs.select(F.sum(F.length("text"))).first()[0]
+    sent, summed = [], toxicity._summed
+    monkeypatch.setattr(toxicity, "_summed", lambda *a: sent.append(x := summed(*a)) or x)
+    nets = []
+    for shards in (1, 8):
+        train, net = rows.coalesce(shards), toxicity.Network(p)
+        net.start(*toxicity.counted(train, p, shards))
+        net.begin()
+        toxicity.learn(train, net, np.ones(2, np.float32), 1, 0, shards)
+        nets.append(net)
+    size = [sum(len(a) + len(v) for _, a, v in x) for x in sent]
+    assert size[2] == size[0] and size[3] < 1.2 * size[1]
+    assert nets[0].step > nets[1].step > 0 and all(np.isfinite(v).all() for net in nets for v in net.w.values())
+
+
+def test_toxicity_table_rows():
+    from orbitframe.llm import toxicity
+
+    words = [w.encode() for w in ("a", "abc", "abcd", "abcdefg", "abcdefgh", "straße", "großartigkeit", "abcdefü", "abcdefgü", "ñandú", "x" * 50)] + [b"abcdefg\xff", b"\xc3abcdefgh"]
+    assert toxicity.table_rows(words, 18).tolist() == [toxicity.rows_of(w, 18) for w in words]
