@@ -45,11 +45,32 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Whether Spark deletes a query's shuffle files when it ends, or leaves them until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, compression: str | None = None) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: later jobs neither recompute it nor lose it with an executor."""
-    path = stage_dir(df.sparkSession)
-    df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as a table in the shared folder and read it back: later jobs neither recompute it nor lose it with an executor. What was shuffled for
+    it is deleted when it is written."""
+    spark, path = df.sparkSession, stage_dir(df.sparkSession)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `stage` that nothing reads any more; anything that was made of them must have been staged or collected."""
+    for df in tables:
+        spark, files = df.sparkSession, df.inputFiles()
+        for folder in {f.rsplit("/", 1)[0] for f in files}:
+            if folder.rsplit("/", 2)[1] != spark.sparkContext.applicationId:
+                raise ValueError(f"{folder} is no stage table of this application")
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free(columns: list[str], *names: str) -> list[str]:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitframe.llm.common import WordHash, chunks, free, mix, offsets, stage, starts, table, windows
+from orbitframe.llm.common import WordHash, chunks, discard, free, mix, offsets, stage, starts, table, windows
 
 WORDS, BANDS, PLAIN, ROWS, THRESHOLD, PARITY = 5, 24, 16, 4, 0.8, 8
 KEY = ["doc_id", "t"]
@@ -132,6 +132,7 @@ def meeting(sets: DataFrame, threshold: float) -> DataFrame:
     first = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - alone
     keyed = order.where(first > 0).select("node", "comp", "n", "bits", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), first.cast("int"))).alias("k", "e"))
     keyed = stage(keyed.select("node", "comp", "n", "bits", "alone", "k", F.col("e.x").alias("x")))
+    discard(each)
     kept = keyed.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("x")
     one = keyed.join(kept, "x")
     two = one.select("x", *(F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n", "bits", "alone", "k")))
@@ -151,8 +152,10 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         step = labels.join(near, labels.node == near.a, "left").select("node", "comp", F.least("comp", F.coalesce("least", "comp")).alias("next"))
         jump = labels.select(F.col("node").alias("at"), F.col("comp").alias("there"))
         new = stage(step.join(jump, step.next == jump.at, "left").select("node", F.least("next", F.coalesce("there", "next")).alias("comp"), (F.col("next") < F.col("comp")).alias("moved")))
+        discard(labels)
         labels = new.drop("moved")
         if not new.where("moved").head(1):
+            discard(links)
             return labels
 
 
@@ -194,6 +197,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, p
         luck = F.coalesce("degree", F.lit(0)) * F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1000))
         split = now.groupBy("band", "code").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by(F.struct("node", "comp", "n"), F.struct(luck, "node")).alias("lead")).where("lo < hi").select("band", "code", F.col("lead.node").alias("b"), F.col("lead.comp").alias("lead_comp"), F.col("lead.n").alias("lead_n"))
         if not split.head(1):
+            discard(now)
             break
         if turn < 2:
             pairs = now.join(split, ["band", "code"]).where((F.col("comp") != F.col("lead_comp")) & alike("n", "lead_n")).select(F.col("node").alias("a"), "b").distinct()
@@ -201,9 +205,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, p
             apart = now.join(split.select("band", "code"), ["band", "code"]).select("node", "comp").distinct()
             pairs = meeting(sets.join(apart, "node"), threshold)
         more = stage(linked(pairs))
+        discard(now, pairs)
         if more.head(1):
             links = links.unionByName(more)
+            discard(comp)
             comp = components(nodes, links)
+        else:
+            discard(more)
+    discard(members, sets, links)  # what is left reads signatures and classes alone
     found = ids.join(least, "same").join(comp.withColumnRenamed("comp", "c"), "node", "left").select("doc_id", F.coalesce("c", "node").alias("c"))
     found = found.groupBy("doc_id").agg(F.min("c").alias("class_id"))
     return signed.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

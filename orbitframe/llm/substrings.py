@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitframe.llm.common import WordHash, chunks, free, offsets, stage, starts, table, windows
+from orbitframe.llm.common import WordHash, chunks, discard, free, offsets, stage, starts, table, windows
 
 SECOND_BASE = 0xD1342543DE82EF95
 KEY = ["doc_id", "t"]
@@ -169,6 +169,7 @@ def repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     alive = picked.join(twice, "h").groupBy(*KEY).agg(F.collect_list("at").alias("at"))
     # only documents with a survivor are read on; their words travel compressed
     texts = stage(keyed.mapInArrow(_pack, "doc_id long, t long, z binary").dropDuplicates(KEY).join(alive, KEY))
+    discard(twice)
 
     inner, lost = sizes[0], None
     for k, size in enumerate(sizes[1:] or sizes):
@@ -180,7 +181,8 @@ def repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             lost = found.where(F.col("doc_id") > F.col("first")).groupBy(*KEY).agg(F.collect_list("at").alias("at"))
         else:
             alive = found.groupBy(*KEY).agg(F.collect_list("at").alias("at"))
-            texts = stage(texts.drop("at").join(alive, KEY))
+            before, texts = texts, stage(texts.drop("at").join(alive, KEY))
+            discard(before, held)
         inner = size
     strip, kind = _strip(length)
     left = texts.drop("at").join(lost, KEY).mapInArrow(strip, kind)

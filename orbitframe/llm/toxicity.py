@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitframe.llm.common import as_bytes, chunks, fold, letters, offsets, one_row, stage, table
+from orbitframe.llm.common import as_bytes, chunks, discard, fold, letters, offsets, one_row, stage, table
 
 # Frequent function words of each language.
 FUNCTION_WORDS = {
@@ -494,6 +494,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, p: Params = Params())
     have = {(r["y"], r["held"]): r["n"] for r in rows.select("held", F.explode("y").alias("y")).groupBy("y", "held").agg(F.count("*").alias("n")).collect()}
     n = np.array([sum(v for (y, _), v in have.items() if y == c) for c in (0, 1)])
     if n.sum() < 8 or not n.all():
+        discard(rows)
         return Model(None, np.zeros(len(LANGS)), prior)
     whole = not all((c, h) in have for c in (0, 1) for h in (False, True))  # a class is too small to be split
     shards = max(1, min(p.shards, int(n.sum()) // p.shard_rows))
@@ -507,6 +508,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, p: Params = Params())
         learn(train, net, each / np.average(each, weights=texts), p.epochs // p.rounds, turn, shards)
     del net.m, net.squares
     cells = answered(rows if whole else rows.where("held"), net)
+    discard(rows)
     return Model(net, shifts(cells, np.array([1 - prior, prior]) * n.sum() / n), prior)
 
 

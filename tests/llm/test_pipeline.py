@@ -1,5 +1,7 @@
 """The corpus pipeline: each stage keeps the columns, and its decisions hold for what the next one reads."""
 
+import gc
+import os
 from collections import Counter
 
 import pytest
@@ -8,8 +10,9 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from orbitframe.llm import toxicity
-from orbitframe.llm.common import stage, table
+from orbitframe.llm.common import discard, stage, table
 from orbitframe.llm.mixing import mix
+from orbitframe.llm.neardup import classes
 
 SF = "/root/testdata/sf0.001"
 STAGES = dict(corpus_pipeline.STAGES)
@@ -118,3 +121,27 @@ def test_repeated_labelled_ids_are_one_row(spark):
     assert one_row(picked.select("doc_id", F.col("text").cast("binary").alias("text"), "y")).count() == sum(counts.values()) == labels.select("doc_id").distinct().count()
     a, b = (quality.fit(d, labels, F.lit(True)) for d in (docs.unionByName(copies), docs))
     assert a.vectors.shape == b.vectors.shape and abs(a.vectors - b.vectors).max() < 1e-5
+
+
+def test_stages_leave_nothing_behind(spark):
+    """What was shuffled for a stage table goes when it is written, and tables that nothing reads any more are deleted."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    for _ in range(2):  # else those of earlier tests may go meanwhile
+        gc.collect()
+        spark._jvm.System.gc()
+    before = disk.getAllFiles().size()
+    counts = stage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert disk.getAllFiles().size() <= before and counts.count() == 7
+    own = os.path.dirname(counts.inputFiles()[0]).removeprefix("file:")
+    assert os.path.isdir(own)
+    discard(counts)
+    assert not os.path.exists(own)
+    with pytest.raises(ValueError):
+        discard(table(spark, SF, "documents"))
+
+    there = set(os.listdir(os.path.dirname(own)))
+    found = classes(table(spark, SF, "documents"))
+    new = [os.path.join(os.path.dirname(own), x) for x in os.listdir(os.path.dirname(own)) if x not in there]
+    left = [x for x in new if any(f.startswith("part-") for f in os.listdir(x))]
+    assert len(left) <= 2, left
+    assert found.count() == table(spark, SF, "documents").count()  # signatures and classes
