@@ -63,3 +63,11 @@ def test_angles_and_single_angle_surfaces(spark):
     assert tb == {(1, 0, 0, 100): 1, (1, 0, 1, 200): 1, (2, 0, 1, 150): 1}
     assert {k[1:4]: n for k, n in got.items() if k[0] == "histogram"} == {(1, 0, 0): 1, (1, 1, 12): 1, (2, 1, 2): 1}
     assert got[("by_t2m", 2, 40, None, None)] == 2
+
+
+def test_arrays_alone_are_exploded(pixels):
+    """Cells are not made by a generator, which is not compiled: only columns of arrays are taken apart row by row."""
+    df, _ = pixels
+    plan = presets.preset(df, "training_1d")._jdf.queryExecution().executedPlan().toString()
+    made = [line for line in plan.splitlines() if "Generate " in line]
+    assert made and not any("array(" in line or "transform(" in line or "struct(" in line for line in made), made
