@@ -28,6 +28,7 @@ import pickle
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +84,7 @@ def _encode(shared, p: Params):
             out = {k: [] for k in ("n_tokens", "n_sure", "sure", "codes", "words", "times")}
             for text in batch["text"].to_pylist():
                 words = text.lower().split()
-                ids = np.fromiter((number.get(w, 0) for w in words), np.int64, len(words))
+                ids = np.fromiter(map(number.get, words, repeat(0)), np.int64, len(words))
                 lost = np.flatnonzero(ids == 0)
                 rest = Counter([words[i] for i in lost.tolist()])
                 affix = {w: p.size + 1 + zlib.crc32(w[:3] + b"-" + w[-2:]) % p.affixes for w in rest}
