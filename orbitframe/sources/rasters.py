@@ -1,7 +1,8 @@
 """Flat binary rasters: spark.read.format("raster") gives a row a cell, and a writer packs cells into files.
 
 A raster file is rows by columns of one number type, from north to south, without a header; several of one shape (months) are read together. Files
-are dealt in ranges of bytes. Options: path, rows, columns, type (i1, i2, i4, f4), maxPartitionBytes."""
+are dealt in ranges of bytes; of more than `maxTasks` ranges (512), a task reads several. Options: path, rows, columns, type (i1, i2, i4, f4),
+maxPartitionBytes, maxTasks."""
 
 from __future__ import annotations
 
@@ -17,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from orbitframe.functions import surface
 from orbitframe.sources import store
-from orbitframe.sources.swathfiles import PIECE, Part
+from orbitframe.sources.swathfiles import PIECE, TASKS, Part, Parts, dealt
 
 SCHEMA = "file string, row int, col int, value double"
 
@@ -26,18 +27,21 @@ class RasterReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.shape, self.kind = options["path"], (int(options["rows"]), int(options["columns"])), np.dtype("<" + options["type"])
         self.most = int(options.get("maxpartitionbytes", 64 << 20)) // self.kind.itemsize * self.kind.itemsize or self.kind.itemsize
+        self.tasks = int(options.get("maxtasks", TASKS))
 
-    def partitions(self) -> Sequence[Part]:
+    def partitions(self) -> Sequence[Parts]:
         size, out = self.shape[0] * self.shape[1] * self.kind.itemsize, []
         for found in store.listed(self.path):
             if found.size != size:
                 raise ValueError(f"{found.path} has {found.size} bytes, {self.shape} cells of {self.kind.itemsize} have {size}")
             out += [Part(found.path, a, min(a + self.most, size), size) for a in range(0, size, self.most)]
-        return out
+        return dealt(out, self.tasks)
 
-    def read(self, part: Part | None) -> Iterator[pa.RecordBatch]:
-        if part is None:
-            return
+    def read(self, task: Parts | None) -> Iterator[pa.RecordBatch]:
+        for part in task.parts if task is not None else []:  # None is what Spark asks for when there is no part
+            yield from self._one(part)
+
+    def _one(self, part: Part) -> Iterator[pa.RecordBatch]:
         with store.resolve(self.path)[0].open_input_file(part.path) as file:
             file.seek(part.start)
             for a in range(part.start, part.end, PIECE):

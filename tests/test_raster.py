@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import InputPartition
 
 from orbitframe.operators import raster
 from orbitframe.sources import rasters
@@ -42,6 +43,21 @@ def test_raster_files_round_trip(spark, tmp_path, monkeypatch):
         rasters.read(spark, str(tmp_path / "r"), 40, 30, "i1").count()
 
 
+def test_ranges_of_rasters_are_partitions(spark, tmp_path):
+    """Spark takes what the reader deals out, and each cell is read once, however many ranges a task reads."""
+    for k in range(5):
+        (np.arange(40 * 30) * (k + 1)).astype("<i4").tofile(tmp_path / f"m{k}")
+    want = sorted((f"m{k}", i // 30, i % 30, float(i * (k + 1))) for k in range(5) for i in range(40 * 30))
+    for most, tasks in (("512", 75), ("4", 4), ("1", 1)):
+        options = {"path": str(tmp_path), "rows": "40", "columns": "30", "type": "i4", "maxpartitionbytes": "333", "maxtasks": most}
+        dealt = rasters.RasterReader(options).partitions()
+        assert len(dealt) == tasks and all(isinstance(p, InputPartition) for p in dealt) and sum(p.end - p.start for t in dealt for p in t.parts) == 5 * 4800
+        back = rasters.read(spark, str(tmp_path), 40, 30, "i4", maxPartitionBytes="333", maxTasks=most)
+        assert back.rdd.getNumPartitions() == tasks and sorted(map(tuple, back.collect())) == want
+    (tmp_path / "none").mkdir()
+    assert rasters.read(spark, str(tmp_path / "none"), 40, 30, "i4").count() == 0
+
+
 def test_few_copies_of_a_cell(spark):
     """A halo of 180 cells around tiles of 16 sends no cell to tiles that have none of their own; two rasters of the same places stay apart."""
     r = np.random.default_rng(3)
