@@ -97,8 +97,10 @@ def _cell_sql(step: int) -> str:
 
 
 def _cells(spark, sf, step: int):
+    """The last sample in each cell of the grid; those without a place or beyond the grid are in no cell."""
     row, col = F.floor((90 - F.col("latitude")) / step).cast("int"), F.floor((F.col("longitude") + 180) / step).cast("int")
-    return obs(spark, sf).groupBy(row.alias("row"), col.alias("col")).agg(F.max("sample_id").alias("v"))
+    inside = row.between(0, 180 // step - 1) & col.between(0, 360 // step - 1)
+    return obs(spark, sf).where(inside).groupBy(row.alias("row"), col.alias("col")).agg(F.max("sample_id").alias("v"))
 
 
 SHAPES = {"land": (90, 180), "snow": (45, 90), "emissivity": (18, 36), "mountain": (45, 90)}
@@ -120,9 +122,10 @@ def s17(spark, sf):
         "mountain": (half.select(F.lit("mountain").alias("file"), "row", "col", F.floor(F.col("v") % 5 / 3).alias("value")), "i1"),
         "emissivity": (months.select(F.format_string("emiss_class_%02d.dat", F.col("k") + 1).alias("file"), "row", "col", ((F.col("v") * (F.col("k") + 3) + F.col("k")) % 11).alias("value")), "i2"),
     }
+    names = {"land": ["land_2"], "snow": ["snow"], "mountain": ["mountain"], "emissivity": [f"emiss_class_{k:02}.dat" for k in range(1, 13)]}
     back = {}
     for name, (cells, kind) in files.items():
-        rasters.write(cells, f"{root}/{name}", *SHAPES[name], kind)
+        rasters.write(cells, f"{root}/{name}", *SHAPES[name], kind, files=names[name])
         back[name] = rasters.read(spark, f"{root}/{name}", *SHAPES[name], kind, maxPartitionBytes="5000")
     emissivity = back["emissivity"].withColumn("month", F.regexp_extract("file", r"_(\d\d)\.dat", 1).cast("int") - 1)
     found = rasters.surface_map(back["land"], back["snow"], emissivity, back["mountain"], SHAPES, 4)

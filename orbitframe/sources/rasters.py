@@ -69,9 +69,9 @@ def read(spark: SparkSession, path: str, rows: int, columns: int, kind: str, **o
     return spark.read.format("raster").options(rows=rows, columns=columns, type=kind, **options).load(path)
 
 
-def write(cells: DataFrame, path: str, rows: int, columns: int, kind: str, missing: float = 0) -> None:
-    """Cells (file, row, col, value) as one file for each name; cells without a row are `missing`. A band of rows is packed by a task, and one task a
-    file puts the bands together, a band at a time; files get their names when all are done."""
+def write(cells: DataFrame, path: str, rows: int, columns: int, kind: str, missing: float = 0, files: Sequence[str] = ()) -> None:
+    """Cells (file, row, col, value) as one file for each name, and for each of `files`, which may have no cell; cells without a row are `missing`. A
+    band of rows is packed by a task, and one task a file puts the bands together, a band at a time; files get their names when all are done."""
     dtype, band = np.dtype("<" + kind), max(1, PIECE // (columns * np.dtype("<" + kind).itemsize))
     folder = f"_temporary-{uuid.uuid4().hex}"
 
@@ -91,8 +91,10 @@ def write(cells: DataFrame, path: str, rows: int, columns: int, kind: str, missi
     def join(pdf):
         import pandas as pd
 
-        own = dict(zip(pdf.band, pdf.part, strict=True))
+        there = pdf.dropna(subset="part")
+        own = dict(zip(there.band, there.part, strict=True))
         system, inner = store.resolve(path)
+        system.create_dir(f"{inner}/{folder}", recursive=True)
         done = f"{inner}/{folder}/{uuid.uuid4().hex}"
         with system.open_output_stream(done) as out:
             for k in range(-(-rows // band)):
@@ -104,6 +106,9 @@ def write(cells: DataFrame, path: str, rows: int, columns: int, kind: str, missi
         return pd.DataFrame({"file": [pdf.file.iloc[0]], "part": [done]})
 
     parts = cells.withColumn("band", F.expr(f"cast(floor(row / {band}) as int)")).groupBy("file", "band").applyInPandas(pack, "file string, band int, part string")
+    if files:
+        named = cells.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, files))).alias("file"))
+        parts = parts.unionByName(named.select("file", F.lit(None).cast("int").alias("band"), F.lit(None).cast("string").alias("part")))
     system, inner = store.resolve(path)
     whole = parts.groupBy("file").applyInPandas(join, "file string, part string").collect()  # a row a file
     for r in whole:

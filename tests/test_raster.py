@@ -1,11 +1,13 @@
 """Gaps filled in tiles as in the whole raster."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import InputPartition
 
 from orbitframe.operators import raster
+from orbitframe.plans import registry
 from orbitframe.sources import rasters
 
 
@@ -58,6 +60,18 @@ def test_ranges_of_rasters_are_partitions(spark, tmp_path):
     assert rasters.read(spark, str(tmp_path / "none"), 40, 30, "i4").count() == 0
 
 
+@pytest.mark.parametrize("events", ["WHERE false", "WHERE event_id % 50 = 3", "UNION ALL SELECT NULL, ts, user_id, event_type, value, props FROM {t} UNION ALL SELECT -event_id, ts, user_id, event_type, value, props FROM {t}"])
+def test_surface_map_of_odd_tables(spark, tmp_path, events):
+    """Without a sample all rasters hold missing values; samples without a place, or beyond the grid, are in no cell, as in SQL."""
+    table, name = "'/root/testdata/sf0.001/events.parquet'", "s17_surface_map"
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM {table} {events.format(t=table)}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = sorted(con.execute(f"SELECT sample_id, surface_type FROM ({registry.oracle_sql()[name]})").fetchall())
+    got = sorted(map(tuple, registry.queries()[name](spark, str(tmp_path)).select("sample_id", "surface_type").collect()))
+    assert len(got) == 16200 and got == want
+
+
 def test_few_copies_of_a_cell(spark):
     """A halo of 180 cells around tiles of 16 sends no cell to tiles that have none of their own; two rasters of the same places stay apart."""
     r = np.random.default_rng(3)
